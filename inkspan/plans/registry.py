@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkspan.plans import ingest
+from inkspan.plans import entities, ingest
 
-_MODULES = [ingest]
+_MODULES = [ingest, entities]
 
 FLAGSHIP = "find_national_ids"
 

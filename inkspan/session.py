@@ -31,6 +31,7 @@ def local_session(cores: int | str = 8, app: str = "inkspan", memory: str = "12g
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores if str(cores).isdigit() else 8))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", "/tmp/inkspan-warehouse")
     )
     for key, value in RUNTIME_SETTINGS.items():

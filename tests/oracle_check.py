@@ -44,9 +44,12 @@ def _rows(names, rows):
     return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(df, sql: str, con) -> str | None:
+def compare(df, sql: str, con, times: list | None = None) -> str | None:
     """None when both sides agree, else what differs."""
+    begin = time.time()
     got = [tuple(r) for r in df.collect()]
+    if times is not None:
+        times.append(time.time() - begin)
     res = con.execute(sql)
     want_names = [d[0] for d in res.description]
     want = res.fetchall()
@@ -78,19 +81,18 @@ def main(folder: str, keys: list[str]) -> int:
     for key, query in entry.queries().items():
         if keys and key not in keys:
             continue
-        t = time.time()
+        t, times = time.time(), []
         try:
             df = query(spark, folder)
             if key in oracles:
-                diff = compare(df, oracles[key], con)
-                n = -1
+                diff = compare(df, oracles[key], con, times)
             else:
                 n, diff = len(df.collect()), None
             note = "oracle" if key in oracles else f"rows={n}"
         except Exception as error:  # report and go on with the next key
             diff, note = traceback.format_exc()[-1500:] if keys else str(error)[:400], "error"
         bad += diff is not None
-        print(f"{'ok  ' if diff is None else 'FAIL'} {key:24s} {note:10s} {time.time() - t:6.2f}s {diff or ''}", flush=True)
+        print(f"{'ok  ' if diff is None else 'FAIL'} {key:24s} {note:10s} {time.time() - t:6.2f}s (spark {sum(times):5.2f}s) {diff or ''}", flush=True)
     print("failures:", bad)
     return bad
 
