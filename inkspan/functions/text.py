@@ -31,7 +31,10 @@ def _running_base(measures: Column, index: Column) -> Column:
 
 
 def text_pieces(
-    df: DataFrame, keys: list[str], text: str = "text", size: int = PIECE_CHARS
+    df: DataFrame,
+    keys: list[str],
+    text: str = "text",
+    size: int = PIECE_CHARS,
 ) -> DataFrame:
     """One row per piece: keys, piece_no, piece, char_base and token_base (both 0-based)."""
     cut = df.select(*keys, pieces_of(F.col(text), size).alias("_pieces"))
@@ -107,9 +110,14 @@ def spans_table(df: DataFrame, keys: list[str], pattern: str, text: str = "text"
     return hit.select(*keys, F.inline(match_spans(F.col(text), pattern)))
 
 
+def extract(text: Column, pattern: Column) -> Column:
+    """First match of a pattern that itself is a column."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(0))
+
+
 def snippet(text: Column, pattern: Column, before: int, after: int) -> Column:
     """The first match of a pattern with up to ``before``/``after`` characters around it."""
     window = F.concat(
         F.lit(r"(?s).{0,%d}(?:" % before), pattern, F.lit(r").{0,%d}" % after)
     )
-    return F.regexp_extract(text, window, 0)
+    return extract(text, window)

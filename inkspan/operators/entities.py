@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions import national_id
-from inkspan.functions.text import PIECE_CHARS, WORD, spans_table, text_pieces
+from inkspan.functions.text import WORD, extract, spans_table, text_pieces
+from inkspan.operators.phrases import phrase_occurrences, phrase_terms, vocabulary_positions
 
 NATIONAL_ID = "CPR_NUMBER"
 PHONE = "PHONE_NUMBER"
@@ -25,7 +26,6 @@ PHONE_PATTERN = (
 )
 PHONE_DIGITS = (8, 15)
 
-
 def find_national_ids(docs: DataFrame, keys: list[str] = ["doc_id"], text: str = "text") -> DataFrame:
     """All number-shaped matches with their digits and the two tests."""
     found = spans_table(docs, keys, national_id.PATTERN, text)
@@ -76,98 +76,39 @@ def drop_long_spans(spans: DataFrame, limit: int = MAX_ENTITY_CHARS) -> DataFram
     return spans.filter(F.col("end") - F.col("start") <= limit)
 
 
-def dictionary_mentions(
-    docs: DataFrame,
-    dictionary: DataFrame,
-    keys: list[str] = ["doc_id"],
-    text: str = "text",
-    max_words: int = 3,
-) -> DataFrame:
-    """Tag dictionary terms of up to ``max_words`` words: keys, entity, start, end, occurrence.
+def dictionary_mentions(docs: DataFrame, dictionary: DataFrame, text: str = "text") -> DataFrame:
+    """Tag dictionary terms: doc_id, entity, validated, start, end, occurrence.
 
-    ``dictionary`` has (term, label). Word n-grams are joined to terms on the term's normal form,
-    first per piece to find hits, then offsets are computed only for pieces that have one. Pieces
-    overlap by ``max_words - 1`` words, so no term is lost at a cut.
+    ``dictionary`` has (term, label). Words and texts meet on lower-cased tokens; offsets are
+    worked out only for occurrences, in the piece that holds their first or last word.
     """
-    terms = (
-        dictionary.select(
-            F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(WORD), F.lit(0)), " ").alias("gram"),
-            "label",
-        )
-        .filter("gram <> ''")
-        .distinct()
-    )
-    windows = _overlapping_pieces(docs, keys, text, max_words)
-    words = windows.select(
-        *keys,
-        "piece_no",
-        "own_words",
-        F.regexp_extract_all(F.lower("piece"), F.lit(WORD), F.lit(0)).alias("words"),
+    terms = phrase_terms(dictionary.distinct(), "term", ["term", "label"])
+    positions = vocabulary_positions(docs, terms, ["doc_id"], [text], [])
+    found = phrase_occurrences(positions, terms, ["term", "label"], [])
+    ends = F.array(
+        F.struct(F.lit("start").alias("edge"), F.col("first_spot").alias("spot")),
+        F.struct(F.lit("end").alias("edge"), F.col("last_spot").alias("spot")),
     )
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(max_words)),
-            lambda n: F.transform(
-                F.when(
-                    F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)
-                ).otherwise(F.array().cast("array<int>")),
-                lambda i: F.struct(
-                    i.alias("at"), n.alias("n"), F.array_join(F.slice("words", i, n), " ").alias("gram")
-                ),
-            ),
-        )
+    edges = found.select("doc_id", "label", "first_pos", "n", F.inline(ends)).select(
+        "doc_id", "label", "first_pos", "n", "edge", "spot.*"
     )
-    hits = (
-        words.select(*keys, "piece_no", "own_words", F.inline(grams))
-        .filter(F.col("at") <= F.col("own_words"))
-        .join(terms, "gram")
-        .select(*keys, "piece_no", "at", "n", "label")
+    pieces = text_pieces(docs, ["doc_id"], text).join(
+        edges.select("doc_id", "piece_no").distinct(), ["doc_id", "piece_no"], "left_semi"
     )
-    measured = windows.select(
-        *keys,
-        "piece_no",
-        "piece",
-        "char_base",
-        F.transform(
-            F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)), lambda w: F.length(w)
-        ).alias("word_chars"),
-        F.transform(F.split("piece", WORD, -1), lambda g: F.length(g)).alias("gap_chars"),
+    word, gap = WORD, r"[^\p{L}\p{M}\p{N}_]*"
+    before = F.concat(F.lit(f"^(?:{gap}{word}){{"), F.col("at").cast("string"), F.lit(f"}}{gap}"))
+    until = F.concat(F.lit(f"^(?:{gap}{word}){{"), (F.col("at") + 1).cast("string"), F.lit("}"))
+    offset = F.col("char_base") + F.length(
+        extract(F.col("piece"), F.when(F.col("edge") == "start", before).otherwise(until))
     )
-    placed = hits.join(measured, [*keys, "piece_no"])
-
-    def total(lengths: str, first, count):
-        return F.aggregate(F.slice(lengths, first, count), F.lit(0), lambda a, x: a + x)
-
-    begin = total("gap_chars", F.lit(1), F.col("at")) + total("word_chars", F.lit(1), F.col("at") - 1)
-    width = total("word_chars", F.col("at"), F.col("n")) + total("gap_chars", F.col("at") + 1, F.col("n") - 1)
-    return placed.withColumns({"_begin": begin, "_width": width}).select(
-        *keys,
-        F.col("label").alias("entity"),
-        F.lit(False).alias("validated"),
-        (F.col("char_base") + F.col("_begin")).cast("int").alias("start"),
-        (F.col("char_base") + F.col("_begin") + F.col("_width")).cast("int").alias("end"),
-        F.substring("piece", F.col("_begin") + 1, F.col("_width")).alias("occurrence"),
-    )
-
-
-def _overlapping_pieces(docs: DataFrame, keys: list[str], text: str, max_words: int) -> DataFrame:
-    """Pieces followed by the first words of the text after them, with the count of own words."""
-    reach = r"^(?s)(?:[^\p{L}\p{M}\p{N}_]*[\p{L}\p{M}\p{N}_]+){0,%d}" % (max_words - 1)
-    tail = F.when(
-        F.col("_after") != "",
-        F.regexp_extract("_after", reach, 0),
-    ).otherwise("")
-    cut = text_pieces(docs.select(*keys, F.col(text).alias("_text")), [*keys, "_text"], "_text", PIECE_CHARS)
-    with_next = cut.withColumn(
-        "_after", F.substring("_text", F.col("char_base") + F.length("piece") + 1, F.length("_text"))
-    )
-    return with_next.select(
-        *keys,
-        "piece_no",
-        "char_base",
-        F.regexp_count("piece", F.lit(WORD)).alias("own_words"),
-        F.concat("piece", tail).alias("piece"),
+    placed = edges.join(pieces, ["doc_id", "piece_no"]).withColumn("offset", offset)
+    spans = placed.groupBy("doc_id", "label", "first_pos", "n").agg(
+        F.min(F.when(F.col("edge") == "start", F.col("offset"))).alias("start"),
+        F.min(F.when(F.col("edge") == "end", F.col("offset"))).alias("end"),
     )
+    cut = F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start"))
+    whole = spans.join(docs.select("doc_id", text), "doc_id").withColumn("occurrence", cut)
+    return mention_rows(whole, ["doc_id"], F.col("label"))
 
 
 def docs_with_entity(docs: DataFrame, found: DataFrame, entity: str) -> DataFrame:

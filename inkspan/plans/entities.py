@@ -57,26 +57,26 @@ def find_phone_numbers(spark, folder):
 def entity_length_guard(spark, folder):
     """Sentence spans as candidate entities."""
     docs = Corpus(spark, folder).raw("documents")
-    spans = spans_table(docs, ["doc_id"], r"[^.\n]+[.]")
+    spans = spans_table(docs, ["doc_id"], r"[^.\n]+[.]?")
     return op.drop_long_spans(spans).select("doc_id", "start", "end")
 
 
 def entity_length_dropped(spark, folder):
     """How many candidate spans were too long, per source."""
     docs = Corpus(spark, folder).raw("documents")
-    spans = op.with_length_check(spans_table(docs, ["source"], r"[^.\n]+[.]"))
+    spans = op.with_length_check(spans_table(docs, ["source"], r"[^.\n]+[.]?"))
     return spans.groupBy("source").agg(
         F.count_if(F.col("too_long")).alias("dropped"), F.count_if(~F.col("too_long")).alias("kept")
     )
 
 
 def _dictionary(c):
-    """First word pair and first word triple of every benchmark item."""
+    """A word pair, a word triple and the first long word of every benchmark item."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
     b = c.raw("benchmark").select(words.alias("w"))
     pair = F.struct(F.array_join(F.slice("w", 1, 2), " ").alias("term"), F.lit("PAIR").alias("label"))
     triple = F.struct(F.array_join(F.slice("w", 2, 3), " ").alias("term"), F.lit("TRIPLE").alias("label"))
-    single = F.struct(F.element_at("w", 3).alias("term"), F.lit("WORD").alias("label"))
+    single = F.struct(F.get(F.filter("w", lambda w: F.length(w) >= 7), F.lit(0)).alias("term"), F.lit("WORD").alias("label"))
     return b.select(F.inline(F.array(pair, triple, single)))
 
 
@@ -179,8 +179,8 @@ _EXTRA = {
         SELECT doc_id, source, s - length(piece) AS s, s AS e, piece FROM (
           SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY no) AS s FROM (
             SELECT doc_id, source, unnest(p) AS piece, generate_subscripts(p, 1) AS no FROM (
-              SELECT doc_id, source, regexp_extract_all(text, '[^.\\n]+[.]|[^.\\n]+|[.\\n]') AS p FROM documents)))
-        WHERE regexp_full_match(piece, '[^.\\n]+[.]')"""),
+              SELECT doc_id, source, regexp_extract_all(text, '[^.\\n]+[.]?|[.\\n]') AS p FROM documents)))
+        WHERE piece NOT IN ('.', chr(10))"""),
 }
 
 ORACLE = {
@@ -209,8 +209,8 @@ ORACLE = {
         "dict": ([], """
             SELECT DISTINCT w, label FROM (
               SELECT unnest([{'w': w[1:2], 'label': 'PAIR'}, {'w': w[2:4], 'label': 'TRIPLE'},
-                             {'w': w[3:3], 'label': 'WORD'}], recursive := true)
-              FROM (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') AS w FROM benchmark))"""),
+                             {'w': list_filter(w, lambda x: length(x) >= 7)[1:1], 'label': 'WORD'}], recursive := true)
+              FROM (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') AS w FROM benchmark)) WHERE len(w) > 0"""),
         "runs": ([], """
             SELECT doc_id, token, e - length(token) AS s, e, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS pos
             FROM (SELECT *, sum(length(token)) OVER (PARTITION BY doc_id ORDER BY no) AS e FROM (
