@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkspan.plans import entities, ingest
+from inkspan.plans import entities, ingest, names, risk
 
-_MODULES = [ingest, entities]
+_MODULES = [ingest, entities, names, risk]
 
 FLAGSHIP = "find_national_ids"
 
