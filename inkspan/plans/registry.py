@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkspan.plans import entities, features, ingest, names, risk
+from inkspan.plans import classify, entities, features, ingest, names, risk
 
-_MODULES = [ingest, entities, names, risk, features]
+_MODULES = [ingest, entities, names, risk, features, classify]
 
 FLAGSHIP = "find_national_ids"
 
