@@ -113,7 +113,8 @@ def hierarchical_classify(docs: DataFrame, models: DataFrame, max_depth: int) ->
             F.when(alive, F.col("label")).otherwise(F.lit(None).cast("string")).alias("category"),
             F.when(alive, F.array_append("path", step)).otherwise(F.col("path")).alias("path"),
         )
-    return state.select("doc_id", F.inline("path"))
+    # an expression, not the bare column: else the path is computed again in an inferred filter
+    return state.select("doc_id", F.inline(F.slice("path", 1, max_depth)))
 
 
 def classification_rows(predictions: DataFrame, stamp: Column) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkspan.plans import classify, entities, features, ingest, names, risk
+from inkspan.plans import classify, entities, features, ingest, names, risk, views
 
-_MODULES = [ingest, entities, names, risk, features, classify]
+_MODULES = [ingest, entities, names, risk, features, classify, views]
 
 FLAGSHIP = "find_national_ids"
 
