@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkspan.plans import classify, entities, features, ingest, names, risk, views
+from inkspan.plans import classify, entities, features, ingest, names, progress, risk, views
 
-_MODULES = [ingest, entities, names, risk, features, classify, views]
+_MODULES = [ingest, entities, names, risk, features, classify, views, progress]
 
 FLAGSHIP = "find_national_ids"
 
