@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkspan.functions import national_id
 from inkspan.functions.text import WORD, extract, spans_table, text_pieces
 from inkspan.operators.phrases import phrase_occurrences, phrase_terms, vocabulary_positions
+from inkspan.sources.staging import stage
 
 NATIONAL_ID = "CPR_NUMBER"
 PHONE = "PHONE_NUMBER"
@@ -83,8 +84,9 @@ def dictionary_mentions(docs: DataFrame, dictionary: DataFrame, text: str = "tex
     worked out only for occurrences, in the piece that holds their first or last word.
     """
     terms = phrase_terms(dictionary.distinct(), "term", ["term", "label"])
-    positions = vocabulary_positions(docs, terms, ["doc_id"], [text], [])
-    found = phrase_occurrences(positions, terms, ["term", "label"], [])
+    positions = vocabulary_positions(docs, terms.select("token"), ["doc_id"], [text])
+    found = stage(phrase_occurrences(positions, terms, ["term", "label"], []), "occurrences")
+    hit_docs = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", text)
     ends = F.array(
         F.struct(F.lit("start").alias("edge"), F.col("first_spot").alias("spot")),
         F.struct(F.lit("end").alias("edge"), F.col("last_spot").alias("spot")),
@@ -92,7 +94,7 @@ def dictionary_mentions(docs: DataFrame, dictionary: DataFrame, text: str = "tex
     edges = found.select("doc_id", "label", "first_pos", "n", F.inline(ends)).select(
         "doc_id", "label", "first_pos", "n", "edge", "spot.*"
     )
-    pieces = text_pieces(docs, ["doc_id"], text).join(
+    pieces = text_pieces(hit_docs, ["doc_id"], text).join(
         edges.select("doc_id", "piece_no").distinct(), ["doc_id", "piece_no"], "left_semi"
     )
     word, gap = WORD, r"[^\p{L}\p{M}\p{N}_]*"
@@ -107,7 +109,7 @@ def dictionary_mentions(docs: DataFrame, dictionary: DataFrame, text: str = "tex
         F.min(F.when(F.col("edge") == "end", F.col("offset"))).alias("end"),
     )
     cut = F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start"))
-    whole = spans.join(docs.select("doc_id", text), "doc_id").withColumn("occurrence", cut)
+    whole = spans.join(hit_docs, "doc_id").withColumn("occurrence", cut)
     return mention_rows(whole, ["doc_id"], F.col("label"))
 
 

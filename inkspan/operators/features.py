@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import pieces_of, word_list
+from inkspan.sources.staging import stage
 
 # Names of the stop word lists that come with Spark.
 SPARK_LISTS = {"da": "danish", "de": "german", "en": "english", "es": "spanish", "fr": "french"}
@@ -100,8 +101,7 @@ def fit_tfidf(
     Frequencies are limits as shares of all documents, documents without terms included.
     """
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    # counting tf keeps this input identical to the one transform reads, so Spark runs it once
-    seen = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     sized = seen.withColumn("_n", total)
     return sized.filter((F.col("df") >= min_df * F.col("_n")) & (F.col("df") <= max_df * F.col("_n"))).select(
         "term", "df", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")
@@ -116,8 +116,13 @@ def transform_tfidf(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, text: str = "text", min_df: float = 0.01, max_df: float = 1.0, **options) -> DataFrame:
-    counts = term_counts(docs, text, **options)
-    return transform_tfidf(counts, fit_tfidf(counts, docs, min_df, max_df))
+    """Fit and transform on the same documents.
+
+    Counts are staged, so texts are tokenized once; the vocabulary is staged, so its real size
+    decides whether it is broadcast to the counts.
+    """
+    counts = stage(term_counts(docs, text, **options), "term-counts")
+    return transform_tfidf(counts, stage(fit_tfidf(counts, docs, min_df, max_df), "vocabulary"))
 
 
 def extension_code(ext: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.functions.text import pieces_of, word_list
+
 # Common function words per language.
 PROFILES = {
     "da": ["af", "at", "den", "der", "det", "en", "er", "et", "for", "i", "ikke", "med", "og", "på", "som", "til"],
@@ -15,17 +19,24 @@ PROFILES = {
 }
 
 
-def function_word_count(text: Column, words: list[str]) -> Column:
-    """How many tokens of the text are in the list, counted in one regex pass."""
-    pattern = r"(?<![\p{L}\p{M}\p{N}_])(?:%s)(?![\p{L}\p{M}\p{N}_])" % "|".join(words)
-    return F.regexp_count(F.lower(text), F.lit(pattern))
+def _one_of(words: Iterable[str]):
+    listed = sorted(set(words))
+    return lambda w: w.isin(*listed)
 
 
 def language_scores(docs: DataFrame, text: str = "text", profiles=None) -> DataFrame:
-    """Add one ``hits_<lang>`` column per profile. Narrow: no explode and no shuffle."""
+    """Add one ``hits_<lang>`` column per profile. Narrow: no explode and no shuffle.
+
+    One regex pass per piece keeps the function words of any language; the lists are then counted
+    in what is left.
+    """
     profiles = profiles or PROFILES
-    counts = {f"hits_{lang}": function_word_count(F.col(text), words) for lang, words in profiles.items()}
-    return docs.withColumns(counts)
+    known = _one_of(w for words in profiles.values() for w in words)
+    kept = F.flatten(F.transform(pieces_of(F.col(text)), lambda p: F.filter(word_list(p), known)))
+    counts = {
+        f"hits_{lang}": F.size(F.filter("_function_words", _one_of(words))) for lang, words in profiles.items()
+    }
+    return docs.withColumn("_function_words", kept).withColumns(counts).drop("_function_words")
 
 
 def detect_language(docs: DataFrame, text: str = "text", profiles=None) -> DataFrame:

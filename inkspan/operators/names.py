@@ -17,6 +17,7 @@ from inkspan.operators.phrases import (
     phrase_terms,
     vocabulary_positions,
 )
+from inkspan.sources.staging import stage
 
 
 def included_docs(docs: DataFrame, included: DataFrame) -> DataFrame:
@@ -39,14 +40,42 @@ def name_phrases(people: DataFrame, max_middle_names: int) -> DataFrame:
     )
 
 
-def exact_name_matches(docs: DataFrame, people: DataFrame, max_middle_names: int = 1) -> DataFrame:
-    """Distinct (person_id, doc_id): the person's phrase occurs in the text or in the title."""
-    phrases = name_phrases(people, max_middle_names)
-    terms = phrase_terms(phrases, "phrase", ["person_id", "company_id", "slop"])
-    positions = vocabulary_positions(docs, terms, ["doc_id", "company_id"], ["text", "name"], ["company_id"])
-    strict = phrase_matches(
-        positions, terms.filter("slop = 0"), ["person_id"], ["company_id"], 0
-    )
+def exact_terms(people: DataFrame, max_middle_names: int = 1) -> DataFrame:
+    """Words of all people's phrases."""
+    return phrase_terms(name_phrases(people, max_middle_names), "phrase", ["person_id", "company_id", "slop"])
+
+
+def partial_terms(people: DataFrame) -> DataFrame:
+    """(person_id, company_id, token) of cleaned names; names that clean to nothing have none."""
+    cleaned = word_list(fn.clean_name(F.col("name")))
+    return people.select("person_id", "company_id", F.explode(F.array_distinct(cleaned)).alias("token"))
+
+
+def keyword_terms(keywords: DataFrame) -> DataFrame:
+    return phrase_terms(keywords.distinct(), "keyword", ["lang", "keyword"])
+
+
+def search_positions(docs: DataFrame, vocabularies: list[DataFrame]) -> DataFrame:
+    """One staged table of token positions for several searches, from one pass over the texts."""
+    tokens = vocabularies[0].select("token")
+    for more in vocabularies[1:]:
+        tokens = tokens.unionByName(more.select("token"))
+    return vocabulary_positions(docs, tokens, ["doc_id", "company_id", "lang"], ["text", "name"])
+
+
+def exact_name_matches(
+    docs: DataFrame, people: DataFrame, max_middle_names: int = 1, positions: DataFrame | None = None
+) -> DataFrame:
+    """Distinct (person_id, doc_id): the person's phrase occurs in the text or in the title.
+
+    ``positions`` may hold positions shared with other searches.
+    """
+    terms = exact_terms(people, max_middle_names)
+    if positions is None:
+        positions = vocabulary_positions(
+            docs, terms.select("company_id", "token"), ["doc_id", "company_id"], ["text", "name"]
+        )
+    strict = phrase_matches(positions, terms.filter("slop = 0"), ["person_id"], ["company_id"], 0)
     if max_middle_names == 0:
         return strict
     loose = phrase_matches(
@@ -55,30 +84,35 @@ def exact_name_matches(docs: DataFrame, people: DataFrame, max_middle_names: int
     return strict.unionByName(loose)
 
 
-def partial_name_matches(docs: DataFrame, people: DataFrame) -> DataFrame:
-    """Distinct (person_id, doc_id): any word of the cleaned name occurs in text or title.
+def _words_of(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """Words of text and title, distinct inside each piece before anything is shuffled."""
+    long = docs.select(*keys, F.explode(F.array("text", "name")).alias("text")).filter("text IS NOT NULL")
+    return token_bag(long, keys)
 
-    Names that clean to nothing have no words and so no matches. Document words are made distinct
-    inside the row, before anything is shuffled.
-    """
-    wanted = people.select(
-        "person_id", "company_id", F.explode(F.array_distinct(word_list(fn.clean_name(F.col("name"))))).alias("token")
-    )
-    both = F.array("text", "name")
-    long = docs.select("doc_id", "company_id", F.explode(both).alias("text")).filter("text IS NOT NULL")
-    words = token_bag(long, ["doc_id", "company_id"])
+
+def partial_name_matches(
+    docs: DataFrame, people: DataFrame, positions: DataFrame | None = None
+) -> DataFrame:
+    """Distinct (person_id, doc_id): any word of the cleaned name occurs in text or title."""
+    wanted = stage(partial_terms(people), "partial-terms")
+    keys = ["doc_id", "company_id"]
+    words = _words_of(docs, keys) if positions is None else positions.select(*keys, "token").distinct()
     return words.join(wanted, ["company_id", "token"]).select("person_id", "doc_id").distinct()
 
 
-def keyword_matches(docs: DataFrame, keywords: DataFrame) -> DataFrame:
+def keyword_matches(
+    docs: DataFrame, keywords: DataFrame, positions: DataFrame | None = None
+) -> DataFrame:
     """Distinct (doc_id, keyword): keywords of the document's own language found in its text.
 
     The language is part of the join key, so all languages are searched in one pass and a document
     in a language without a list is never searched.
     """
-    terms = phrase_terms(keywords.distinct(), "keyword", ["lang", "keyword"])
-    positions = vocabulary_positions(docs, terms, ["doc_id", "lang"], ["text"], ["lang"])
-    found = phrase_occurrences(positions, terms, ["lang", "keyword"], ["lang"])
+    terms = keyword_terms(keywords)
+    if positions is None:
+        positions = vocabulary_positions(docs, terms.select("lang", "token"), ["doc_id", "lang"], ["text"])
+    in_text = positions.filter("field = 'text'")
+    found = phrase_occurrences(in_text, terms, ["lang", "keyword"], ["lang"])
     return found.select("doc_id", "keyword").distinct()
 
 
@@ -133,12 +167,12 @@ def low_risk(matches: DataFrame, keyword_hits: DataFrame, people: DataFrame) ->
     return quiet.join(who, "person_id").select("doc_id", "person_id", "person_name", "relation")
 
 
-def common_name_matches(docs: DataFrame, common_names: DataFrame) -> DataFrame:
+def common_name_matches(
+    docs: DataFrame, common_names: DataFrame, positions: DataFrame | None = None
+) -> DataFrame:
     """Distinct (doc_id, common_name) from a list of common first names (our definition)."""
-    wanted = common_names.select(F.lower("common_name").alias("token")).distinct()
-    both = F.array("text", "name")
-    long = docs.select("doc_id", F.explode(both).alias("text")).filter("text IS NOT NULL")
-    words = token_bag(long, ["doc_id"])
+    wanted = stage(common_names.select(F.lower("common_name").alias("token")).distinct(), "common-names")
+    words = _words_of(docs, ["doc_id"]) if positions is None else positions.select("doc_id", "token").distinct()
     return words.join(wanted, "token").select("doc_id", F.col("token").alias("common_name")).distinct()
 
 

@@ -33,16 +33,17 @@ def field_positions(docs: DataFrame, keys: list[str], fields: list[str]) -> Data
 
 
 def vocabulary_positions(
-    docs: DataFrame, terms: DataFrame, keys: list[str], fields: list[str], scope: list[str]
+    docs: DataFrame, vocabulary: DataFrame, keys: list[str], fields: list[str]
 ) -> DataFrame:
-    """Positions of tokens that occur in some phrase of the same scope, as a staged table.
+    """Positions of the vocabulary's tokens as a staged table; it is read several times below.
 
-    It is read several times below and is much smaller than the texts.
+    ``vocabulary`` has a token column and possibly some of ``keys``. It is staged first, so its
+    real size is known when the join with all tokens is planned: Spark broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold`` and sorts and merges above, and only in the latter
+    case are the tokens of the corpus shuffled.
     """
-    vocabulary = terms.select(*scope, "token").distinct()
-    return stage(
-        field_positions(docs, keys, fields).join(vocabulary, [*scope, "token"], "left_semi"), "positions"
-    )
+    wanted = stage(vocabulary.distinct(), "vocabulary")
+    return stage(field_positions(docs, keys, fields).join(wanted, wanted.columns, "left_semi"), "positions")
 
 
 def _anchors(positions: DataFrame, terms: DataFrame, phrase: list[str], scope: list[str]) -> DataFrame:
@@ -113,14 +114,12 @@ def phrase_matches(
     if slop == 0:
         return phrase_occurrences(positions, terms, phrase, scope).select(*phrase, "doc_id").distinct()
     anchors = _anchors(positions, terms, phrase, scope)
-    candidates = (
-        anchors.join(positions.select(*scope, "token", "doc_id", "field"), [*scope, "token"])
-        .select(*phrase, "doc_id", "field", "n")
-        .distinct()
-    )
-    single = candidates.filter("n = 1").select(*phrase, "doc_id")
+    found = anchors.join(positions.select(*scope, "token", "doc_id", "field", "pos"), [*scope, "token"])
+    single = found.filter("n = 1").select(*phrase, "doc_id")
+    pairs = _near_pairs(found.filter("n = 2"), positions, terms, phrase, slop)
+    candidates = found.filter("n > 2").select(*phrase, "doc_id", "field", "n").distinct()
     placed = (
-        candidates.filter("n > 1")
+        candidates
         .join(terms.select(*phrase, "i", "token"), phrase)
         .join(positions.select("doc_id", "field", "token", "pos"), ["doc_id", "field", "token"])
         .withColumn("adj", F.col("pos") - F.col("i"))
@@ -136,4 +135,25 @@ def phrase_matches(
         .filter("_words = n AND _spots >= n")
         .select(*phrase, "doc_id")
     )
-    return single.unionByName(several).distinct()
+    return single.unionByName(pairs).unionByName(several).distinct()
+
+
+def _near_pairs(
+    found: DataFrame, positions: DataFrame, terms: DataFrame, phrase: list[str], slop: int
+) -> DataFrame:
+    """Two-word phrases: from each occurrence of the rarer word, probe every place the other may have."""
+    other = terms.select(*phrase, F.col("i").alias("_other_i"), F.col("token").alias("_other"))
+    straight = F.col("pos") - F.col("i") + F.col("_other_i")
+    probes = (
+        found.join(other, phrase)
+        .filter("_other_i <> i")
+        .select(
+            *phrase, "doc_id", "field", F.col("_other").alias("token"), F.col("pos").alias("_own"),
+            F.explode(F.sequence((straight - slop).cast("int"), (straight + slop).cast("int"))).alias("pos"),
+        )
+        .filter("pos <> _own AND pos >= 0")
+    )
+    met = probes.join(
+        positions.select("doc_id", "field", "token", "pos"), ["doc_id", "field", "token", "pos"], "left_semi"
+    )
+    return met.select(*phrase, "doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import pieces_of, snippet, word_list
+from inkspan.sources.staging import stage
 
 # The usual BM25 constants.
 K1, B = 1.2, 0.75
@@ -17,15 +18,17 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, text: str = "text") -> Data
     Only query words leave the scan; document lengths are counted in the same pass, without
     exploding them.
     """
-    terms = queries.select(
-        "query_id", F.explode(F.array_distinct(word_list(F.col("query")))).alias("token")
+    # staged, so that its real size decides whether it is broadcast to the tokens
+    terms = stage(
+        queries.select("query_id", F.explode(F.array_distinct(word_list(F.col("query")))).alias("token")),
+        "query-terms",
     )
     length = F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"))
     measured = docs.select("doc_id", length.alias("n_words"), F.col(text).alias("_text"))
     words = (
         measured.select("doc_id", "n_words", F.explode(pieces_of(F.col("_text"))).alias("_piece"))
         .select("doc_id", "n_words", F.explode(word_list(F.col("_piece"))).alias("token"))
-        .join(terms.select("token").distinct(), "token", "left_semi")
+        .join(terms.select("token"), "token", "left_semi")
     )
     tf = words.groupBy("doc_id", "n_words", "token").agg(F.count(F.lit(1)).alias("tf"))
     corpus = docs.agg(

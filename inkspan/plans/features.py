@@ -9,6 +9,7 @@ from inkspan.functions.text import word_list
 from inkspan.operators import features as op
 from inkspan.operators.language import PROFILES
 from inkspan.plans.fixtures import Corpus, with_ctes
+from inkspan.sources.staging import stage
 
 CUT = 50
 MIN_DF = 0.01
@@ -106,7 +107,7 @@ def fit_transform_split(spark, folder):
     c = Corpus(spark, folder)
     docs = c.raw("documents").select("doc_id", "lang", "text")
     train, rest = docs.filter("doc_id % 5 <> 0"), docs.filter("doc_id % 5 = 0")
-    vocabulary = op.fit_tfidf(op.term_counts(train, stop_words=PROFILES), train, MIN_DF)
+    vocabulary = stage(op.fit_tfidf(op.term_counts(train, stop_words=PROFILES), train, MIN_DF), "vocabulary")
     out = op.transform_tfidf(op.term_counts(rest, stop_words=PROFILES), vocabulary)
     return out.withColumn("value", F.round("value", 6))
 
@@ -121,8 +122,9 @@ def doc_vectors(spark, folder):
 
 def chi2_select(spark, folder):
     c = Corpus(spark, folder)
-    labels = c.labelled().select("doc_id", "label")
-    counts = op.term_counts(c.raw("documents").select("doc_id", "text"))
+    labelled = c.labelled()
+    labels = labelled.select("doc_id", "label")
+    counts = op.term_counts(labelled.select("doc_id", "text"))
     features = counts.select("doc_id", F.col("term").alias("feature"), F.col("tf").cast("double").alias("value"))
     scored = op.chi2_scores(features, labels).withColumn("score", F.round("score", 6))
     return op.select_k_best(scored, 100)
