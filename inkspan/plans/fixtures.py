@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.session import prepare
-from inkspan.sources.tables import table
+from inkspan.sources.tables import spread, table
 
 # Risk keywords per language.
 KEYWORDS = {
@@ -19,6 +19,9 @@ KEYWORDS = {
     "fr": ["étion", "èment"],
 }
 
+# Tables whose texts are worked on, with their keys.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 _EXT = ["docx", "pptx", "xlsx", "html", "exe"]
 _START = "2024-01-01 00:00:00"
 
@@ -35,7 +38,8 @@ class Corpus:
         self.folder = folder
 
     def raw(self, name: str) -> DataFrame:
-        return table(self.spark, self.folder, name)
+        df = table(self.spark, self.folder, name)
+        return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
     def documents(self) -> DataFrame:
         d = self.raw("documents")
