@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, StringIndexer
+from pyspark.ml.feature import HashingTF, IDF, StringIndexer, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -17,12 +17,27 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.ranking import id_bucket, tile, with_position
 from inkspan.functions.text import word_list
+from inkspan.operators.features import chi2_scores, select_k_best
+from inkspan.sources.staging import stage
 
 # The search grids.
 C_VALUES = [1e-2, 1e-1, 1, 10, 1e2]
 GAMMA_VALUES = [0.1, 1, 10, 1e2, 1e3]
 DEFAULT_FOLDS = 5
 
+# The named models, their kernels and the grids searched (k: features kept by chi-square).
+MODELS = {
+    "linear_svc_simple": {"kernel": "linear", "C": [1.0]},
+    "logistic_regression_simple": {"kernel": "logistic", "C": [1.0]},
+    "linear_svc": {"kernel": "linear", "C": C_VALUES},
+    "rbf_svc": {"kernel": "rbf", "C": C_VALUES, "gamma": GAMMA_VALUES},
+    "dimreduction": {"kernel": "linear", "C": C_VALUES, "k": [1, 10, 100]},
+    "dimred_nonlinear": {"kernel": "rbf", "C": C_VALUES, "gamma": GAMMA_VALUES, "k": [10, 20, 100, 500]},
+}
+
+# One model is fitted per label; more labels than this are a mistake in the input.
+MAX_LABELS = 1000
+
 
 def drop_rare_labels(labelled: DataFrame, minimum: int) -> DataFrame:
     """Keep labels with at least ``minimum`` rows. Counting combines map-side; no window per label."""
@@ -135,7 +150,10 @@ class CalibratedLinearSVC:
     def fit(self, train: DataFrame, label: str = "label") -> "CalibratedLinearSVC":
         """``train`` has features, a label column and ``fold``. The number of labels is small."""
         rows = train.count()
-        self.labels = [r[0] for r in train.select(label).distinct().orderBy(label).limit(1000).collect()]
+        found = train.select(label).distinct().orderBy(label).limit(MAX_LABELS + 1).collect()
+        if len(found) > MAX_LABELS:
+            raise ValueError(f"more than {MAX_LABELS} labels")
+        self.labels = [r[0] for r in found]
         self.models, self.sigmoids = [], []
         for name in self.labels:
             one = train.withColumn("label_no", (F.col(label) == name).cast("double"))
@@ -195,6 +213,50 @@ def grid_search(
     return search.fit(numbered)
 
 
+def best_vector_features(train: DataFrame, k: int, label: str = "label_no") -> list[int]:
+    """Indexes of the k vector features with the highest chi-square; at most k rows reach the driver."""
+    values = train.select(
+        "doc_id", F.posexplode(vector_to_array("features")).alias("feature", "value")
+    ).filter("value <> 0")
+    scores = chi2_scores(values, train.select("doc_id", F.col(label).alias("label")))
+    return sorted(r.feature for r in select_k_best(scores, k).select("feature").collect())
+
+
+def search_model(
+    train: DataFrame, name: str, grid: dict | None = None, iterations: int = 20, outputs: int = 128
+) -> list[dict]:
+    """Cross-validated accuracy of every grid point of a named model, best first.
+
+    ``train`` has doc_id, label_no, fold and a features vector. Feature selection and kernel
+    features are made once per k and gamma; C is searched on each.
+    """
+    if name not in MODELS:
+        raise KeyError(f"unknown model: {name}")
+    spec = {**MODELS[name], **(grid or {})}
+    rows = train.count()
+    points = []
+    for k in spec.get("k", [None]):
+        kept = train
+        if k is not None:
+            chosen = best_vector_features(train, k)
+            sliced = VectorSlicer(inputCol="features", outputCol="_kept", indices=chosen).transform(train)
+            kept = sliced.drop("features").withColumnRenamed("_kept", "features")
+        for gamma in spec.get("gamma", [None]):
+            data = kept
+            if gamma is not None:
+                inputs = len(chosen) if k is not None else len(kept.select("features").first()[0])
+                project = random_fourier_features(gamma, inputs, outputs)
+                data = kept.withColumn("features", array_to_vector(project(vector_to_array("features"))))
+            data = stage(data.select("doc_id", "label_no", "fold", "features"), "grid")
+            make = logistic_regression if spec["kernel"] == "logistic" else linear_svc
+            values = [l1_regularisation(c, rows) for c in spec["C"]]
+            found = grid_search(data, make(1.0, rows, iterations), {"regParam": values})
+            points += [
+                {"C": c, "k": k, "gamma": gamma, "accuracy": float(a)} for c, a in zip(spec["C"], found.avgMetrics)
+            ]
+    return sorted(points, key=lambda p: -p["accuracy"])
+
+
 def random_fourier_features(gamma: float, inputs: int, outputs: int, seed: int = 7):
     """Pandas UDF for features whose dot products approximate the RBF kernel exp(-gamma |x - y|^2).
 

@@ -203,17 +203,12 @@ def linear_models(spark, folder):
 
 
 def grid_search(spark, folder):
-    """Accuracy per grid point, over given folds."""
+    """Accuracy per grid point of the linear model, over given folds."""
     c = Corpus(spark, folder)
     data = _training(c).withColumn("label_no", (F.col("lang") == "en").cast("double"))
-    rows = data.count()
-    svc = sel.linear_svc(1.0, rows, 10)
-    grid = {"regParam": [sel.l1_regularisation(v, rows) for v in sel.C_VALUES]}
-    found = sel.grid_search(data, svc, grid)
-    points = [
-        (float(v), float(score), bool(score == max(found.avgMetrics))) for v, score in zip(sel.C_VALUES, found.avgMetrics)
-    ]
-    return spark.createDataFrame(points, "c double, accuracy double, is_best boolean")
+    points = sel.search_model(data, "linear_svc", iterations=10)
+    rows = [(float(p["C"]), p["accuracy"], p["accuracy"] == points[0]["accuracy"]) for p in points]
+    return spark.createDataFrame(rows, "c double, accuracy double, is_best boolean")
 
 
 def rbf_features(spark, folder):
