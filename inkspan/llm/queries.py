@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkspan.llm import toxicity
+from inkspan.llm import bpe, toxicity
 from inkspan.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -25,3 +25,17 @@ def op1_toxicity(spark, folder):
 
 
 QUERIES["op1_toxicity"] = op1_toxicity
+
+
+def op9_bpe(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    back = bpe.decode(bpe.encode(docs).drop("text"))
+    return back.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES["op9_bpe"] = op9_bpe
