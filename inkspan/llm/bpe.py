@@ -27,7 +27,6 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from inkspan.llm.frames import append_columns, column, pack
 
@@ -158,8 +157,7 @@ def encode(docs: DataFrame, text_column: str = "text", path: str = RANKS, patter
 
         return compute
 
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
-    return append_columns(docs, make, fields)
+    return append_columns(docs, make, "n_tokens long, ids binary")
 
 
 class _Bytes:
@@ -203,8 +201,7 @@ def decode(docs: DataFrame, ids_column: str = "ids", path: str = RANKS) -> DataF
 
         return compute
 
-    fields = [T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())]
-    return append_columns(docs, make, fields)
+    return append_columns(docs, make, "decoded binary, decoded_text string")
 
 
 def offsets(docs: DataFrame, ids_column: str = "ids", path: str = RANKS) -> DataFrame:
@@ -229,5 +226,4 @@ def offsets(docs: DataFrame, ids_column: str = "ids", path: str = RANKS) -> Data
 
         return compute
 
-    array = T.ArrayType(T.IntegerType())
-    return append_columns(docs, make, [T.StructField("starts", array), T.StructField("ends", array)])
+    return append_columns(docs, make, "starts array<int>, ends array<int>")

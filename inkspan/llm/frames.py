@@ -30,14 +30,15 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
 def append_columns(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
-    fields: list[T.StructField],
+    ddl: str,
 ) -> DataFrame:
-    """``df`` with computed columns at the end; no shuffle.
+    """``df`` with computed columns (``ddl``) at the end; no shuffle.
 
     ``make`` runs once per task and returns the function applied to each batch. An input column with
     the name of a computed one is replaced.
     """
     bounded_batches(df.sparkSession)
+    fields = T.StructType.fromDDL(ddl).fields
     kept = df.drop(*[f.name for f in fields])
     names = [*kept.columns, *[f.name for f in fields]]
 

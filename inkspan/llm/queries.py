@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkspan.llm import bpe, toxicity
+from inkspan.llm import bpe, secrets, toxicity
 from inkspan.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -39,3 +39,19 @@ def op9_bpe(spark, folder):
 
 
 QUERIES["op9_bpe"] = op9_bpe
+
+
+def op8_secrets(spark, folder):
+    found = secrets.detect(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["depth"] == 0)
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+        secrets.span_text(F.col("secrets")).alias("spans"),
+        F.size(F.filter("secrets", lambda s: s["depth"] > 0)).cast("long").alias("n_hidden"),
+    )
+
+
+QUERIES["op8_secrets"] = op8_secrets

@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkspan.llm.frames import append_columns, bounded_batches, column
 from inkspan.llm.wordhash import NOT_ALNUM, char_index, mix, words_of
@@ -199,12 +198,7 @@ def score(docs: DataFrame, model: bytes, text_column: str = "text", floor: float
 
         return compute
 
-    fields = [
-        T.StructField("toxicity", T.DoubleType()),
-        T.StructField("n_sentences", T.LongType()),
-        T.StructField("offending", T._parse_datatype_string(SPANS)),
-    ]
-    return append_columns(docs, make, fields)
+    return append_columns(docs, make, "toxicity double, n_sentences long, offending " + SPANS)
 
 
 def _word_length(data: np.ndarray, start: int, stop: int) -> int:
