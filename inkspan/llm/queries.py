@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkspan.llm import bpe, secrets, toxicity
+from inkspan.llm import bpe, decontaminate, secrets, toxicity
 from inkspan.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -55,3 +55,13 @@ def op8_secrets(spark, folder):
 
 
 QUERIES["op8_secrets"] = op8_secrets
+
+
+def op2_decontaminate(spark, folder):
+    found = decontaminate.links(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "distance", "budget", "n_words", "start", "end"
+    )
+
+
+QUERIES["op2_decontaminate"] = op2_decontaminate
