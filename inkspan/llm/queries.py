@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkspan.llm import bpe, decontaminate, minhash, secrets, toxicity
+from inkspan.llm import bpe, decontaminate, minhash, repeats, secrets, toxicity
 from inkspan.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -96,3 +96,32 @@ reach AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+
+def op5_repeats(spark, folder):
+    kept = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES["op5_repeats"] = op5_repeats
+ORACLE["op5_repeats"] = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 18)) AS p, unnest(list_transform(range(1, len(ws) - 18),
+    lambda i: md5(array_to_string(ws[i:i + 19], ' ')))) AS h
+  FROM t WHERE len(ws) >= 20
+), ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM windows
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM ranked WHERE k > 1
+), words AS (
+  SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM t
+), kept AS (
+  SELECT w.doc_id, count(*) AS n, string_agg(w.word, ' ' ORDER BY w.p) AS text
+  FROM words w ANTI JOIN covered c ON c.doc_id = w.doc_id AND c.p = w.p GROUP BY w.doc_id
+)
+SELECT t.doc_id, len(t.ws)::BIGINT AS n_words, (len(t.ws) - coalesce(k.n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(k.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
