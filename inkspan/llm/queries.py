@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkspan.llm import bpe, decontaminate, minhash, repeats, secrets, toxicity
+from inkspan.llm import bpe, decontaminate, metric_join, minhash, repeats, secrets, toxicity
 from inkspan.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -125,3 +125,28 @@ SELECT t.doc_id, len(t.ws)::BIGINT AS n_words, (len(t.ws) - coalesce(k.n, 0))::B
   sha256(coalesce(k.text, '')) AS kept_sha256
 FROM t LEFT JOIN kept k ON k.doc_id = t.doc_id
 """
+
+
+def op7_metric_join(spark, folder):
+    return metric_join.near_vectors(table(spark, folder, "embeddings"))
+
+
+QUERIES["op7_metric_join"] = op7_metric_join
+ORACLE["op7_metric_join"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98
+), reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM embeddings
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other
+), c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
