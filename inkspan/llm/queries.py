@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkspan.llm import bpe, decontaminate, metric_join, minhash, repeats, secrets, toxicity
+from inkspan.llm import bpe, decontaminate, licenses, metric_join, minhash, repeats, secrets, toxicity
 from inkspan.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -150,3 +150,23 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
+
+
+def op3_licenses(spark, folder):
+    found = licenses.detect(table(spark, folder, "documents").select("doc_id", "text"))
+    base, more = F.col("base.label"), F.col("notices.label")
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.word").alias("first_word"),
+        F.array_max("base.word").alias("last_word"),
+        listed(base).alias("base_labels"),
+        listed(F.concat(base, more)).alias("labels"),
+        "score",
+        F.size(F.filter("notices", lambda n: n["edits"] > 0)).cast("long").alias("n_misspelt"),
+    )
+
+
+QUERIES["op3_licenses"] = op3_licenses
