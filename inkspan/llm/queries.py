@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkspan.llm import bpe, decontaminate, licenses, metric_join, minhash, repeats, secrets, toxicity
+from inkspan.llm import bpe, decontaminate, licenses, metric_join, minhash, personal, repeats, secrets, toxicity
 from inkspan.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -170,3 +170,20 @@ def op3_licenses(spark, folder):
 
 
 QUERIES["op3_licenses"] = op3_licenses
+
+
+def op6_personal(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = personal.detect(docs, personal.fit(docs))
+    base = F.filter("personal", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in personal.KINDS],
+        F.sha2(personal.span_text(base), 256).alias("base_sha256"),
+        personal.span_text(F.col("personal")).alias("spans"),
+        F.size(F.filter("personal", lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
+
+
+QUERIES["op6_personal"] = op6_personal
