@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkspan.llm import bpe, decontaminate, licenses, metric_join, minhash, personal, repeats, secrets, toxicity
+from inkspan.llm import bpe, decontaminate, licenses, metric_join, minhash, personal, repeats, secrets, toxicity, warc
 from inkspan.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -187,3 +187,29 @@ def op6_personal(spark, folder):
 
 
 QUERIES["op6_personal"] = op6_personal
+
+
+def op4_warc(spark, folder):
+    pages = table(spark, folder, "pages")
+    captures = warc.write(pages, warc.archive_folder(spark))
+    records = warc.lookup(pages, warc.build_index(captures))
+    return records.select(
+        warc.plain_id("capture").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        warc.plain_id("refers_to").alias("refers_to"),
+    )
+
+
+QUERIES["op4_warc"] = op4_warc
+ORACLE["op4_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
