@@ -184,7 +184,8 @@ def fit(
                 boosting.calibrate(model, x[apart], y[apart], precision)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return bytes(found.repartition(1).mapInArrow(learn, "model binary").first()["model"])
+    learned = found.repartition(1).mapInArrow(learn, "model binary").first()
+    return bytes(learned["model"]) if learned else pickle.dumps(None)
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"

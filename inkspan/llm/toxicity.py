@@ -110,6 +110,10 @@ def fit_weights(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float
     return weights.astype(np.float32), float(bias)
 
 
+def pack_model(weights: np.ndarray, bias: float) -> bytes:
+    return zlib.compress(np.append(weights, np.float32(bias)).tobytes(), 1)
+
+
 def held_out(id_column: str) -> Column:
     """The fold that is never learned from: crc32 of the id as text, modulo 5, is 0 (a null id: '')."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % 5 == 0
@@ -156,11 +160,11 @@ def fit(
                     break
                 texts.append(text)
                 marks.append(mark)
-        weights, bias = fit_weights(texts, np.array(marks, int))
-        model = np.append(weights, np.float32(bias)).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(model, 1)], pa.binary())], ["model"])
+        model = pack_model(*fit_weights(texts, np.array(marks, int)))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    return bytes(rows.repartition(1).mapInArrow(learn, "model binary").first()["model"])
+    learned = rows.repartition(1).mapInArrow(learn, "model binary").first()
+    return bytes(learned["model"]) if learned else pack_model(*fit_weights([], np.zeros(0, int)))
 
 
 def score(docs: DataFrame, model: bytes, text_column: str = "text", floor: float = 0.5) -> DataFrame:
