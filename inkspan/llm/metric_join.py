@@ -167,7 +167,7 @@ def _join(cells: DataFrame, radius: float, threshold: float) -> DataFrame:
                 piece = (*[x[at:end] for x in numbers], np.stack(vectors[at:end]))
                 if role[at] == 0:
                     parts.append(piece)
-                else:
+                elif parts:  # a block may have got no home vector
                     block = block or _Block(parts)
                     block.meet(*piece, radius, threshold)
                 at = end

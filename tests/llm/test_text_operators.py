@@ -197,15 +197,15 @@ def test_personal_trees_add_spans(spark, make):
     for k in range(900):
         n = number()
         if k % 3 == 0:
-            rows.append((k, f"please call our phone +1 ({n[:3]}) {n[3:6]}-{n[6:]} today"))
+            rows.append((k, f"please call our phone +{n[:3]} {n[3:6]}-{n[6:]} today"))
         elif k % 3 == 1:
             rows.append((k, f"order part {n} {n[:5]} of the list"))
         else:
             rows.append((k, f"mail hein{k}.x@mail{k % 9}.example.com at once"))
-    docs = make([*rows, (9_999, "please call our phone (555) 123-4567 today")], "doc_id long, text string")
+    docs = make([*rows, (9_999, "please call our phone 555 123-4567 today")], "doc_id long, text string")
     found = personal.detect(docs, personal.fit(docs)).filter("doc_id = 9999 or doc_id % 3 = 1").collect()
-    added = {r.doc_id: [r.text[s.start : s.end] for s in r.personal] for r in found}
-    assert added[9_999] == ["(555) 123-4567"]
+    added = {r.doc_id: [r.text[s.start : s.end] for s in r.personal if not s.base] for r in found}
+    assert added[9_999] == ["555 123-4567"]
     assert sum(bool(v) for k, v in added.items() if k != 9_999) < 30
 
 
