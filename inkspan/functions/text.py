@@ -26,8 +26,33 @@ def pieces_of(text: Column, size: int = PIECE_CHARS) -> Column:
     )
 
 
-def _running_base(measures: Column, index: Column) -> Column:
-    return F.aggregate(F.slice(measures, F.lit(1), index), F.lit(0), lambda acc, x: acc + x)
+# A fold that appends copies what it has so far, so running sums are folded in runs of this length.
+RUN = 256
+
+
+def _runs(values: Column) -> Column:
+    """The array cut into runs; an empty array has none."""
+    count = F.ceil(F.size(values) / RUN).cast("int")
+    starts = F.slice(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), F.lit(1), count)
+    return F.transform(starts, lambda k: F.slice(values, k * RUN + 1, F.lit(RUN)))
+
+
+def _fold_sums(values: Column, base: Column) -> Column:
+    """Sums before each value, from ``base`` on, by one appending fold."""
+    start = F.struct(base.alias("at"), F.array().cast("array<int>").alias("sums"))
+    return F.aggregate(
+        values,
+        start,
+        lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["sums"], acc["at"]).alias("sums")),
+        lambda acc: acc["sums"],
+    )
+
+
+def sums_before(values: Column) -> Column:
+    """For each int of the array the sum of those before it, in time that is linear up to very long arrays."""
+    runs = _runs(values)
+    totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda acc, x: acc + x))
+    return F.flatten(F.zip_with(runs, _fold_sums(totals, F.lit(0)), _fold_sums))
 
 
 def text_pieces(
@@ -48,16 +73,19 @@ def text_pieces(
         .otherwise(none)
         .alias("_words"),
     )
+    bases = measured.select(
+        *keys, "_pieces", sums_before(F.col("_chars")).alias("_chars"), sums_before(F.col("_words")).alias("_words")
+    )
     parts = F.transform(
         "_pieces",
         lambda p, i: F.struct(
             i.alias("piece_no"),
             p.alias("piece"),
-            _running_base(F.col("_chars"), i).alias("char_base"),
-            _running_base(F.col("_words"), i).alias("token_base"),
+            F.coalesce(F.get("_chars", i), F.lit(0)).alias("char_base"),
+            F.coalesce(F.get("_words", i), F.lit(0)).alias("token_base"),
         ),
     )
-    return measured.select(*keys, F.inline(parts))
+    return bases.select(*keys, F.inline(parts))
 
 
 def token_table(
@@ -85,24 +113,19 @@ def match_spans(text: Column, pattern: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(
-        found,
-        F.slice(gaps, F.lit(1), F.size(found)),
-        lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")),
+    # Start of each match: the gaps and matches before it, and the gap right before it.
+    steps = F.zip_with(
+        found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"))
     )
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,end:int,occurrence:string>>").alias("spans"),
+    before = sums_before(F.transform(steps, lambda s: s["g"] + F.length(s["m"])))
+    return F.zip_with(
+        steps,
+        before,
+        lambda s, at: F.struct(
+            (at + s["g"]).alias("start"), (at + s["g"] + F.length(s["m"])).alias("end"), s["m"].alias("occurrence")
+        ),
     )
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + pair["g"]
-        end = begin + F.length(pair["m"])
-        span = F.struct(begin.alias("start"), end.alias("end"), pair["m"].alias("occurrence"))
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
-
 
 def spans_table(df: DataFrame, keys: list[str], pattern: str, text: str = "text") -> DataFrame:
     """One row per match: keys, start, end, occurrence. Texts without a match cost one pass."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions import national_id
-from inkspan.functions.text import WORD, extract, spans_table, text_pieces
+from inkspan.functions.text import WORD, match_spans, spans_table, text_pieces
 from inkspan.operators.phrases import phrase_occurrences, phrase_terms, vocabulary_positions
 from inkspan.sources.staging import stage
 
@@ -97,19 +97,17 @@ def dictionary_mentions(docs: DataFrame, dictionary: DataFrame, text: str = "tex
     pieces = text_pieces(hit_docs, ["doc_id"], text).join(
         edges.select("doc_id", "piece_no").distinct(), ["doc_id", "piece_no"], "left_semi"
     )
-    word, gap = WORD, r"[^\p{L}\p{M}\p{N}_]*"
-    before = F.concat(F.lit(f"^(?:{gap}{word}){{"), F.col("at").cast("string"), F.lit(f"}}{gap}"))
-    until = F.concat(F.lit(f"^(?:{gap}{word}){{"), (F.col("at") + 1).cast("string"), F.lit("}"))
-    offset = F.col("char_base") + F.length(
-        extract(F.col("piece"), F.when(F.col("edge") == "start", before).otherwise(until))
-    )
-    placed = edges.join(pieces, ["doc_id", "piece_no"]).withColumn("offset", offset)
+    # Words of a piece are placed once, whatever the number of occurrences in it.
+    words = pieces.select("doc_id", "piece_no", "char_base", match_spans(F.col("piece"), WORD).alias("words"))
+    word = F.get("words", F.col("at"))
+    offset = F.col("char_base") + F.when(F.col("edge") == "start", word["start"]).otherwise(word["end"])
+    placed = edges.join(words, ["doc_id", "piece_no"]).withColumn("offset", offset)
     spans = placed.groupBy("doc_id", "label", "first_pos", "n").agg(
         F.min(F.when(F.col("edge") == "start", F.col("offset"))).alias("start"),
         F.min(F.when(F.col("edge") == "end", F.col("offset"))).alias("end"),
     )
     cut = F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start"))
-    whole = spans.join(hit_docs, "doc_id").withColumn("occurrence", cut)
+    whole = drop_long_spans(spans).join(hit_docs, "doc_id").withColumn("occurrence", cut)
     return mention_rows(whole, ["doc_id"], F.col("label"))
 
 

@@ -93,6 +93,7 @@ def with_reject_reason(listing: DataFrame, allowed: Sequence[str], max_mb: float
     reason = (
         F.when(F.col("listing_error").isNotNull(), "listing_error")
         .when(F.col("ext").isNull() | (F.col("ext") == ""), "no_extension")
+        .when(F.col("size_mb").isNull(), "no_size")
         .when(F.col("size_mb") > max_mb, "too_big")
         .when(~F.col("ext").isin(*allowed), "extension_not_allowed")
         .when(F.col("mail_date").isNotNull() & parse_mail_date(F.col("mail_date")).isNull(), "bad_date")
@@ -141,14 +142,23 @@ def dedupe_documents(arrivals: DataFrame, store: DataFrame | None = None) -> Dat
     because the reduced side has one row per key.
     """
     identity = ["company_id", "md5", "name"]
+
+    def same(left: str, right: str) -> Column:
+        """Nulls are equal, so an arrival without a name is a document as well."""
+        pairs = [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in identity]
+        return pairs[0] & pairs[1] & pairs[2]
+
     own = arrivals.groupBy(*identity).agg(F.min("doc_id").alias("_first"))
     if store is not None:
         stored = store.groupBy(*identity).agg(F.min("doc_id").alias("_stored"))
-        own = own.join(stored, identity, "left").withColumn("_first", F.coalesce("_stored", "_first"))
+        own = (
+            own.alias("o").join(stored.alias("s"), same("o", "s"), "left")
+            .select("o.company_id", "o.md5", "o.name", "s._stored", F.coalesce("s._stored", "o._first").alias("_first"))
+        )
     else:
         own = own.withColumn("_stored", F.lit(None).cast("bigint"))
-    return arrivals.join(own, identity).select(
-        *arrivals.columns,
+    return arrivals.alias("a").join(own.alias("b"), same("a", "b")).select(
+        *[F.col(f"a.{c}") for c in arrivals.columns],
         F.col("_first").alias("canonical_doc_id"),
         (F.col("_stored").isNull() & (F.col("doc_id") == F.col("_first"))).alias("is_new"),
     )

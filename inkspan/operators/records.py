@@ -55,7 +55,8 @@ def conform_records(
     fields = []
     for f in schema:
         text = F.col(f"_raw.{f.name}")
-        value = text.try_cast(f.dataType)
+        nested = isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType)
+        value = F.from_json(text, f.dataType) if nested else text.try_cast(f.dataType)
         if f.name in required:
             checks.append(F.when(~malformed & text.isNull(), F.lit(f"missing:{f.name}")))
         checks.append(F.when(~malformed & text.isNotNull() & value.isNull(), F.lit(f"type:{f.name}")))

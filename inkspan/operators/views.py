@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.sources.staging import stage
+
 from inkspan.operators.features import EXTENSION_GROUPS
 
 
@@ -73,19 +75,25 @@ def group_documents(classifications: DataFrame, group_categories: DataFrame, gro
     )
 
 
-def category_tree(categories: DataFrame, max_depth: int) -> DataFrame:
-    """id, name, parent, depth; the root reports itself as parent."""
+def category_tree(categories: DataFrame) -> DataFrame:
+    """id, name, parent, depth; the root reports itself as parent.
+
+    Levels are added until one is empty, however deep the tree is. A category that is reached again
+    (a cycle below the root) is not added twice; categories that no root reaches are left out.
+    """
     level = categories.filter("parent_id IS NULL").select("category_id", "name", F.col("category_id").alias("parent"))
-    level = level.withColumn("depth", F.lit(0))
-    out = level
-    for depth in range(1, max_depth + 1):
+    out = level = stage(level.withColumn("depth", F.lit(0)), "level")
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
         above = level.select(F.col("category_id").alias("parent"))
-        level = (
+        below = (
             categories.withColumnRenamed("parent_id", "parent")
-            .filter(F.col("parent") != F.col("category_id"))
             .join(above, "parent")
+            .join(out.select("category_id"), "category_id", "left_anti")
             .select("category_id", "name", "parent", F.lit(depth).alias("depth"))
         )
+        level = stage(below, "level")
         out = out.unionByName(level)
     return out
 

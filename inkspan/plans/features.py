@@ -42,7 +42,7 @@ def ngrams(spark, folder):
     """Documents and occurrences per n-gram of one to three words, over all conversations."""
     c = Corpus(spark, folder)
     turns = c.raw("conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"
+        F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text"
     )
     counts = op.term_counts(turns, ngram_range=(1, 3))
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_total"))
@@ -55,9 +55,9 @@ def tfidf_text(spark, folder):
 
 
 def tfidf_bigrams(spark, folder):
-    """Word pairs with a cut, on titles and their documents' first words."""
+    """Words and word pairs of whole texts."""
     c = Corpus(spark, folder)
-    out = op.tfidf(c.raw("documents").select("doc_id", "text"), min_df=MIN_DF, ngram_range=(1, 2), cut=CUT)
+    out = op.tfidf(c.raw("documents").select("doc_id", "text"), min_df=MIN_DF, ngram_range=(1, 2))
     return out.withColumn("value", F.round("value", 6))
 
 
@@ -177,7 +177,7 @@ _TITLE = f"""SELECT doc_id, term FROM (SELECT doc_id,
 
 _GRAM_WORDS = "list_filter({}, lambda w: length(w) >= 2)"
 _BIGRAM = f"""SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term
-    FROM (SELECT doc_id, {_GRAM_WORDS.format(_WORDS.format('text') + f'[1:{CUT}]')} AS w FROM documents)"""
+    FROM (SELECT doc_id, {_GRAM_WORDS.format(_WORDS.format('text'))} AS w FROM documents)"""
 
 FEATURE_CTES = {
     **_tfidf_ctes("text", _stopped("true"), "documents", MIN_DF, 1.0),

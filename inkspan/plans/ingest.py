@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkspan.functions.dates import parse_mail_date
-from inkspan.functions.html import DROPPED, ENTITIES, html_text, html_title
+from inkspan.functions.html import DROPPED, html_text, html_title
 from inkspan.operators import ingest as op
 from inkspan.operators.language import PROFILES, detect_language
 from inkspan.plans.fixtures import Corpus, with_ctes
@@ -248,6 +248,14 @@ def _html_sql(column: str) -> str:
     return f"trim(regexp_replace({_entities_sql(sql)}, '[ \\t\\r\\n]+', ' ', 'g'))"
 
 
+# The references that the oracle decodes, the ampersand last.
+ENTITIES = {
+    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'",
+    "&copy;": "©", "&reg;": "®", "&middot;": "·", "&ndash;": "–", "&mdash;": "—",
+    "&hellip;": "…", "&amp;": "&",
+}
+
+
 def _entities_sql(sql: str) -> str:
     for name, char in ENTITIES.items():
         sql = "replace(%s, '%s', '%s')" % (sql, name, char.replace("'", "''"))

@@ -135,7 +135,7 @@ def group_documents(spark, folder):
 
 
 def category_tree(spark, folder):
-    return op.category_tree(Corpus(spark, folder).categories(), 3)
+    return op.category_tree(Corpus(spark, folder).categories())
 
 
 def extension_spec(spark, folder):

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from inkspan.operators.ingest import admit_documents, dedupe_documents
-from inkspan.operators.progress import latest_requests
+from inkspan.operators.progress import finished_files, latest_requests, scan_counts
 
 BATCH = "batch_no"
 
@@ -25,31 +25,26 @@ def _start(stream: DataFrame, write: Callable, checkpoint: str, mode: str, avail
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
 
 
-def progress_stream(
-    ends: DataFrame, path: str, checkpoint: str, lateness: str = "30 days", available_now: bool = False
-) -> StreamingQuery:
-    """Running counts per scan. Repeated ends of a file within the lateness count once.
+def progress_stream(ends: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Keep one row per batch and file of the ends seen, however late or repeated they are.
 
-    Changed scans are written per batch; overwriting the batch's own partition makes a replayed
-    batch harmless. :func:`latest_counts` reads the newest row per scan.
+    A batch is reduced to one row per file before it is written, and overwrites only its own
+    partition, so a replayed batch is harmless. :func:`latest_counts` joins the batches by the rule of
+    the batch operator.
     """
-    once = ends.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["scan_id", "uuid"])
-    counts = once.groupBy("scan_id").agg(
-        F.count(F.lit(1)).alias("finished"),
-        F.count_if(F.col("status") == "ok").alias("ok"),
-        F.count_if(F.col("status") != "ok").alias("failed"),
-    )
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+        finished_files(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 
-    return _start(counts, write, checkpoint, "update", available_now)
+    return _start(ends, write, checkpoint, "append", available_now)
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    values = F.struct("finished", "ok", "failed")
-    return rows.groupBy("scan_id").agg(F.max_by(values, BATCH).alias("_v")).select("scan_id", "_v.*")
+    """finished, ok and failed files per scan over all batches."""
+    files = spark.read.parquet(path).groupBy("scan_id", "uuid").agg(
+        F.bool_or("is_ok").alias("is_ok"), F.min("ts").alias("ts")
+    )
+    return scan_counts(files).select("scan_id", "finished", "ok", "failed")
 
 
 def intake_stream(

@@ -1,5 +1,6 @@
 """Hand-computed rows for the edges of the semantics."""
 
+import datetime as dt
 import io
 import zipfile
 
@@ -155,7 +156,7 @@ def test_descent_stops_on_a_repeat(spark):
 
 def test_root_is_its_own_parent(spark):
     cats = spark.createDataFrame([("R", "root", None), ("A", "a", "R")], "category_id string, name string, parent_id string")
-    assert {(r.category_id, r.parent, r.depth) for r in views.category_tree(cats, 3).collect()} == {("R", "R", 0), ("A", "R", 1)}
+    assert {(r.category_id, r.parent, r.depth) for r in views.category_tree(cats).collect()} == {("R", "R", 0), ("A", "R", 1)}
 
 
 def test_last_open_fold_is_next(spark):
@@ -260,3 +261,72 @@ def test_named_models(spark, name):
 def test_unknown_model(spark):
     with pytest.raises(KeyError):
         selection.search_model(None, "other")
+
+
+def test_dictionary_finds_terms_behind_thousands_of_short_words(spark):
+    docs = spark.createDataFrame([(1, "a " * 2_040 + "Deep Hit, and more")], "doc_id long, text string")
+    terms = spark.createDataFrame([("deep hit", "X")], "term string, label string")
+    found = entities.dictionary_mentions(docs, terms).collect()
+    assert [(r.start, r.end, r.occurrence) for r in found] == [(4_080, 4_088, "Deep Hit")]
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"010203-{k:04d}" for k in range(3_000))
+    docs = spark.createDataFrame([(1, "é " + text)], "doc_id long, text string")
+    found = entities.find_national_ids(docs).orderBy("start").collect()
+    assert [(r.start, r.occurrence) for r in found] == [(2 + 12 * k, f"010203-{k:04d}") for k in range(3_000)]
+
+
+def test_arrivals_without_identity_stay(spark):
+    rows = [(1, None, "m", "n"), (2, None, "m", "n"), (3, 1, None, None), (4, 1, "m", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, company_id long, md5 string, name string")
+    found = {r.doc_id: (r.canonical_doc_id, r.is_new) for r in ingest.dedupe_documents(docs).collect()}
+    assert found == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True)}
+    stored = {r.doc_id: r.canonical_doc_id for r in ingest.dedupe_documents(docs.filter("doc_id > 1"), docs.filter("doc_id = 1")).collect()}
+    assert stored == {2: 1, 3: 3, 4: 4}
+
+
+def test_null_size_has_a_reason(spark):
+    listing = spark.createDataFrame([("docx", None, None, None)], "ext string, size_mb double, listing_error string, mail_date string")
+    assert ingest.with_reject_reason(listing, ["docx"], 1.0).first().reject_reason == "no_size"
+
+
+def test_character_references(spark):
+    from inkspan.functions.html import decode_entities
+
+    row = spark.range(1).select(
+        decode_entities(F.lit("&eacute;&#233;&#xE9;&#x1F600; &amp;lt; &none; &#0; &#xD800; A&nbsp;B &")).alias("t")
+    ).first()
+    assert row.t == "ééé😀 &lt; &none; &#0; &#xD800; A B &"
+
+
+def test_header_is_not_the_head(spark):
+    from inkspan.functions.html import html_text
+
+    assert spark.range(1).select(html_text(F.lit("<head>x</head><header>Kept</header> text")).alias("t")).first().t == "Kept text"
+
+
+def test_deep_categories_stay_and_cycles_end(spark):
+    chain = [("0", "c", None)] + [(str(k), "c", str(k - 1)) for k in range(1, 7)] + [("x", "c", "y"), ("y", "c", "x")]
+    cats = spark.createDataFrame(chain, "category_id string, name string, parent_id string")
+    assert {r.category_id: r.depth for r in views.category_tree(cats).collect()} == {str(k): k for k in range(7)}
+
+
+def test_list_fields_in_records(spark):
+    schema = T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("k", T.LongType())])
+    df = spark.createDataFrame([('{"ids": [1, 2], "k": 3}',), ('{"ids": "no", "k": 3}',), ('{"k": 3}',)], "props string")
+    rows = records.conform_records(df, "props", schema, ["ids"]).collect()
+    assert [(r.ids, r.errors) for r in rows] == [([1, 2], []), (None, ["type:ids"]), (None, ["missing:ids"])]
+
+
+def test_late_and_repeated_ends_over_batches(spark, tmp_path):
+    rows = [(1, "a", "failed", 0), (1, "b", "ok", 1), (1, "a", "ok", 60), (1, "c", "failed", 61), (1, "b", "failed", 2)]
+    start = dt.datetime(2024, 1, 1)
+    schema = "scan_id long, uuid string, status string, ts timestamp"
+    source, path, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for k, (scan, uuid, status, day) in enumerate(reversed(rows)):
+        spark.createDataFrame([(scan, uuid, status, start + dt.timedelta(days=day))], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.file_stream(spark, source, "*.parquet", spark.createDataFrame([], schema).schema)
+        jobs.progress_stream(stream, path, state, available_now=True).awaitTermination()
+    row = jobs.latest_counts(spark, path).first()
+    assert (row.finished, row.ok, row.failed) == (3, 2, 1)
