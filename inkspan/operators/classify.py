@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspan.sources.staging import stage
+
 
 def language_or_default(lang: Column, default: str) -> Column:
     return F.coalesce(lang, F.lit(default))
@@ -41,6 +43,15 @@ def score_features(features: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
+INTERCEPT = "(intercept)"  # a feature of every document, with the value 1
+
+
+def with_intercept(features: DataFrame, docs: DataFrame) -> DataFrame:
+    """Long features and the intercept of every document, so that documents without a known feature are scored."""
+    constant = docs.select("doc_id", F.lit(INTERCEPT).alias("feature"), F.lit(1.0).alias("value"))
+    return features.select("doc_id", "feature", "value").union(constant)
+
+
 def predict_proba(scores: DataFrame) -> DataFrame:
     """(doc_id, label, probabilities) from scores; a map holds one entry per class of one model."""
     packed = scores.groupBy("doc_id").agg(
@@ -170,22 +181,25 @@ def latest_models(registry: DataFrame) -> DataFrame:
     )
 
 
-def ancestors(categories: DataFrame, max_depth: int) -> DataFrame:
-    """(category_id, ancestor_id, up): every category with itself and all categories above it."""
+def ancestors(categories: DataFrame) -> DataFrame:
+    """(category_id, ancestor_id, up): every category with itself and all categories above it.
+
+    Steps are taken until one adds nothing, however deep the tree is; a cycle is walked once.
+    """
     parents = categories.select(F.col("category_id").alias("_id"), F.col("parent_id").alias("_parent"))
     level = categories.select("category_id", F.col("category_id").alias("ancestor_id"), F.lit(0).alias("up"))
-    out = level
-    for up in range(1, max_depth + 1):
-        level = level.join(parents, F.col("ancestor_id") == F.col("_id")).filter(
-            F.col("_parent").isNotNull() & (F.col("_parent") != F.col("_id"))
-        ).select("category_id", F.col("_parent").alias("ancestor_id"), F.lit(up).alias("up"))
+    out = level = stage(level, "ancestors")
+    up = 0
+    while not level.isEmpty():
+        up += 1
+        above = level.join(parents, F.col("ancestor_id") == F.col("_id")).filter(F.col("_parent").isNotNull())
+        above = above.select("category_id", F.col("_parent").alias("ancestor_id"), F.lit(up).alias("up"))
+        level = stage(above.join(out, ["category_id", "ancestor_id"], "left_anti").select(above.columns), "ancestors")
         out = out.unionByName(level)
     return out
 
 
-def update_classification(
-    stored: DataFrame, updates: DataFrame, categories: DataFrame, max_depth: int
-) -> DataFrame:
+def update_classification(stored: DataFrame, updates: DataFrame, categories: DataFrame) -> DataFrame:
     """Add validated rows for a leaf chosen by a human and its ancestors (our definition).
 
     ``updates`` has (doc_id, category_id, ts). The newest choice per document counts; earlier
@@ -194,7 +208,7 @@ def update_classification(
     chosen = updates.groupBy("doc_id").agg(
         F.max_by("category_id", F.struct("ts", "category_id")).alias("category_id"), F.max("ts").alias("ts")
     )
-    lines = ancestors(categories, max_depth)
+    lines = ancestors(categories)
     height = F.max("up").over(Window.partitionBy("category_id"))
     paths = lines.withColumn("depth", height - F.col("up"))
     fresh = chosen.join(paths, "category_id").select(

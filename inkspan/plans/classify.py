@@ -67,11 +67,17 @@ def _term_weights(c):
     words = term_counts(c.raw("benchmark").select(F.col("item_id").alias("doc_id"), "text"))
     number = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 4), 16, 10).cast("bigint")
     classes = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")
-    return words.select("term").distinct().select(F.col("term").alias("feature"), number.alias("h"), classes).select(
+    known = words.select("term").distinct().select(F.col("term").alias("feature"), number.alias("h"), classes).select(
         "feature",
         F.concat(F.lit("class_"), "k").alias("label"),
         (((F.col("h") * (F.col("k") + 3)) % 17) / F.lit(170.0) - 0.05).alias("weight"),
     )
+    base = c.spark.range(3).select(
+        F.lit(op.INTERCEPT).alias("feature"),
+        F.concat(F.lit("class_"), F.col("id").cast("string")).alias("label"),
+        ((F.col("id") - 1) / F.lit(10.0)).alias("weight"),
+    )
+    return known.unionByName(base)
 
 
 def predict_proba(spark, folder):
@@ -79,6 +85,7 @@ def predict_proba(spark, folder):
     counts = term_counts(c.raw("documents").select("doc_id", "text"))
     features = counts.select("doc_id", F.col("term").alias("feature"), F.col("tf").cast("double").alias("value"))
     # rounded scores keep the winner of exact copies the same in any summation order
+    features = op.with_intercept(features, c.raw("documents"))
     scores = op.score_features(features, _term_weights(c)).withColumn("score", F.round("score", 6))
     out = op.predict_proba(scores)
     return out.select("doc_id", F.col("label").alias("predicted"), F.explode("probabilities").alias("label", "p")).select(
@@ -251,7 +258,7 @@ def update_classification(spark, folder):
         F.concat(F.lit("N"), (F.col("doc_id") * 7) % 25).alias("category_id"),
         F.timestamp_seconds(F.unix_timestamp(F.lit(STAMP)) + F.col("doc_id")).alias("ts"),
     )
-    out = op.update_classification(c.classifications(), updates, c.categories(), 2)
+    out = op.update_classification(c.classifications(), updates, c.categories())
     return out.select("doc_id", "depth", "category_id", "classifier_id", "confidence", "validated")
 
 
@@ -325,7 +332,9 @@ ORACLE = {
         weights AS (SELECT term, 'class_' || k AS label,
                ((('0x' || substr(md5(term), 1, 4))::BIGINT * (k + 3)) % 17) / 170.0::DOUBLE - 0.05 AS weight
                FROM known, (VALUES (0), (1), (2)) AS t(k)),
-        scores AS (SELECT doc_id, label, round(sum(tf * weight), 6) AS s FROM terms JOIN weights USING (term) GROUP BY ALL)
+        parts AS (SELECT doc_id, label, tf * weight AS s FROM terms JOIN weights USING (term)
+               UNION ALL SELECT doc_id, 'class_' || k, (k - 1) / 10.0::DOUBLE FROM documents, (VALUES (0), (1), (2)) AS t(k)),
+        scores AS (SELECT doc_id, label, round(sum(s), 6) AS s FROM parts GROUP BY ALL)
         SELECT doc_id, first_value(label) OVER (PARTITION BY doc_id ORDER BY s DESC, label) AS predicted, label,
                round(exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY doc_id), 6) AS p
         FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS m FROM scores)""",

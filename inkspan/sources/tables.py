@@ -4,20 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Below this many bytes per core a table may sit in fewer row groups than there are cores.
-SMALL_BYTES_PER_CORE = 8 << 20
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small table over all cores before text work; larger tables are left as they are.
+    """Spread a table of fewer files than cores over all cores before text work; others are left as they are.
 
-    A scan cannot split a row group, so a small file would keep one core busy and the others idle.
-    The decision uses the scan's size in bytes, so a large input is never shuffled here.
+    A scan cannot split a row group, so a single small file would keep one core busy. Rows do not
+    change; a table of many files is never shuffled here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * SMALL_BYTES_PER_CORE else df
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df

@@ -330,3 +330,22 @@ def test_late_and_repeated_ends_over_batches(spark, tmp_path):
         jobs.progress_stream(stream, path, state, available_now=True).awaitTermination()
     row = jobs.latest_counts(spark, path).first()
     assert (row.finished, row.ok, row.failed) == (3, 2, 1)
+
+
+def test_ancestors_of_deep_trees_and_cycles(spark):
+    rows = [("0", None)] + [(str(k), str(k - 1)) for k in range(1, 6)] + [("x", "y"), ("y", "x")]
+    cats = spark.createDataFrame(rows, "category_id string, parent_id string")
+    found = {(r.category_id, r.ancestor_id): r.up for r in classify.ancestors(cats).collect()}
+    assert {k: v for k, v in found.items() if k[0] == "5"} == {("5", str(k)): 5 - k for k in range(6)}
+    assert {k: v for k, v in found.items() if k[0] == "x"} == {("x", "x"): 0, ("x", "y"): 1}
+
+
+def test_documents_without_features_are_predicted(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    features = spark.createDataFrame([(1, "w", 2.0)], "doc_id long, feature string, value double")
+    weights = spark.createDataFrame(
+        [("a", "w", 1.0), ("b", "w", -1.0), ("a", classify.INTERCEPT, 0.0), ("b", classify.INTERCEPT, 0.5)],
+        "label string, feature string, weight double",
+    )
+    scores = classify.score_features(classify.with_intercept(features, docs), weights)
+    assert {r.doc_id: r.label for r in classify.predict_proba(scores).collect()} == {1: "a", 2: "b"}
