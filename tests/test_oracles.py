@@ -4,9 +4,11 @@ import pytest
 from oracle_check import compare, duck
 
 import __spark_entry__ as entry
+from inkspan.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# The training-text operators have their own tests.
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +27,7 @@ def test_query(spark, con, key):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship(spark):
