@@ -48,6 +48,11 @@ def steps(spark, corpus):
     return out
 
 
+def test_all_operators_are_registered():
+    numbers = sorted(int(name[2:].split("_")[0]) for name in entry.queries() if name.startswith("op"))
+    assert numbers == list(range(1, 11)) and entry.queries()["pipeline"] is corpus_pipeline.run
+
+
 def test_columns(steps):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontaminate", "secrets", "byte_bpe"]
     assert all(df.columns == COLUMNS for df, _ in steps[:-1])
