@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import extract
-
 # Fixed value: an initial (one ASCII letter with an optional period and space) or any period.
 INITIALS = r"(?U)(\b[A-Za-z]\.? ?\b)|\."
 
@@ -34,24 +32,6 @@ def without_middle_names(name: Column) -> Column:
     ).otherwise(name)
 
 
-def part_pattern(cleaned: Column) -> Column:
-    """Pattern for any whole part of a cleaned name, ignoring case; null when there is no part."""
-    parts = F.filter(F.split(cleaned, r"[ \-]"), lambda p: p != "")
-    quoted = F.transform(
-        parts,
-        lambda p: F.concat(F.lit("\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")),
-    )
-    body = F.concat(F.lit(r"(?iU)\b(?:"), F.array_join(quoted, "|"), F.lit(r")\b"))
-    return F.when(F.size(parts) > 0, body)
-
-
-def matched_part(cleaned: Column, text: Column, title: Column) -> Column:
-    """The part that occurs first in the text, else in the title; empty when none does."""
-    pattern = part_pattern(cleaned)
-    in_text = F.coalesce(extract(text, pattern), F.lit(""))
-    return F.when(in_text != "", in_text).otherwise(F.coalesce(extract(title, pattern), F.lit("")))
-
-
 def part_start(part: Column, name: Column) -> Column:
     """0-based start of the part inside the original name, -1 when cleaning changed it away."""
     return F.when(part == "", F.lit(-1)).otherwise(

@@ -126,21 +126,27 @@ def high_risk_exact(matches: DataFrame, keyword_hits: DataFrame, people: DataFra
     )
 
 
-def match_ranges(matches: DataFrame, docs: DataFrame, people: DataFrame) -> DataFrame:
-    """Where in the person's name the first matching part lies: adds start and end.
+def match_ranges(docs: DataFrame, people: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """Partial matches with the place, in the person's name, of the part that occurs first in the document.
 
-    ``range_ok`` is false when the part cannot be placed in the original name; such rows are kept
-    apart by the caller instead of failing the job.
+    First is by position in the text, then in the title: an aggregate over token positions, so texts are
+    read for the tokenization only. ``range_ok`` is false when the part cannot be placed in the
+    original name; such rows are kept apart by the caller instead of failing the job.
     """
+    wanted = stage(partial_terms(people), "partial-terms")
+    if positions is None:
+        positions = vocabulary_positions(
+            docs, wanted.select("company_id", "token"), ["doc_id", "company_id"], ["text", "name"]
+        )
+    place = F.struct((F.col("field") != "text").alias("in_title"), F.col("pos"))
+    first = (
+        positions.join(wanted, ["company_id", "token"])
+        .groupBy("person_id", "doc_id")
+        .agg(F.min_by("token", place).alias("_part"))
+    )
     who = people.select("person_id", F.col("name").alias("person_name"), "relation")
-    texts = docs.select("doc_id", "text", F.col("name").alias("title"))
-    part = fn.matched_part(fn.clean_name(F.col("person_name")), F.col("text"), F.col("title"))
-    placed = (
-        matches.join(who, "person_id")
-        .join(texts, "doc_id")
-        .withColumn("_part", part)
-        .drop("text", "title")
-        .withColumn("start", fn.part_start(F.col("_part"), F.col("person_name")).cast("int"))
+    placed = first.join(who, "person_id").withColumn(
+        "start", fn.part_start(F.col("_part"), F.col("person_name")).cast("int")
     )
     return placed.withColumns(
         {"end": (F.col("start") + F.length("_part")).cast("int"), "range_ok": F.col("start") >= 0}

@@ -98,14 +98,14 @@ def high_risk_exact(spark, folder):
 def high_risk_partial(spark, folder):
     c = Corpus(spark, folder)
     docs, people = search_docs(c), c.people()
-    ranged = op.match_ranges(op.partial_name_matches(docs, people), docs, people)
+    ranged = op.match_ranges(docs, people)
     return op.high_risk_partial(ranged, op.keyword_matches(docs, c.keywords()))
 
 
 def match_range(spark, folder):
     c = Corpus(spark, folder)
     docs, people = search_docs(c), c.people()
-    ranged = op.match_ranges(op.partial_name_matches(docs, people), docs, people)
+    ranged = op.match_ranges(docs, people)
     return ranged.select("person_id", "doc_id", "start", "end", "range_ok")
 
 

@@ -79,8 +79,9 @@ def test_keyword_phrases_use_own_language_only(spark):
 def test_match_range(spark):
     docs = _docs(spark, ["see kennedy there", "stjohn"])
     people = _people(spark, "John F. Kennedy", "St.John")
-    pairs = spark.createDataFrame([(0, 0), (1, 1)], "person_id long, doc_id long")
-    rows = {r.person_id: (r.start, r.end, r.range_ok) for r in names.match_ranges(pairs, docs, people).collect()}
+    found = names.match_ranges(docs, people)
+    assert "Scan" in found._jdf.queryExecution().executedPlan().toString() and "text#" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {r.person_id: (r.start, r.end, r.range_ok) for r in found.collect()}
     assert rows[0] == (8, 15, True)
     assert rows[1][2] is False
 
