@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,17 +14,24 @@ from pyspark.sql import types as T
 from inkspan.sources.staging import stage
 from inkspan.sources.tables import table
 
-__all__ = ["ARROW_BYTES", "append_columns", "bounded_batches", "key_or_least", "pack", "stage", "table"]
+__all__ = ["ARROW_BYTES", "append_columns", "bounded_batches", "id_filter", "key_or_least", "pack", "stage", "table"]
 
 # Bytes of one Arrow batch handed to Python. Bounds a task's Python memory whatever a text's length:
 # a batch ends with the row that crosses it.
 ARROW_BYTES = 4 << 20
 
 LEAST = -(1 << 63)
+ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Cut Arrow batches by bytes, not by 10,000 rows."""
+    """Cut Arrow batches by bytes, not by 10,000 rows; let workers of this machine find the package.
+
+    On a cluster the package is shipped as usual (``--py-files``); the path then does no harm.
+    """
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
@@ -62,3 +71,31 @@ def pack(values: Iterable[bytes | None]) -> pa.Array:
 def key_or_least(name: str) -> Column:
     """An id for joins and orders; null ids are one id below all others."""
     return F.coalesce(F.col(name).cast("long"), F.lit(LEAST))
+
+
+def id_filter(ids: DataFrame, name: str) -> Callable[[Column], Column]:
+    """A test that lets all of ``ids`` through and few others, to thin a table before a join that decides.
+
+    A bit table of 2**16 to 2**23 bits (1 MB at most, about 16 bits an id below that), made by an
+    aggregate and read in the JVM as a scalar subquery. With many more ids it lets everything through.
+    """
+    wanted = min(1 << 23, max(1 << 16, 1 << (16 * max(1, ids.count()) - 1).bit_length()))
+    slots = wanted // 64
+
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(wanted))
+
+    spot = place(F.col(name))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))
+    rows = ids.select((F.floor(spot / 64)).cast("int").alias("slot"), bit.alias("bit"))
+    empty = ids.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("bit"))
+    table = rows.union(empty).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    packed = table.agg(F.array_sort(F.collect_list(F.struct("slot", "bits"))).alias("t")).select("t.bits")
+    bits = packed.scalar()
+
+    def test(column: Column) -> Column:
+        at = place(column)
+        word = F.element_at(bits, (F.floor(at / 64) + 1).cast("int"))
+        return F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(1) == 1
+
+    return test

@@ -8,9 +8,13 @@ probability that its similarity reaches the threshold is below ``MISS``. Survivo
 their full sets. A pair at similarity 0.8 shares no band with probability 3e-6.
 
 No group is expanded into all pairs. Members of a bucket are compared with its smallest member first
-and the links contracted to components. Only buckets that then still hold several components are
-looked at again: each member outside the bucket's largest component is compared, signature by
-signature in blocks, with all members of other components, so no link between components is lost.
+and the links contracted to components. Only buckets
+that then still hold several components are looked at again: each member outside the bucket's largest
+component is compared, signature by signature in blocks, with all members of other components. There
+a second test without error drops more: shingles fall into ``CELLS`` cells, and two sets share at most
+the sum of the smaller counts of each cell. The
+likeliest pair of a member and a component is verified first, and all others of components that are
+still apart at last, so no link between components is lost.
 
 Defined cases: a null text, or one without words, has an empty set, links with nothing and is kept.
 With fewer words than a shingle has, the whole sequence is one shingle. Repeated rows of one id are
@@ -28,22 +32,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.components import components
-from inkspan.llm.frames import LEAST, bounded_batches, key_or_least, stage
+from inkspan.llm.frames import LEAST, bounded_batches, id_filter, key_or_least, pack, stage
 from inkspan.llm.wordhash import BLANKS, grams, mix, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
+MINIMA = BANDS * ROWS
+CELLS = 1024  # one byte each
 BATCH = 32  # minima compared before each look at the posterior
-MISS = 1e-5
+MISS = 1e-4
 BLOCK = 512  # members compared at once
 SLOT = 512  # members verified against one document in one task
 CHUNK = 1 << 16
 
 _U = np.uint64
-_FACTORS = np.random.default_rng(94_021).integers(0, 1 << 63, BANDS * ROWS, dtype=_U) * _U(2) + _U(1)
+_FACTORS = np.random.default_rng(94_021).integers(0, 1 << 63, MINIMA, dtype=_U) * _U(2) + _U(1)
 
 
-def least_matches(threshold: float, miss: float = MISS, minima: int = BANDS * ROWS, batch: int = BATCH) -> dict[int, int]:
+def least_matches(threshold: float, miss: float = MISS, minima: int = MINIMA, batch: int = BATCH) -> dict[int, int]:
     """For each number of minima compared, the agreements a pair needs to be looked at further.
 
     One byte of each minimum is compared, so unlike minima agree once in 256.
@@ -78,7 +84,7 @@ def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Minima (documents x BANDS * ROWS) of sets that aren't empty."""
+    """Minima (documents x MINIMA) of sets that aren't empty."""
     out = np.empty((len(sets), len(_FACTORS)), _U)
     at = 0
     while at < len(sets):
@@ -103,7 +109,7 @@ def _band_keys(minima: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc, n (set size), bands (keys) and signature (a byte of each minimum). Needs columns doc and text."""
+    """doc, n (set size), bands (keys), signature (a byte of each minimum) and cells. Needs columns doc and text."""
 
     def run(batches):
         for batch in batches:
@@ -119,27 +125,39 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             )
             rows = [small[e - 1].tobytes() if n else b"" for n, e in zip(size, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(size), bands, pa.array(rows, pa.binary())],
-                ["doc", "n", "bands", "signature"],
+                [batch.column("doc"), pa.array(size), bands, pack(rows), pack(cells_of(s) for s in sets)],
+                ["doc", "n", "bands", "signature", "cells"],
             )
 
-    return docs.mapInArrow(run, "doc long, n long, bands array<long>, signature binary")
+    return docs.mapInArrow(run, "doc long, n long, bands array<long>, signature binary, cells binary")
+
+
+def cells_of(members: np.ndarray) -> bytes:
+    """How many shingles fall into each cell. A set that overfills one counts as filling all."""
+    count = np.bincount((members & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return (count if count.max() <= 255 else np.full(CELLS, 255)).astype(np.uint8).tobytes()
+
+
+def most_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Upper bounds of the shingles shared by aligned rows of cells (of sets of up to 255 * CELLS)."""
+    return np.minimum(left, right).sum(axis=1, dtype=np.int64)
 
 
 def _matrix(column) -> np.ndarray:
+    """Signatures of one length as rows."""
     joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, np.uint8).reshape(-1, len(_FACTORS))
+    return np.frombuffer(joined, np.uint8).reshape(len(column), -1)
 
 
-def may_reach(left: np.ndarray, right: np.ndarray, needed: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the aligned signature rows survive all batches, and their agreements."""
+def may_reach(left: np.ndarray, right: np.ndarray, needed: dict[int, int]) -> np.ndarray:
+    """Which of the aligned signature rows survive all batches."""
     alive, agreed = np.arange(len(left)), np.zeros(len(left), np.int32)
     begin = 0
     for n, least in needed.items():
         agreed[alive] += (left[alive, begin:n] == right[alive, begin:n]).sum(axis=1, dtype=np.int32)
         alive = alive[agreed[alive] >= least]
         begin = n
-    return alive, agreed[alive]
+    return alive
 
 
 def prune(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
@@ -153,7 +171,7 @@ def prune(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             if len(batch):
-                alive, _ = may_reach(_matrix(batch.column("sa")), _matrix(batch.column("sb")), needed)
+                alive = may_reach(_matrix(batch.column("sa")), _matrix(batch.column("sb")), needed)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).take(pa.array(alive)) for c in ("a", "b")], ["a", "b"]
                 )
@@ -167,21 +185,22 @@ def _sizes_allow(a: str, b: str, threshold: float):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the threshold.
+    """Those of ``pairs`` (a, b; a staged table) whose full sets reach the threshold.
 
     The texts of all ``b`` meet the text of their ``a`` in a group; the groups of an ``a`` with many
     partners are split into slots, and the text of ``a`` goes to each of them.
     """
     percent = round(threshold * 100)
-    pairs = stage(pairs.select("a", "b").distinct(), "pairs")
     slots = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLOT).alias("slots"))
     placed = pairs.join(slots, "a").withColumn("slot", F.pmod(F.xxhash64("b"), F.col("slots")))
     wanted = placed.select(F.col("b").alias("doc"), "a", "slot", F.lit(1).alias("role")).union(
         slots.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)), F.lit(0))
     )
-    # Staged, so that the join with the texts is planned with the real size of this side.
+    # Staged, so that the join with the texts is planned with the real size of this side; texts that
+    # aren't wanted are mostly kept out of the join.
+    wanted = stage(wanted, "wanted")
     gathered = (
-        texts.join(stage(wanted, "wanted"), "doc")
+        texts.filter(id_filter(wanted, "doc")(F.col("doc"))).join(wanted, "doc")
         .repartition("a", "slot")
         .sortWithinPartitions("a", "slot", "role")
         .select("a", "slot", "role", "doc", "text")
@@ -227,7 +246,9 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def residual_pairs(members: DataFrame, found: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that may reach the threshold in buckets holding several components.
+    """Pairs that may reach the threshold in buckets holding several components: home, other, part, share.
+
+    ``part`` is the component of ``other``, ``share`` bounds the similarity.
 
     ``members``: key, doc. Each member outside the largest component of its bucket is dealt to a block
     of its bucket; every member passes by every block of its bucket and is compared with the block's
@@ -246,11 +267,11 @@ def residual_pairs(members: DataFrame, found: DataFrame, sketch: DataFrame, thre
         "open",
     )
     if open_keys.isEmpty():
-        return members.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
-    rows = placed.join(open_keys, "key").join(sketch.select("doc", "n", "signature"), "doc")
+        return members.sparkSession.createDataFrame([], RESIDUAL)
+    rows = placed.join(open_keys, "key").join(sketch.select("doc", "n", "signature", "cells"), "doc")
     home = rows.filter("component <> largest").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     passing = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    columns = ["key", "block", "role", "doc", "component", "n", "signature"]
+    columns = ["key", "block", "role", "doc", "component", "n", "signature", "cells"]
     dealt = (
         home.withColumn("role", F.lit(0)).select(columns)
         .union(passing.withColumn("role", F.lit(1)).select(columns))
@@ -265,7 +286,7 @@ def residual_pairs(members: DataFrame, found: DataFrame, sketch: DataFrame, thre
             keys = list(zip(batch.column("key").to_pylist(), batch.column("block").to_pylist(), strict=True))
             role = batch.column("role").to_numpy()
             docs, parts, sizes = (batch.column(c).to_numpy() for c in ("doc", "component", "n"))
-            shapes = _matrix(batch.column("signature"))
+            shapes, filled = _matrix(batch.column("signature")), _matrix(batch.column("cells"))
             at, found = 0, []
             while at < len(keys):
                 if keys[at] != group:
@@ -273,27 +294,37 @@ def residual_pairs(members: DataFrame, found: DataFrame, sketch: DataFrame, thre
                 end = at + 1
                 while end < len(keys) and keys[end] == group and role[end] == role[at]:
                     end += 1
-                piece = (docs[at:end], parts[at:end], sizes[at:end], shapes[at:end])
+                piece = (docs[at:end], parts[at:end], sizes[at:end], shapes[at:end], filled[at:end])
                 if role[at] == 0:
                     block.append(piece)
                 else:
                     if ready is None:
                         ready = [np.concatenate(x) for x in zip(*block, strict=True)]
-                    for d, c, n, s in zip(*ready, strict=True):
+                    for d, c, n, s, f in zip(*ready, strict=True):
                         fit = (piece[1] != c) & (
                             100 * np.minimum(piece[2], n) >= percent * np.maximum(piece[2], n)
                         )
                         near = np.flatnonzero(fit)
                         if len(near):
-                            alive, _ = may_reach(piece[3][near], np.broadcast_to(s, (len(near), len(s))), needed)
-                            found += [(int(d), int(x)) for x in piece[0][near[alive]]]
+                            alive = may_reach(piece[3][near], np.broadcast_to(s, (len(near), len(s))), needed)
+                            kept = near[alive]
+                            both = most_shared(piece[4][kept], f[None])
+                            total = piece[2][kept] + n
+                            large = np.minimum(piece[2][kept], n) > 255 * CELLS
+                            fit = large | (100 * both >= percent * (total - both))
+                            kept, share = kept[fit], (both / (total - both))[fit]
+                            found.append((np.full(len(kept), d), piece[0][kept], piece[1][kept], share))
                 at = end
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"]
+                [pa.array(c.astype(k)) for c, k in zip(columns, (np.int64, np.int64, np.int64, np.float64), strict=True)],
+                ["home", "other", "part", "share"],
             )
 
-    pairs = dealt.mapInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.mapInArrow(run, RESIDUAL)
+
+
+RESIDUAL = "home long, other long, part long, share double"
 
 
 def near_duplicates(
@@ -304,7 +335,7 @@ def near_duplicates(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row per document: the id, n_shingles, component_id (smallest id reachable by links), kept."""
-    bounded_batches(docs.sparkSession)
+    spark = bounded_batches(docs.sparkSession)
     texts = docs.select(key_or_least(id_column).alias("doc"), F.col(text_column).cast("string").alias("text"))
     sketch = stage(sketches(texts, shingle), "sketch")
     banded = sketch.filter("n > 0").select("doc", F.explode("bands").alias("key"))
@@ -315,25 +346,27 @@ def near_duplicates(
     stars = shared.filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
     candidates = stage(prune(stars, sketch, threshold), "candidates")
 
-    # Each document with its smallest candidate first: most groups are whole after that.
-    nearest = candidates.groupBy("b").agg(F.min("a").alias("a"))
-    links = [stage(verify(nearest, texts, shingle, threshold), "links")]
-    found = stage(components(links[0]), "components")
-
     members = shared.filter("size > 2").select("key", "doc")
-    rest = candidates.union(residual_pairs(members, found, sketch, threshold))
-    open_pairs = stage(_across(rest.join(stage(nearest, "nearest"), ["a", "b"], "left_anti"), found), "open")
-    if not open_pairs.isEmpty():
-        # Then one pair of each document and other component, and at last what still is open.
-        tried = open_pairs.groupBy("b", "ca").agg(F.min("a").alias("a")).select("a", "b")
-        links.append(stage(verify(tried, texts, shingle, threshold), "links"))
-        found = stage(components(reduce(DataFrame.union, links)), "components")
-        rest = open_pairs.select("a", "b").join(tried, ["a", "b"], "left_anti")
-        open_pairs = stage(_across(rest, found), "open")
-        if not open_pairs.isEmpty():
-            links.append(stage(verify(open_pairs, texts, shingle, threshold), "links"))
+    links: list[DataFrame] = []
+    found = spark.createDataFrame([], "node long, component long")
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal found
+        if links:
+            pairs = stage(_across(pairs, found).select("a", "b"), "open")
+        if not pairs.isEmpty():
+            links.append(stage(verify(pairs, texts, shingle, threshold), "links"))
             found = stage(components(reduce(DataFrame.union, links)), "components")
 
+    settle(candidates)
+    # Buckets that still hold several components.
+    rest = stage(residual_pairs(members, found, sketch, threshold), "rest")
+    if not rest.isEmpty():
+        pair = F.struct(F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"))
+        likeliest = rest.groupBy("home", "part").agg(F.max_by("other", F.struct("share", -F.col("other"))).alias("other"))
+        settle(likeliest.select(pair.alias("p")).select("p.*").distinct())
+        settle(rest.select(pair.alias("p")).select("p.*").distinct())
+
     labelled = _labelled(sketch.select("doc", "n"), "doc", found, "component")
     plain = lambda c: F.when(F.col(c) != LEAST, F.col(c))
     return labelled.select(
