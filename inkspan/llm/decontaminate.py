@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.frames import bounded_batches, key_or_least, stage
+from inkspan.llm.frames import bounded_batches, id_filter, key_or_least, stage
 from inkspan.llm.wordhash import NOT_ALNUM, char_index, grams, mix, words_of
 
 RATE = 0.15
@@ -200,8 +200,10 @@ def links(
         .groupBy("doc")
         .agg(F.collect_set(F.struct("item", "at", "budget", "words")).alias("places"))
     )
-    # Staged, so that the join with the texts is planned with the real size of this small side.
-    found = texts.join(stage(places, "places"), "doc").mapInArrow(_verify, LINK)
+    # Staged, so that the join with the texts is planned with the real size of this side; texts without
+    # a piece are mostly kept out of the join.
+    places = stage(places, "places")
+    found = texts.filter(id_filter(places, "doc")(F.col("doc"))).join(places, "doc").mapInArrow(_verify, LINK)
     one = found.groupBy("doc", "item").agg(
         F.min(F.struct("distance", "start", "end", "budget", "n_words")).alias("best")
     )
