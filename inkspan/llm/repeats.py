@@ -133,6 +133,8 @@ def index_rows(keyed: DataFrame, common: np.ndarray) -> DataFrame:
             bit = np.left_shift(1, offset)
             settled = np.add.reduceat(np.where(later, bit, 0), begin)
             pending = np.add.reduceat(np.where(later, 0, bit), begin)
+            # Nothing to look up: such rows may go anywhere.
+            filed = np.where(pending > 0, key[begin], mix(doc[begin].view(_U) * _U(31) + found.anchor[begin].astype(_U)))
             # Windows of a row stand in order of start, so offsets fall; hashes are listed that way.
             short = (found.hash >> _U(32)).astype("<u4")[~later]
             ptr = np.concatenate([[0], np.cumsum(np.add.reduceat((~later).astype(np.int64), begin))]) * 4
@@ -142,7 +144,7 @@ def index_rows(keyed: DataFrame, common: np.ndarray) -> DataFrame:
             at = found.anchor[begin] << TAG_BITS | tag[begin]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(key[begin].view(np.int64)), pa.array(doc[begin]), pa.array(at),
+                    pa.array(filed.view(np.int64)), pa.array(doc[begin]), pa.array(at),
                     pa.array(settled.astype(np.int16)), pa.array(pending.astype(np.int16)), rest,
                 ],
                 ["key", "doc", "at", "settled", "pending", "rest"],
