@@ -2,8 +2,8 @@
 
 A worklist starts with the text. Each layer is scanned by the base rules; every run that looks encoded
 (URL escapes, backslash-u or backslash-x escapes, base64, compressed bytes inside base64) is decoded,
-and a decoded run that is text joins the worklist. It ends when no layer yields a new one: layers
-already seen are not taken up again, so encodings that decode to each other end too. A hit in a decoded
+and what is text in it joins the worklist, whatever bytes stand beside. It ends when no layer yields a new one:
+layers already seen are not taken up again, so encodings that decode to each other end too. A hit in a decoded
 layer is mapped back, through the runs it came from, to the outermost run of the original text.
 
 Decoded layers are taken up one after the other, so memory holds one chain of them at a time. Compressed
@@ -15,7 +15,6 @@ columns replace columns of their name. Spans count code points, end exclusive.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -44,8 +43,14 @@ ESCAPED_RUN = re.compile(rb"[!-~]+")
 BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
 ESCAPE = re.compile(rb"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 NOT_TEXT = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
+# ASCII text, and such text in UTF-16; no secret has fewer than 14 characters. All rules are on ASCII, so any other byte
+# only separates.
+TEXT = re.compile(rb"[\t-\r -~]{14,}")
+WIDE = re.compile(rb"(?:\x00[\t-\r -~]){14,}|(?:[\t-\r -~]\x00){14,}")
+PACKED = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|\x78[\x01\x5e\x9c\xda]")
 
 PIECE, OVERLAP = 16 << 20, 64 << 10
+CHUNK = 256 << 10  # compressed bytes read at once
 
 
 def scan(data: bytes) -> list[tuple[str, int, int]]:
@@ -67,63 +72,86 @@ def _printable(data: bytes) -> bool:
     return True
 
 
-def inflate(data: bytes) -> Iterator[bytes]:
-    """The content of gzip or zlib data in pieces; nothing if it isn't such data."""
-    if data[:2] != b"\x1f\x8b" and data[:1] != b"\x78":
-        return
-    reader, rest, kept = zlib.decompressobj(47), data, b""
-    while rest:
+def _readable(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """What can hold a secret: the data if it has text, and its stretches of UTF-16 text."""
+    if TEXT.search(data):
+        yield 0, len(data), data
+    for m in WIDE.finditer(data):
+        yield *m.span(), m[0].replace(b"\0", b"")
+
+
+def _inflated(data: bytes, begin: int) -> Iterator[tuple[int, bytes]]:
+    """Content in pieces of the compressed data from ``begin`` on, and how far it was read.
+
+    Members that follow at once are read as one content.
+    """
+    view, at, rest, kept, fresh = memoryview(data), begin, b"", b"", []
+    reader = zlib.decompressobj(47)
+    more, room = True, PIECE
+    while more:
+        chunk = rest or view[at : at + CHUNK]
+        if not rest:
+            at += len(chunk)
         try:
-            part = kept + reader.decompress(rest, PIECE)
+            part = reader.decompress(chunk, room) if len(chunk) else reader.flush()
         except zlib.error:
-            return
-        rest = reader.unconsumed_tail
-        cut = len(part)
-        while rest and cut and part[cut - 1] >= 0x80:  # no piece ends inside a character
-            cut -= 1
-        if part[:cut]:
-            yield part[:cut]
-        begin = max(0, cut - OVERLAP)
-        while begin < cut and 0x80 <= part[begin] < 0xC0:
-            begin += 1
-        kept = part[begin:] if rest else b""
+            at, part, more = begin + 1, b"", False
+        else:
+            rest, more = reader.unconsumed_tail, bool(len(chunk))
+            if reader.eof:
+                at -= len(reader.unused_data)
+                rest, more = b"", PACKED.match(view, at) is not None
+                if more:
+                    begin, reader = at, zlib.decompressobj(47)
+        if part:
+            fresh.append(part)
+            room -= len(part)
+        if fresh and (room <= 0 or not more):
+            whole = b"".join([kept, *fresh])
+            fresh, room, kept = [], PIECE, whole[-OVERLAP:]
+            yield at, whole
+
+
+def inflate(data: bytes) -> Iterator[bytes]:
+    """The content of gzip or zlib data in pieces, all members; nothing if it isn't such data."""
+    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
+        for _, piece in _inflated(data, 0):
+            yield piece
 
 
 def _unescape(match: re.Match) -> bytes:
     return chr(int(match[1] or match[2], 16)).encode("utf-8", "surrogatepass")
 
 
-def _from_base64(run: bytes) -> bytes | None:
-    body = run.rstrip(b"=").translate(bytes.maketrans(b"-_", b"+/"))
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + b"=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
+def _from_base64(body: bytes) -> bytes:
+    body = body[: len(body) - 1] if len(body) % 4 == 1 else body
+    return binascii.a2b_base64(body + b"=" * (-len(body) % 4))
 
 
 def layers(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Decoded runs of one layer that are text: start, end and the decoded text."""
+    """Decoded runs of one layer that have text: start, end and the decoded text."""
     if b"%" in data:
         for m in URL_RUN.finditer(data):
-            if URL_CODE.search(m[0]) and _printable(plain := unquote_to_bytes(m[0])):
-                yield *m.span(), plain
+            if URL_CODE.search(m[0]):
+                for _, _, plain in _readable(unquote_to_bytes(m[0])):
+                    yield *m.span(), plain
     if b"\\" in data:
         for m in ESCAPED_RUN.finditer(data):
             if ESCAPE.search(m[0]):
                 plain = ESCAPE.sub(_unescape, m[0]).decode("utf-8", "surrogatepass")
                 plain = plain.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # joins pairs
-                if _printable(plain := plain.encode()):
-                    yield *m.span(), plain
+                for _, _, found in _readable(plain.encode()):
+                    yield *m.span(), found
     for m in BASE64.finditer(data):
-        plain = _from_base64(m[0])
-        if plain and _printable(plain):
-            yield *m.span(), plain
-        elif plain:
-            for piece in inflate(plain):
-                if _printable(piece):
-                    yield *m.span(), piece
+        plain = _from_base64(m[0].rstrip(b"=").translate(bytes.maketrans(b"-_", b"+/")))
+        for _, _, text in _readable(plain):
+            yield *m.span(), text
+        read = 0
+        for packed in PACKED.finditer(plain):
+            if packed.start() >= read:
+                for read, piece in _inflated(plain, packed.start()):
+                    for _, _, text in _readable(piece):
+                        yield *m.span(), text
 
 
 def find(data: bytes) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, int]]]:
