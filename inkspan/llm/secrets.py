@@ -19,6 +19,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
@@ -40,7 +41,12 @@ KINDS = ("assign", "access", "hex")
 URL_RUN = re.compile(rb"[A-Za-z0-9_.~+/=:&?%-]+")
 URL_CODE = re.compile(rb"%[0-9A-Fa-f]{2}")
 ESCAPED_RUN = re.compile(rb"[!-~]+")
-BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+# Base64, also wrapped: single line breaks (real ones or written \n) and indents are left out. It may follow '=',
+# which only ends such a run. Other data may stand before it in one run, so all four offsets are read.
+BREAK = re.compile(rb"\r?\n[\x20\t]*|(?:\\r)?\\n")
+BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:(?:%s)[A-Za-z0-9+/_-]+)*={0,2}" % BREAK.pattern)
+LEAST_RUN = 16
+SEPARATOR = re.compile(rb"[/_+-]+")
 ESCAPE = re.compile(rb"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 NOT_TEXT = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
 # ASCII text, and such text in UTF-16; no secret has fewer than 14 characters. All rules are on ASCII, so any other byte
@@ -128,6 +134,56 @@ def _from_base64(body: bytes) -> bytes:
     return binascii.a2b_base64(body + b"=" * (-len(body) % 4))
 
 
+def _base64_layers(start: int, run: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Text and compressed content in a run of base64 that stands at ``start``, read at all four offsets.
+
+    If the run is text as a whole, or compressed from its first byte on, it is the place. Otherwise the place goes from
+    the last separator before what was found to the next line end after it.
+    """
+    breaks = [m.span() for m in BREAK.finditer(run)]
+    body = (BREAK.sub(b"", run) if breaks else run).rstrip(b"=")
+    if len(body) < LEAST_RUN:
+        return
+    # Place in the run of each line, and of its first character among all of the body.
+    begins = [0, *[b for _, b in breaks]]
+    ends = [*[a for a, _ in breaks], len(run)]
+    firsts = [0]
+    for a, b in zip(begins, ends, strict=True):
+        firsts.append(firsts[-1] + b - a)
+
+    def place(low: int, high: int) -> tuple[int, int]:
+        """From the last separator up to ``low`` to the first line end from ``high`` on, characters of the body."""
+        line = bisect_right(firsts, low, 0, len(begins)) - 1
+        first = begins[line]
+        for m in SEPARATOR.finditer(run, first, first + low - firsts[line] + 1):
+            first = min(m.end(), begins[line] + low - firsts[line])
+        last = ends[min(bisect_left(firsts, high, 1), len(ends)) - 1]
+        return start + first, start + last
+
+    plainer = body.translate(bytes.maketrans(b"-_", b"+/"))
+    for offset in range(4):
+        plain = _from_base64(plainer[offset:] if offset else plainer)
+        if not offset and _printable(plain):
+            yield start, start + len(run), plain
+            continue
+
+        def spot(a: int, b: int) -> tuple[int, int]:
+            return place(offset + a * 4 // 3, offset + -(-b * 4 // 3))  # noqa: B023
+
+        for m in TEXT.finditer(plain):
+            yield *spot(*m.span()), m[0]
+        for m in WIDE.finditer(plain):
+            yield *spot(*m.span()), m[0].replace(b"\0", b"")
+        read = 0
+        for m in PACKED.finditer(plain):
+            if m.start() < read:
+                continue
+            for read, piece in _inflated(plain, m.start()):
+                whole = (start, start + len(run)) if not offset and not m.start() else spot(m.start(), max(read, m.end()))
+                for _, _, text in _readable(piece):
+                    yield *whole, text
+
+
 def layers(data: bytes) -> Iterator[tuple[int, int, bytes]]:
     """Decoded runs of one layer that have text: start, end and the decoded text."""
     if b"%" in data:
@@ -143,15 +199,8 @@ def layers(data: bytes) -> Iterator[tuple[int, int, bytes]]:
                 for _, _, found in _readable(plain.encode()):
                     yield *m.span(), found
     for m in BASE64.finditer(data):
-        plain = _from_base64(m[0].rstrip(b"=").translate(bytes.maketrans(b"-_", b"+/")))
-        for _, _, text in _readable(plain):
-            yield *m.span(), text
-        read = 0
-        for packed in PACKED.finditer(plain):
-            if packed.start() >= read:
-                for read, piece in _inflated(plain, packed.start()):
-                    for _, _, text in _readable(piece):
-                        yield *m.span(), text
+        if m.end() - m.start() >= LEAST_RUN:
+            yield from _base64_layers(m.start(), m[0])
 
 
 def find(data: bytes) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, int]]]:
