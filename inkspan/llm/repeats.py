@@ -13,7 +13,8 @@ result is that of the definition: a word goes if a window over it also starts ea
 Before the shuffle, windows repeated within a batch are settled there, so a passage that very many
 documents share sends one row per batch. Anchors that are very common (counted over a share of the
 documents; this only steers the dealing, not the result) are filed by the window itself instead, so no
-task receives more than a small share of all rows.
+task receives more than a small share of all rows, and no anchor brings more than a fixed number. Windows
+count as equal when their 64-bit hashes and their anchors' do.
 
 Defined cases: null texts have no words. Texts under ``WINDOW`` words keep all. A null id comes before
 all others. Rows that repeat an id with the same text are alike: they get the same spans, and neither
@@ -34,6 +35,7 @@ WINDOW, GRAM = 20, 8
 REACH = WINDOW - GRAM + 1  # runs of GRAM words in a window
 TAG_BITS = 24
 COMMON = 2_000  # an anchor on more than one of so many rows counts as common
+MOST = 10_000  # and one on more rows than this, however many there are in all
 COUNTED = 8  # one document in so many is counted for that
 
 _U = np.uint64
@@ -84,7 +86,10 @@ def _tag(text_column: str) -> Column:
 
 
 def common_anchors(keyed: DataFrame) -> np.ndarray:
-    """Sorted hashes of at most COMMON anchors that are on more than one of COMMON rows."""
+    """Sorted hashes of the anchors that are on more than one of COMMON rows, or on more than MOST of them.
+
+    They are at most COMMON, or one for MOST rows.
+    """
 
     def run(batches):
         for batch in batches:
@@ -97,17 +102,17 @@ def common_anchors(keyed: DataFrame) -> np.ndarray:
     some = keyed.filter(F.pmod(F.xxhash64("doc"), F.lit(COUNTED)) == 0)
     counted = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     total = counted.agg(F.sum("n")).first()[0] or 0
-    rows = counted.filter(F.col("n") > max(20, total // COMMON)).select("key").toArrow()
+    rows = counted.filter(F.col("n") > min(MOST // COUNTED, max(20, total // COMMON))).select("key").toArrow()
     return np.sort(rows["key"].to_numpy().view(_U))
 
 
 def index_rows(keyed: DataFrame, common: np.ndarray) -> DataFrame:
     """One row per anchor and place: key, doc, at (start word and tag), settled and open windows.
 
-    ``settled`` are bits of windows known to start earlier, ``rest`` holds a bit set and 32-bit hashes
-    of the windows to look up; bit ``k`` is the window that starts ``k`` words before the anchor.
+    ``settled`` are bits of windows known to start earlier, ``rest`` holds the hashes
+    of the windows to look up, ``pending`` their bits; bit ``k`` is the window that starts ``k`` words before the anchor.
     """
-    shared = keyed.sparkSession.sparkContext.broadcast(common)  # at most COMMON hashes
+    shared = keyed.sparkSession.sparkContext.broadcast(common)  # one hash for MOST rows at most, or COMMON
 
     def run(batches):
         frequent = shared.value
@@ -136,10 +141,10 @@ def index_rows(keyed: DataFrame, common: np.ndarray) -> DataFrame:
             # Nothing to look up: such rows may go anywhere.
             filed = np.where(pending > 0, key[begin], mix(doc[begin].view(_U) * _U(31) + found.anchor[begin].astype(_U)))
             # Windows of a row stand in order of start, so offsets fall; hashes are listed that way.
-            short = (found.hash >> _U(32)).astype("<u4")[~later]
-            ptr = np.concatenate([[0], np.cumsum(np.add.reduceat((~later).astype(np.int64), begin))]) * 4
+            whole = found.hash.astype("<u8")[~later]
+            ptr = np.concatenate([[0], np.cumsum(np.add.reduceat((~later).astype(np.int64), begin))]) * 8
             rest = pa.Array.from_buffers(
-                pa.binary(), len(begin), [None, pa.py_buffer(ptr.astype(np.int32)), pa.py_buffer(short.tobytes())]
+                pa.binary(), len(begin), [None, pa.py_buffer(ptr.astype(np.int32)), pa.py_buffer(whole.tobytes())]
             )
             at = found.anchor[begin] << TAG_BITS | tag[begin]
             yield pa.RecordBatch.from_arrays(
@@ -165,17 +170,18 @@ def _look_up(batches):
         bits = batch.column("settled").to_numpy().astype(np.int64)
         pending = batch.column("pending").to_numpy().astype(np.int64)
         data, offsets = _values(batch.column("rest"))
-        counts = np.diff(offsets) // 4
+        counts = np.diff(offsets) // 8
         row = np.repeat(np.arange(len(key)), counts)
         # Bits of a row from the highest on, in the order of its hashes.
         table = (pending[:, None] >> np.arange(REACH - 1, -1, -1)) & 1
         offset = REACH - 1 - np.nonzero(table)[1]
-        short = np.frombuffer(data, "<u4").astype(_U)
-        window = mix(key.view(_U)[row] + mix(short << _U(8) | offset.astype(_U)))
+        # The place of the anchor follows from the window, so windows of an anchor are told apart by their hash alone.
+        window = np.frombuffer(data, "<u8").astype(_U)
+        owner = key.view(_U)[row]
         place = at[row] >> TAG_BITS
-        order = np.lexsort((place, doc[row], window))
+        order = np.lexsort((place, doc[row], window, owner))
         ordered, first = window[order], np.ones(len(order), bool)
-        first[1:] = ordered[1:] != ordered[:-1]
+        first[1:] = (ordered[1:] != ordered[:-1]) | (owner[order][1:] != owner[order][:-1])
         head = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
         later = np.empty(len(order), bool)
         later[order] = (doc[row][order] != doc[row][head]) | (place[order] != place[head])
