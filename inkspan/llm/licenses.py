@@ -94,13 +94,19 @@ class Notices:
         found = []
         for k, own in windows.items():
             for low, high in own:
-                at = low
-                while (hit := self.patterns[k].search(text, at, high)) and hit.end() > hit.start():
-                    at = hit.end()
+                # The best place of a stretch comes first; what is before and after it is searched as well.
+                open_parts, places = [(low, high)], []
+                while open_parts:
+                    a, b = open_parts.pop()
+                    hit = self.patterns[k].search(text, a, b)
+                    if not hit or hit.end() == hit.start():
+                        continue
+                    open_parts += [(a, hit.start()), (hit.end(), b)]
                     start = hit.start() + len(hit[0]) - len(hit[0].lstrip(" "))
                     end = hit.start() + len(hit[0].rstrip(" "))
                     if start < end:
-                        found.append((start, end, k, sum(hit.fuzzy_counts)))
+                        places.append((start, end, k, sum(hit.fuzzy_counts)))
+                found += sorted(places)
         return found
 
 
