@@ -27,8 +27,9 @@ PREFIXES = (3, 4, 5)  # bytes at a word's beginning
 MAX_FIT_DOCUMENTS = 16_000
 MAX_FIT_BYTES = 64 << 20
 EPOCHS, BATCH, RATE, DECAY, BIAS = 15, 128, 0.3, 0.01, -5.0
-# Features in fewer documents of the sample keep weight 0: a rare word would learn its document by heart.
-MIN_SHARE, MIN_DOCUMENTS = 1 / 270, 3
+# A feature keeps weight 0 unless its labels tell (see ``telling``): without evidence it would learn its documents by
+# heart. In fewer than MIN_DOCUMENTS no evidence counts.
+MIN_DOCUMENTS = 3
 
 SENTENCE_END = np.zeros(256, bool)
 SENTENCE_END[[ord(c) for c in ".!?\n"]] = True
@@ -74,19 +75,37 @@ def noisy_or(logits: np.ndarray, document_ptr: np.ndarray) -> np.ndarray:
     return -np.expm1(-np.abs(_sum_by(np.logaddexp(0, logits), document_ptr)))
 
 
+def telling(seen: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
+    """Features whose share of toxic documents is not chance, whatever the size of the sample.
+
+    ``exp(-n * KL(share, rate))`` bounds the chance of such a share among ``n`` documents; it has to stay below one
+    in as many as there are features to try.
+    """
+    tried = seen >= MIN_DOCUMENTS
+    share = np.where(tried, toxic / np.maximum(seen, 1), rate)
+    rate = min(max(rate, 1e-9), 1 - 1e-9)
+    apart = share * np.log(np.maximum(share, 1e-300) / rate)
+    apart += (1 - share) * np.log(np.maximum(1 - share, 1e-300) / (1 - rate))
+    return tried & (seen * apart >= np.log(max(2, tried.sum())))
+
+
 def fit_weights(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Adagrad on the noisy-or likelihood; documents in the given order, so the result is repeatable."""
     size = 1 << BITS
     weights, bias = np.zeros(size), BIAS
-    seen_in = np.zeros(size, np.int32)
+    seen_in, toxic_in, filled = np.zeros(size, np.int32), np.zeros(size, np.int32), []
     groups = []
     for k in range(0, len(texts), BATCH):
         bags = Bags(pa.array(texts[k : k + BATCH], pa.string()))
         if len(bags.ids):
             pairs = np.unique((bags.words.row[:, None] << BITS | bags.ids).ravel())
-            seen_in += np.bincount(pairs & (size - 1), minlength=size)
+            y, feature = labels[k : k + BATCH], pairs & (size - 1)
+            seen_in += np.bincount(feature, minlength=size)
+            toxic_in += np.bincount(feature[y[pairs >> BITS] > 0], minlength=size)
+            filled.append(y[np.diff(bags.document_ptr) > 0])
             groups.append((bags.ids, bags.sentence_ptr, bags.document_ptr, labels[k : k + BATCH]))
-    usable = np.flatnonzero(seen_in >= max(MIN_DOCUMENTS, MIN_SHARE * len(texts)))
+    rate = float((np.concatenate(filled) > 0).mean()) if filled else 0.0
+    usable = np.flatnonzero(telling(seen_in, toxic_in, rate))
     place = np.zeros(size, np.int32)  # 0: not used, its weight stays 0
     place[usable] = np.arange(1, len(usable) + 1)
     groups = [(place[ids], *rest) for ids, *rest in groups]
