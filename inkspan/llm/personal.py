@@ -4,8 +4,9 @@ High-recall generators propose overlapping candidates of each kind: spelt-out or
 dotted numbers, and runs of digits with separators, each as a card and as a phone number. Boosted
 trees score a candidate by its format and the words before it. They are trained on a bounded sample
 of documents, where candidates that are base spans of their kind are right and candidates apart from
-every base span of their kind are wrong; what the base rules test outright (a plus sign, a check sum)
-is kept from the trees, so that they learn how such data look and where they stand. Scores are
+every base span of their kind are wrong; what the base rules test outright (a plus sign, a check sum, the
+signs and part sizes of addresses) is kept from the trees, so that they learn how such data look and where they
+stand. An address that is only written in another way (see ``plain``) is neither right nor wrong. Scores are
 calibrated on documents not fitted on, and the threshold is the least one with the wanted precision
 there. Candidates that reach it and touch no base span are added; base spans always stay.
 
@@ -50,6 +51,9 @@ NUMBER = re.compile(r"[+(]?[0-9](?:[ ().\-/]{0,2}[0-9])+")
 DOTTED = re.compile(r"(?<![0-9.])[0-9]{1,4}(?:[.,][0-9]{1,4}){3}(?![0-9])")
 WANTED = re.compile(r"[0-9@]|\bat\b")
 
+AT = re.compile(r" ?(?:@|[\[(]at[\])]) ?")
+DOT = re.compile(r" ?[\[(]dot[\])] ?| dot ")
+
 HINTS = (
     re.compile(r"(?i)mail|contact|write|@"),
     re.compile(r"(?i)\bip\b|host|server|addr|ping|client"),
@@ -104,8 +108,32 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def plain(kind: int, span: str) -> str:
+    """An address as the base patterns have it: signs for [at] and [dot], dots for commas.
+
+    A bare 'at' is a sign only where a 'dot' is spelt out too, since it stands in other sentences.
+    """
+    if kind == 1:
+        return span.replace(",", ".")
+    if kind:
+        return span
+    spelt = AT.sub("@", DOT.sub(".", span), count=1)
+    return spelt.replace(" at ", "@", 1) if "@" not in spelt and DOT.search(span) else spelt
+
+
+def unsettled(text: str, kind: int, start: int, end: int) -> bool:
+    """Whether a candidate that is no base span may be one written in another way.
+
+    Numbers with commas may be a list as well; they are left open only after words that tell of an address.
+    """
+    if kind > 1 or (kind == 1 and not HINTS[1].search(text[max(0, start - BEFORE) : start])):
+        return False
+    span = plain(kind, text[start:end])
+    return (kind, 0, len(span)) in base_spans(span)
+
+
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
-    span, before = text[start:end], text[max(0, start - BEFORE) : start]
+    span, before = plain(kind, text[start:end]), text[max(0, start - BEFORE) : start]
     groups = [g for g in NOT_DIGIT.split(span) if g]
     sizes = [len(g) for g in groups] or [0]
     digits = sum(sizes)
@@ -114,8 +142,8 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         *[float(kind == k) for k in range(4)],
         float(len(span)), float(digits), float(len(groups)), float(max(sizes)), float(min(sizes)), float(sizes[-1]),
         float(span.count(" ")), float(span.count("-")), float(span.count(".")), float(span.count("(")), float(span.count("/")),
-        float(sum(c.isalpha() for c in span)), float("@" in span),
-        float(max((int(g[:6]) for g in groups), default=0) <= 255),
+        float(sum(c.isalpha() for c in span)),
+        float(kind > 1 and max((int(g[:6]) for g in groups), default=0) <= 255),
         float(before[-1:].isalnum()), float(after.isalnum()),
         *[float(bool(h.search(before))) for h in HINTS],
     ]
@@ -133,7 +161,7 @@ def learnable(text: str) -> tuple[list[list[float]], list[int]]:
         own = [(x, y) for k, x, y in base if k == kind]
         # A generator may take in one sign more, e.g. an opening bracket.
         right = any(abs(a - x) <= 1 and b == y for x, y in own)
-        if right or not _overlaps(a, b, own):
+        if right or not (_overlaps(a, b, own) or unsettled(text, kind, a, b)):
             rows.append(features(text, kind, a, b))
             labels.append(int(right))
     return rows, labels
