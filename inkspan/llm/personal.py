@@ -177,8 +177,8 @@ def fit(
     """
     bounded_batches(docs.sparkSession)
     sample = (
-        docs.select(F.col(id_column).alias("_id")).filter(F.col("_id").isNotNull())
-        .withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(max_documents).dropDuplicates(["_id"])
+        docs.select(F.col(id_column).alias("_id")).filter(F.col("_id").isNotNull()).distinct()
+        .withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(max_documents)
     )
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(
         F.broadcast(sample), "_id"  # bounded by max_documents

@@ -138,6 +138,22 @@ def held_out(id_column: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % 5 == 0
 
 
+def _fitting(sized: DataFrame, max_bytes: int) -> DataFrame:
+    """The rows (a bounded sample: no texts, only sizes) that fit into ``max_bytes`` in order; one that does not is passed over."""
+
+    def run(batches):
+        found = [b for b in batches if len(b)]
+        if found:
+            taken = pa.Table.from_batches(found).sort_by([("_order", "ascending"), ("_id", "ascending")])
+            room, kept = max_bytes, []
+            for size in taken["_size"].to_pylist():
+                kept.append(size <= room)
+                room -= size if size <= room else 0
+            yield from taken.filter(pa.array(kept, pa.bool_())).combine_chunks().to_batches()
+
+    return sized.repartition(1).mapInArrow(run, sized.schema)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -149,8 +165,9 @@ def fit(
 ) -> bytes:
     """The model, learned from at most ``max_documents`` labelled documents outside the held-out fold.
 
-    The sample are the documents with the smallest id hash; ids serve for nothing else. Of them, whole
-    texts are taken in that order while they fit ``max_bytes``. One task learns from this bounded sample.
+    The sample are the documents with the smallest id hash, one row for each id; ids serve for nothing else. Of
+    them, whole texts are taken in that order that fit into what is left of ``max_bytes``, and only these are gathered.
+    One task learns from this bounded sample.
     """
     bounded_batches(docs.sparkSession)
     usable = docs.select(F.col(id_column).alias("_id")).filter(F.col("_id").isNotNull())
@@ -162,23 +179,25 @@ def fit(
         .join(usable, "_id", "left_semi")
     )
     sample = known.withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(max_documents)
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    found = docs.select(F.col(id_column).alias("_id"), text.alias("_text")).join(
         F.broadcast(sample), "_id"  # bounded by max_documents
     )
+    # One row for each id, that of the least text hash and length; texts are told apart by these, so that only
+    # numbers are gathered to choose.
+    found = found.withColumns({"_size": F.octet_length("_text").cast("long"), "_hash": F.xxhash64("_text")})
+    sized = found.groupBy("_id").agg(
+        F.min("_order").alias("_order"), F.min(F.struct("_hash", "_size")).alias("_least")
+    ).select("_id", "_order", "_least.*")
+    chosen = _fitting(sized, max_bytes)
+    rows = found.join(F.broadcast(chosen), ["_id", "_hash", "_size"], "left_semi").dropDuplicates(["_id"])
 
     def learn(batches):
         found = [b for b in batches if len(b)]
         taken = pa.Table.from_batches(found).sort_by([("_order", "ascending"), ("_id", "ascending")]) if found else None
         texts, marks = [], []
         if taken is not None:
-            room = max_bytes
-            for text, mark in zip(taken["_text"].to_pylist(), taken["_label"].to_pylist(), strict=True):
-                text = text or ""
-                room -= len(text)
-                if room < 0:
-                    break
-                texts.append(text)
-                marks.append(mark)
+            texts, marks = taken["_text"].to_pylist(), taken["_label"].to_pylist()
         model = pack_model(*fit_weights(texts, np.array(marks, int)))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
