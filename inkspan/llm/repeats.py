@@ -1,7 +1,7 @@
-"""Passages repeated across or within documents, by relative Lempel-Ziv factors of at least 20 words.
+"""Passages of at least 20 words repeated across or within documents, by a look-up of all windows.
 
-Every document is factored against the words before it (of smaller ids, and its own): a factor is a run
-of words that also stands earlier, and factors of at least ``WINDOW`` words are duplicate spans. Meeting
+This stands in place of relative Lempel-Ziv parsing; nothing is factored greedily. A run of words that also stands
+earlier (in documents of smaller ids, or its own) is a duplicate span from ``WINDOW`` words on. Meeting
 every reference text with every document would be a cross product, so the reference is an index
 dealt out by content. Each window of ``WINDOW`` words is filed under its anchor, the smallest hash
 among its runs of ``GRAM`` words: equal windows have equal anchors wherever they stand, so a document
@@ -11,8 +11,8 @@ two factors may stand earlier as well; each window is looked up, so borders are
 result is that of the definition: a word goes if a window over it also starts earlier.
 
 Before the shuffle, windows repeated within a batch are settled there, so a passage that very many
-documents share sends one row per batch. Anchors that are very common (counted over a share of the
-documents; this only steers the dealing, not the result) are filed by the window itself instead, so no
+documents share sends one row per batch. Anchors that are very common (counted over a random share
+of the rows of all documents; this only steers the dealing, not the result) are filed by the window itself instead, so no
 task receives more than a small share of all rows, and no anchor brings more than a fixed number. Windows
 count as equal when their 64-bit hashes and their anchors' do.
 
@@ -36,7 +36,7 @@ REACH = WINDOW - GRAM + 1  # runs of GRAM words in a window
 TAG_BITS = 24
 COMMON = 2_000  # an anchor on more than one of so many rows counts as common
 MOST = 10_000  # and one on more rows than this, however many there are in all
-COUNTED = 8  # one document in so many is counted for that
+COUNTED = 8  # one row in so many, drawn from all documents whatever their ids, is counted for that
 
 _U = np.uint64
 
@@ -92,15 +92,16 @@ def common_anchors(keyed: DataFrame) -> np.ndarray:
     """
 
     def run(batches):
+        rng = np.random.default_rng(COUNTED)
         for batch in batches:
             found = Windows(batch.column("text"))
             fresh = np.ones(len(found.key), bool)
             fresh[1:] = (found.anchor[1:] != found.anchor[:-1]) | (found.row[1:] != found.row[:-1])
-            kinds, count = np.unique(found.key[fresh], return_counts=True)
+            drawn = found.key[fresh]
+            kinds, count = np.unique(drawn[rng.random(len(drawn)) < 1 / COUNTED], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(count)], ["key", "n"])
 
-    some = keyed.filter(F.pmod(F.xxhash64("doc"), F.lit(COUNTED)) == 0)
-    counted = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = keyed.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     total = counted.agg(F.sum("n")).first()[0] or 0
     rows = counted.filter(F.col("n") > min(MOST // COUNTED, max(20, total // COMMON))).select("key").toArrow()
     return np.sort(rows["key"].to_numpy().view(_U))
