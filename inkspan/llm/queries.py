@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkspan.llm import bpe, decontaminate, licenses, metric_join, minhash, personal, repeats, secrets, toxicity, warc
+from inkspan.llm import (
+    bpe,
+    collocations,
+    decontaminate,
+    idfile,
+    licenses,
+    metric_join,
+    minhash,
+    personal,
+    repeats,
+    secrets,
+    toxicity,
+    warc,
+)
 from inkspan.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -213,3 +226,54 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
 FROM f
 """
+
+
+def op11_idfile(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    manifest = idfile.write(docs, idfile.archive_folder(spark))
+    back = idfile.read(manifest, with_ids=False)
+    return back.select(idfile.plain_key().alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+QUERIES["op11_idfile"] = op11_idfile
+
+
+def op13_collocations(spark, folder):
+    return collocations.collocations(collocations.frequent_phrases(table(spark, folder, "documents")))
+
+
+QUERIES["op13_collocations"] = op13_collocations
+ORACLE["op13_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws
+  FROM documents
+), grams AS (
+  SELECT lang, 1 AS size, unnest(ws) AS phrase FROM p
+  UNION ALL
+  SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM p WHERE len(ws) >= 2
+  UNION ALL
+  SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+  FROM p WHERE len(ws) >= 3
+), f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size >= 2 AND f >= 10),
+cuts AS (
+  SELECT c.*, k, array_to_string(ws[1:k], ' ') AS first, array_to_string(ws[k + 1:size], ' ') AS rest
+  FROM cand c, (VALUES (1), (2)) t(k) WHERE k < size
+), scored AS (
+  SELECT c.lang, c.size, c.phrase, c.a, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f))::BIGINT AS score,
+    row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f), k) AS cut
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first AND x.size = k
+  JOIN f y ON y.lang = c.lang AND y.phrase = c.rest AND y.size = c.size - k
+), inside AS (
+  SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a FROM cand WHERE size = 3
+), kept AS (
+  SELECT s.* FROM scored s WHERE cut = 1 AND NOT EXISTS (
+    SELECT 1 FROM inside i WHERE i.lang = s.lang AND i.phrase = s.phrase AND 100 * i.a >= 50 * s.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
