@@ -13,6 +13,7 @@ from inkspan.llm import (
     metric_join,
     minhash,
     personal,
+    ranked,
     repeats,
     secrets,
     toxicity,
@@ -277,3 +278,40 @@ cuts AS (
 )
 SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
 """
+
+
+def op12_ranked(spark, folder):
+    found = ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        ranked.plain_id("item").alias("item_id"), "rank", ranked.plain_id("doc").alias("doc_id"), "score"
+    )
+
+
+QUERIES["op12_ranked"] = op12_ranked
+ORACLE["op12_ranked"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), weighted AS (
+  SELECT item_id, term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w
+  FROM asked JOIN df USING (term), totals
+), scored AS (
+  SELECT item_id, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM weighted JOIN tf USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ordered WHERE rank <= 10
+"""
