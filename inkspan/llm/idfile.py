@@ -25,7 +25,6 @@ ordinary text. Extra columns are not read. No documents give no files and no row
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -34,19 +33,18 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.bpe import PART, PATTERN, _merger, parts_of
 from inkspan.llm.frames import LEAST, bounded_batches, key_or_least, stage
+from inkspan.llm.splitter import encoder
 from inkspan.llm.warc import _open
 from inkspan.sources.staging import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
-BLOCK = 4096
+BLOCK = 1024
 FILE_IDS = 1 << 24
 WINDOW_BLOCKS = 64  # blocks unpacked at once when reading
 MAGIC = b"IDS8B\0\0\1"
@@ -61,12 +59,11 @@ _U = np.uint64
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits each id needs, at least 1."""
+    if ids.max() < 1 << 53:  # exact as a float: its exponent tells
+        return np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.int8)
     out = np.ones(len(ids), np.int8)
     for width in range(1, 64):
-        over = ids >= _U(1) << _U(width)
-        if not over.any():
-            break
-        out += over
+        out += ids >= _U(1) << _U(width)
     return out
 
 
@@ -77,16 +74,25 @@ def _steps(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """
     total = len(ids)
     need = _bits(ids)
-    left = block - np.arange(total) % block
-    left = np.minimum(left, total - np.arange(total))
-    selector, taken = np.full(total, ESCAPE, np.int8), np.ones(total, np.int64)
+    least, most = need.min(), need.max()
+    selector = np.full(total, ESCAPE, np.int8)
+    left = np.minimum(block - np.arange(total) % block, total - np.arange(total))
+    ends = np.flatnonzero(left < COUNTS[0])  # places near the end of a block, looked at one by one below
     for k in range(len(COUNTS) - 1, -1, -1):
         count, width = COUNTS[k], WIDTHS[k]
-        wide = np.concatenate([[0], np.cumsum(need > width)])
-        reach = np.minimum(left, count)
-        fits = wide[np.arange(total) + reach] == wide[:-1]
-        selector[fits], taken[fits] = k, reach[fits]
-    return selector, taken
+        if width < least:
+            break  # no id is so small
+        if width >= most:  # all ids are
+            selector[:] = k
+            continue
+        wide = np.zeros(total + 1, np.int32)
+        np.cumsum(need > width, out=wide[1:])
+        if total > count:
+            fits = wide[count:] == wide[:-count]
+            np.putmask(selector[: len(fits)], fits, k)
+        reach = ends + np.minimum(left[ends], count)
+        selector[ends[wide[reach] == wide[ends]]] = k
+    return selector, np.minimum(np.array([*COUNTS, 0, 1], np.int32)[selector], left)
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -97,15 +103,13 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nda
     selector, taken = _steps(ids, block)
     at = np.arange(0, len(ids), block)
     stop = np.minimum(at + block, len(ids))
-    begins, owners, active = [], [], np.arange(len(at))
-    while len(active):
-        begins.append(at[active])
-        owners.append(active)
-        at[active] += taken[at[active]]
-        active = active[at[active] < stop[active]]
-    begin, owner = np.concatenate(begins), np.concatenate(owners)
-    order = np.argsort(begin, kind="stable")
-    begin, owner = begin[order], owner[order]
+    blocks, begins = len(at), np.zeros(len(ids), bool)
+    while len(at):
+        begins[at] = True
+        at = at + taken[at]
+        going = at < stop
+        at, stop = at[going], stop[going]
+    begin = np.flatnonzero(begins)
     kind = selector[begin]
     width = 1 + (kind == ESCAPE)
     place = np.cumsum(width) - width
@@ -119,7 +123,7 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nda
             words[place[mine[has]]] |= ids[first[has] + j] << _U(4 + j * bits)
     alone = kind == ESCAPE
     words[place[alone] + 1] = ids[begin[alone]]
-    per_block = np.bincount(owner, width, len(stop)).astype(np.int64)
+    per_block = np.bincount(begin // block, width, blocks).astype(np.int64)
     return words.astype("<u8"), np.concatenate([[0], np.cumsum(per_block)])
 
 
@@ -233,28 +237,6 @@ class Reader:
             at += len(ids)
 
 
-def _encoder(vocabulary: str, end_id: int):
-    """Texts to arrays of ids, each with the end id; every match of the pattern is merged by the library, on its own."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-    merger, split = _merger(vocabulary), regex.compile(PATTERN)
-    end = struct.pack("<I", end_id)
-
-    def packed(text: str) -> bytes:
-        matches = split.findall(text)
-        merger.learn(set(matches))
-        return b"".join(map(merger.__getitem__, matches))
-
-    def encode(texts: list[str]) -> list[bytes]:
-        matches = [split.findall(t) if len(t) <= PART else [] for t in texts]
-        merger.learn(set().union(*matches))
-        small = [b"".join(map(merger.__getitem__, m)) for m in matches]
-        return [
-            (s if len(t) <= PART else b"".join(map(packed, parts_of(t)))) + end for t, s in zip(texts, small, strict=True)
-        ]
-
-    return encode
-
-
 def write(
     docs: DataFrame,
     folder: str,
@@ -281,7 +263,7 @@ def write(
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part = _encoder(vocabulary.value, end_id), TaskContext.get().partitionId()
+        tokens, part = encoder(vocabulary.value), TaskContext.get().partitionId()
         writer, stream, count, rows = None, None, 0, []
 
         def close():
@@ -290,10 +272,9 @@ def write(
             stream.close()
 
         for batch in batches:
-            found = encode(batch.column("body").to_pylist())
-            sizes = np.array([len(x) // 4 for x in found], np.int64)
+            ids, sizes = tokens.encode(batch.column("body").to_pylist(), end_id)
             keys, stops, first = batch.column("key").to_numpy(), np.cumsum(sizes), 0
-            while first < len(found):
+            while first < len(keys):
                 if writer is None:
                     name_of = f"{folder}/ids-{uuid.uuid4().hex}.ids8b"
                     system, name = _open(name_of)
@@ -301,9 +282,9 @@ def write(
                     stream = system.open_output_stream(name, compression=None)
                     writer = Writer(stream)
                 # Up to the document that fills the file.
-                room = file_ids - writer.ids + (stops[first - 1] if first else 0)
-                stop = min(int(np.searchsorted(stops, room)) + 1, len(found))
-                writer.add(keys[first:stop], sizes[first:stop], np.frombuffer(b"".join(found[first:stop]), "<u4"))
+                begin = stops[first - 1] if first else 0
+                stop = min(int(np.searchsorted(stops, file_ids - writer.ids + begin)) + 1, len(keys))
+                writer.add(keys[first:stop], sizes[first:stop], ids[begin : stops[stop - 1]])
                 first = stop
                 if writer.ids >= file_ids:
                     close()
