@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from inkspan.sources.staging import stage
 from inkspan.sources.tables import table
 
-__all__ = ["ARROW_BYTES", "append_columns", "bounded_batches", "id_filter", "key_or_least", "pack", "stage", "table"]
+__all__ = ["ARROW_BYTES", "append_columns", "bounded_batches", "fresh_name", "id_filter", "key_or_least", "pack", "stage",
+           "table", "text_tag"]
 
 # Bytes of one Arrow batch handed to Python. Bounds a task's Python memory whatever a text's length:
 # a batch ends with the row that crosses it.
@@ -64,12 +65,25 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(max(i for i, n in enumerate(batch.schema.names) if n == name))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, to carry a helper value beside a caller's own columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_tag(name: str) -> Column:
+    """Tells rows of one id apart that differ in text."""
+    return F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("")))
+
+
 def pack(values: Iterable[bytes | None]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
 def key_or_least(name: str) -> Column:
-    """An id for joins and orders; null ids are one id below all others."""
+    """An id for joins and orders; null ids are one id below all others. Ids are integers, whatever their type's width."""
     return F.coalesce(F.col(name).cast("long"), F.lit(LEAST))
 
 

@@ -17,6 +17,7 @@ points, end exclusive.
 
 from __future__ import annotations
 
+import bisect
 import pickle
 import re
 
@@ -84,7 +85,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             last = m.end()
         at = text.find("@", max(at + 1, last))
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             found.append((1, *m.span()))
     for m in CARD.finditer(text):
         digits = NOT_DIGIT.sub("", m[0])
@@ -149,19 +150,41 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     ]
 
 
-def _overlaps(a: int, b: int, spans: list[tuple[int, int]]) -> bool:
-    return any(a < y and x < b for x, y in spans)
+class _Taken:
+    """Spans that may overlap each other, asked for overlaps with a further one by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        # Joined where they overlap, so that starts and ends both rise.
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def overlaps(self, a: int, b: int) -> bool:
+        k = bisect.bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+    def add(self, a: int, b: int) -> None:
+        """A span that overlaps none."""
+        k = bisect.bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
 
 
 def learnable(text: str) -> tuple[list[list[float]], list[int]]:
     """Features and labels of a document's candidates that the base rules settle."""
     base = base_spans(text)
+    own = [[(x, y) for k, x, y in base if k == kind] for kind in range(len(KINDS))]
+    # A generator may take in one sign more, e.g. an opening bracket.
+    near = [{(x + d, y) for x, y in spans for d in (-1, 0, 1)} for spans in own]
+    taken = [_Taken(spans) for spans in own]
     rows, labels = [], []
     for kind, a, b in candidates(text):
-        own = [(x, y) for k, x, y in base if k == kind]
-        # A generator may take in one sign more, e.g. an opening bracket.
-        right = any(abs(a - x) <= 1 and b == y for x, y in own)
-        if right or not (_overlaps(a, b, own) or unsettled(text, kind, a, b)):
+        right = (a, b) in near[kind]
+        if right or not (taken[kind].overlaps(a, b) or unsettled(text, kind, a, b)):
             rows.append(features(text, kind, a, b))
             labels.append(int(right))
     return rows, labels
@@ -237,17 +260,17 @@ def detect(docs: DataFrame, model: bytes, text_column: str = "text") -> DataFram
                 proposed = []
                 for i, t in enumerate(texts):
                     if WANTED.search(t):
-                        taken = [(a, b) for _, a, b in base[i]]
-                        proposed += [(i, *c) for c in candidates(t) if not _overlaps(c[1], c[2], taken)]
+                        taken = _Taken([(a, b) for _, a, b in base[i]])
+                        proposed += [(i, *c) for c in candidates(t) if not taken.overlaps(c[1], c[2])]
                 if proposed:
                     x = np.array([features(texts[i], k, a, b) for i, k, a, b in proposed])
                     p = trees.probability(x)
                     # The best of overlapping candidates, whatever their kind.
-                    chosen: dict[int, list[tuple[int, int]]] = {}
+                    chosen: dict[int, _Taken] = {}
                     for j in np.argsort(-p, kind="stable"):
                         i, k, a, b = proposed[j]
-                        if p[j] >= trees.threshold and not _overlaps(a, b, chosen.get(i, [])):
-                            chosen.setdefault(i, []).append((a, b))
+                        if p[j] >= trees.threshold and not chosen.setdefault(i, _Taken([])).overlaps(a, b):
+                            chosen[i].add(a, b)
                             spans[i].append((k, a, b, False, float(p[j])))
             out = [
                 [

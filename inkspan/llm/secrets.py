@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.frames import append_columns, column
+from inkspan.llm.frames import append_columns, column, fresh_name
 
 # Fixed patterns of the base rules.
 ASSIGN = re.compile(
@@ -305,6 +305,7 @@ def redact(docs: DataFrame, text_column: str = "text", mask: str = "[secret]") -
 
         return compute
 
-    found = append_columns(docs, make, SECRETS + ", _clean string")
-    text = F.coalesce("_clean", F.col(text_column)).alias(text_column)
-    return found.select(*[text if c == text_column else c for c in found.columns if c != "_clean"])
+    clean = fresh_name(docs, "_clean")
+    found = append_columns(docs, make, f"{SECRETS}, {clean} string")
+    text = F.coalesce(clean, F.col(text_column)).alias(text_column)
+    return found.select(*[text if c == text_column else c for c in found.columns if c != clean])

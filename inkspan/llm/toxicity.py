@@ -16,16 +16,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.frames import append_columns, bounded_batches, column
+from inkspan.llm.frames import append_columns, bounded_batches, column, fresh_name
 from inkspan.llm.wordhash import NOT_ALNUM, char_index, mix, words_of
 
 BITS = 20
 PREFIXES = (3, 4, 5)  # bytes at a word's beginning
 MAX_FIT_DOCUMENTS = 16_000
 MAX_FIT_BYTES = 64 << 20
+SCORE_BYTES = 1 << 20  # of the texts scored at once; features take many times their size
 EPOCHS, BATCH, RATE, DECAY, BIAS = 15, 128, 0.3, 0.01, -5.0
 # A feature keeps weight 0 unless its labels tell (see ``telling``): without evidence it would learn its documents by
 # heart. In fewer than MIN_DOCUMENTS no evidence counts.
@@ -89,40 +91,63 @@ def telling(seen: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
     return tried & (seen * apart >= np.log(max(2, tried.sum())))
 
 
-def fit_weights(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Adagrad on the noisy-or likelihood; documents in the given order, so the result is repeatable."""
+class _Group:
+    """A few fitting documents: usable features (``place`` above 0) with the sentence each stands in."""
+
+    def __init__(self, bags: Bags, place: np.ndarray, labels: np.ndarray) -> None:
+        found = place[bags.ids]
+        of_word = np.repeat(np.arange(len(bags.sentence_ptr) - 1), np.diff(bags.sentence_ptr))
+        kept = found > 0
+        self.feature = found[kept]
+        self.sentence = np.broadcast_to(of_word[:, None], found.shape)[kept].astype(np.int32)
+        self.document_ptr, self.labels = bags.document_ptr, labels
+
+    def step(self, few: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        """Gradient of the noisy-or likelihood by the usable features and by the bias."""
+        z = bias + np.bincount(self.sentence, few[self.feature], self.document_ptr[-1])
+        kept = np.exp(-_sum_by(np.logaddexp(0, z), self.document_ptr))  # prod(1 - p)
+        pull = np.where(self.labels > 0, -kept / np.maximum(1 - kept, 1e-9), 1.0)
+        slope = np.maximum(_sigmoid(z) * np.repeat(pull, np.diff(self.document_ptr)), -1.0)
+        gradient = np.bincount(self.feature, slope[self.sentence], len(few)) + DECAY * few
+        gradient[0] = 0
+        return gradient, slope.sum()
+
+
+def fit_weights(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Adagrad on the noisy-or likelihood; documents in the given order, so the result is repeatable.
+
+    Texts are read twice, once to choose the features and once to keep what is left of them, so that no more than
+    a group's features are held in full.
+    """
     size = 1 << BITS
     weights, bias = np.zeros(size), BIAS
     seen_in, toxic_in, filled = np.zeros(size, np.int32), np.zeros(size, np.int32), []
-    groups = []
-    for k in range(0, len(texts), BATCH):
-        bags = Bags(pa.array(texts[k : k + BATCH], pa.string()))
+    begins = range(0, len(texts), BATCH)
+    for k in begins:
+        bags = Bags(texts.slice(k, BATCH))
         if len(bags.ids):
             pairs = np.unique((bags.words.row[:, None] << BITS | bags.ids).ravel())
             y, feature = labels[k : k + BATCH], pairs & (size - 1)
             seen_in += np.bincount(feature, minlength=size)
             toxic_in += np.bincount(feature[y[pairs >> BITS] > 0], minlength=size)
             filled.append(y[np.diff(bags.document_ptr) > 0])
-            groups.append((bags.ids, bags.sentence_ptr, bags.document_ptr, labels[k : k + BATCH]))
     rate = float((np.concatenate(filled) > 0).mean()) if filled else 0.0
     usable = np.flatnonzero(telling(seen_in, toxic_in, rate))
     place = np.zeros(size, np.int32)  # 0: not used, its weight stays 0
     place[usable] = np.arange(1, len(usable) + 1)
-    groups = [(place[ids], *rest) for ids, *rest in groups]
     few = np.zeros(len(usable) + 1)
     past, past_bias = np.full(len(few), 1e-6), 1e-6
-    for _ in range(EPOCHS if labels.min(initial=1) != labels.max(initial=0) else 0):
-        for ids, sentence_ptr, document_ptr, y in groups:
-            z = bias + np.add.reduceat(few[ids].sum(axis=1), sentence_ptr[:-1])
-            kept = np.exp(-_sum_by(np.logaddexp(0, z), document_ptr))  # prod(1 - p)
-            pull = np.where(y > 0, -kept / np.maximum(1 - kept, 1e-9), 1.0)
-            slope = np.maximum(_sigmoid(z) * np.repeat(pull, np.diff(document_ptr)), -1.0)
-            by_word = np.repeat(np.repeat(slope, np.diff(sentence_ptr)), ids.shape[1])
-            gradient = np.bincount(ids.ravel(), by_word, len(few)) + DECAY * few
-            gradient[0] = 0
+    epochs = EPOCHS if labels.min(initial=1) != labels.max(initial=0) else 0
+    groups = []
+    for k in begins if epochs else ():
+        bags = Bags(texts.slice(k, BATCH))
+        if len(bags.ids):
+            groups.append(_Group(bags, place, labels[k : k + BATCH]))
+    for _ in range(epochs):
+        for group in groups:
+            gradient, total = group.step(few, bias)
             past += gradient**2
             few -= RATE * gradient / np.sqrt(past)
-            total = slope.sum()
             past_bias += total**2
             bias -= RATE * total / np.sqrt(past_bias)
     weights[usable] = few[1:]
@@ -194,15 +219,29 @@ def fit(
 
     def learn(batches):
         found = [b for b in batches if len(b)]
-        taken = pa.Table.from_batches(found).sort_by([("_order", "ascending"), ("_id", "ascending")]) if found else None
-        texts, marks = [], []
-        if taken is not None:
-            texts, marks = taken["_text"].to_pylist(), taken["_label"].to_pylist()
-        model = pack_model(*fit_weights(texts, np.array(marks, int)))
+        texts, marks = pa.array([], pa.string()), np.zeros(0, int)
+        if found:
+            whole = pa.Table.from_batches(found)
+            taken = whole.sort_by([("_order", "ascending"), ("_id", "ascending")])
+            texts, marks = taken["_text"].combine_chunks(), taken["_label"].to_numpy().astype(int)
+            del found, whole, taken
+        model = pack_model(*fit_weights(texts, marks))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     learned = rows.repartition(1).mapInArrow(learn, "model binary").first()
-    return bytes(learned["model"]) if learned else pack_model(*fit_weights([], np.zeros(0, int)))
+    return bytes(learned["model"]) if learned else pack_model(*fit_weights(pa.array([], pa.string()), np.zeros(0, int)))
+
+
+def _parts(texts: pa.Array) -> list[pa.Array]:
+    """The column in runs of rows of about SCORE_BYTES; a longer text is a run of its own."""
+    ends = np.cumsum(pc.coalesce(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, first = [], 0
+    while first < len(texts):
+        room = SCORE_BYTES + (ends[first - 1] if first else 0)
+        stop = max(first + 1, int(np.searchsorted(ends, room, "right")))
+        out.append(texts.slice(first, stop - first))
+        first = stop
+    return out
 
 
 def score(docs: DataFrame, model: bytes, text_column: str = "text", floor: float = 0.5) -> DataFrame:
@@ -213,12 +252,12 @@ def score(docs: DataFrame, model: bytes, text_column: str = "text", floor: float
         values = np.frombuffer(zlib.decompress(shared.value), np.float32)
         weights, bias = values[:-1].astype(np.float64), float(values[-1])
 
-        def compute(batch):
-            bags = Bags(column(batch, text_column))
+        def scored(texts):
+            bags = Bags(texts)
             z = bags.sentence_logits(weights, bias)
             ptr, words = bags.document_ptr, bags.words
             scores = noisy_or(z, ptr)
-            spans = [[] for _ in range(len(batch))]
+            spans = [[] for _ in range(len(texts))]
             bad = np.flatnonzero(z >= np.log(floor / (1 - floor)))
             if len(bad):
                 chars = char_index(words.data, words.offsets)
@@ -231,11 +270,16 @@ def score(docs: DataFrame, model: bytes, text_column: str = "text", floor: float
                     spans[row].append(
                         {"start": int(chars[first] - base), "end": int(chars[end] - base), "score": float(_sigmoid(z[s]))}
                     )
+            return scores, np.diff(ptr), spans
+
+        def compute(batch):
+            parts = [scored(texts) for texts in _parts(column(batch, text_column))]
+            scores, sizes, spans = zip(*parts, strict=True) if parts else ([np.zeros(0)], [np.zeros(0, int)], [[]])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
             return [
-                pa.array(scores, pa.float64()),
-                pa.array(np.diff(ptr), pa.int64()),
-                pa.array(spans, kind),
+                pa.array(np.concatenate(scores), pa.float64()),
+                pa.array(np.concatenate(sizes), pa.int64()),
+                pa.array([x for part in spans for x in part], kind),
             ]
 
         return compute
@@ -250,11 +294,12 @@ def _word_length(data: np.ndarray, start: int, stop: int) -> int:
 
 def sentences(docs: DataFrame, model: bytes, text_column: str = "text", floor: float = 0.5) -> DataFrame:
     """One row per offending sentence: the columns of ``docs``, start, end, score and the sentence itself."""
-    marked = score(docs, model, text_column, floor).withColumn("_hit", F.explode("offending"))
+    hit = fresh_name(docs, "_hit")
+    marked = score(docs, model, text_column, floor).withColumn(hit, F.explode("offending"))
     return marked.select(
         *[c for c in docs.columns if c not in ("start", "end", "score", "sentence")],
-        F.col("_hit.start").alias("start"),
-        F.col("_hit.end").alias("end"),
-        F.col("_hit.score").alias("score"),
-        F.substring(F.col(text_column), F.col("_hit.start") + 1, F.col("_hit.end") - F.col("_hit.start")).alias("sentence"),
+        F.col(hit)["start"].alias("start"),
+        F.col(hit)["end"].alias("end"),
+        F.col(hit)["score"].alias("score"),
+        F.substring(F.col(text_column), F.col(hit)["start"] + 1, F.col(hit)["end"] - F.col(hit)["start"]).alias("sentence"),
     )

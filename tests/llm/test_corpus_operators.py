@@ -365,3 +365,33 @@ def test_warc_empty_table(make, tmp_path):
     captures = warc.write(pages, str(tmp_path / "none"))
     assert captures.count() == 0 and warc.lookup(pages, warc.build_index(captures)).count() == 0
     assert warc.read(captures).count() == 0
+
+
+def test_decontaminate_items_with_repeated_pieces(spark, make):
+    rng = random.Random(9)
+    half = [f"p{k}" for k in range(5)]
+    items = [(0, " ".join(half * 2 + [f"q{k}" for k in range(10)])), (1, " ".join([f"r{k}" for k in range(10)] + half * 2)), (2, "x " * 20)]
+    docs = []
+    for k in range(90):
+        own = items[k % 3][1].split()
+        for at in rng.sample(range(20), rng.randint(0, 4)):
+            own[at] = f"z{at}"
+        rest = [f"n{rng.randrange(99)}" for _ in range(k % 7)]
+        docs.append((k, " ".join(rest + own if k % 2 else own + rest)))
+    wanted = {}
+    for d, text in docs:
+        for i, item in items:
+            best = min(distance(words(item), words(text)))
+            if best <= decontaminate.budget(20, decontaminate.RATE):
+                wanted[d, i] = best
+    found = decontaminate.links(make(docs, "doc_id long, text string"), make(items, "item_id long, text string"))
+    assert {(r.doc, r.item): r.distance for r in found.collect()} == wanted and len(wanted) > 60
+
+
+def test_decontaminate_cleans_row_by_row(make):
+    item = "one two three four five six seven"
+    rows = [(None, "a clean row", 1), (None, f"see {item}", 2), (None, "another clean row", 3), (4, f"{item} again", 4), (4, "clean", 5), (6, None, 6)]
+    docs = make([(*r, "d", "t", r[2]) for r in rows], "doc_id long, text string, n int, _doc string, _tag string, `_doc_` int")
+    kept = decontaminate.clean(docs, make([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r.n for r in kept.collect()) == [1, 3, 5, 6]
+    assert {(r["_doc"], r["_tag"]) for r in kept.collect()} == {("d", "t")}

@@ -24,7 +24,7 @@ def test_rare_offending_words_are_learned(count):
 
     labels = np.zeros(count, int)
     labels[rng.choice(count, 150, replace=False)] = 1  # about ten documents for each word
-    weights, bias = fit_weights(make(count, labels), labels)
+    weights, bias = fit_weights(pa.array(make(count, labels)), labels)
     marks = np.repeat([1, 0], 200)
     bags = Bags(pa.array(make(400, marks)))
     found = noisy_or(bags.sentence_logits(weights.astype(float), bias), bags.document_ptr) >= 0.5
