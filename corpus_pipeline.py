@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.llm import bpe, decontaminate, minhash, secrets, toxicity
-from inkspan.llm.frames import key_or_least, stage, table
+from inkspan.llm.frames import fresh_name, key_or_least, stage, table
 
 TOXIC_FROM = 0.5
 
@@ -27,15 +27,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates (five-word shingles, similarity 0.8)."""
     found = minhash.near_duplicates(docs, "doc_id", "text")
-    others = stage(
-        found.filter(~F.col("kept")).select(key_or_least("doc_id").alias("_other")).distinct(), "duplicates"
-    )
-    keyed = docs.withColumn("_doc", key_or_least("doc_id"))
-    first = keyed.join(others, keyed["_doc"] == others["_other"], "left_anti")
+    doc, rows = fresh_name(docs, "_doc"), fresh_name(docs, "_rows")
+    others = stage(found.filter(~F.col("kept")).select(key_or_least("doc_id").alias(doc)).distinct(), "duplicates")
+    first = docs.withColumn(doc, key_or_least("doc_id")).join(others, doc, "left_anti")
     # Rows that repeat an id are few; only they are compared as whole texts.
-    repeated = stage(first.groupBy("_doc").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("_doc"), "repeated")
-    once = first.join(repeated, "_doc", "left_semi").dropDuplicates(["_doc", "text"])
-    return first.join(repeated, "_doc", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    repeated = first.groupBy(doc).agg(F.count("*").alias(rows)).filter(F.col(rows) > 1).select(doc)
+    repeated = stage(repeated, "repeated")
+    once = first.join(repeated, doc, "left_semi").dropDuplicates([doc, "text"])
+    return first.join(repeated, doc, "left_anti").select(docs.columns).union(once.select(docs.columns))
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
