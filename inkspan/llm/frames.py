@@ -6,7 +6,9 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +67,18 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(max(i for i, n in enumerate(batch.schema.names) if n == name))
 
 
+def parts(batches: Iterable[pa.RecordBatch], name: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about ``size`` bytes of the text column; a longer text is a run of its own."""
+    for batch in batches:
+        lengths = pc.coalesce(pc.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False)
+        ends, first = np.cumsum(lengths, dtype=np.int64), 0
+        while first < len(batch):
+            room = size + (ends[first - 1] if first else 0)
+            stop = max(first + 1, int(np.searchsorted(ends, room, "right")))
+            yield batch.slice(first, stop - first)
+            first = stop
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, to carry a helper value beside a caller's own columns."""
     taken = {c.lower() for c in df.columns}

@@ -1,42 +1,47 @@
-"""Passages of at least 20 words repeated across or within documents, by a look-up of all windows.
-
-This stands in place of relative Lempel-Ziv parsing; nothing is factored greedily. A run of words that also stands
-earlier (in documents of smaller ids, or its own) is a duplicate span from ``WINDOW`` words on. Meeting
-every reference text with every document would be a cross product, so the reference is an index
-dealt out by content. Each window of ``WINDOW`` words is filed under its anchor, the smallest hash
-among its runs of ``GRAM`` words: equal windows have equal anchors wherever they stand, so a document
-meets exactly those reference blocks that can share a factor with it, and one row carries all
-consecutive windows with one anchor. Greedy factors end somewhere, and a window across the border of
-two factors may stand earlier as well; each window is looked up, so borders are checked too and the
-result is that of the definition: a word goes if a window over it also starts earlier.
-
-Before the shuffle, windows repeated within a batch are settled there, so a passage that very many
-documents share sends one row per batch. Anchors that are very common (counted over a random share
-of the rows of all documents; this only steers the dealing, not the result) are filed by the window itself instead, so no
-task receives more than a small share of all rows, and no anchor brings more than a fixed number. Windows
-count as equal when their 64-bit hashes and their anchors' do.
+"""Passages of at least 20 words repeated across or within documents, by relative Lempel-Ziv parsing.
+
+A document is factored against reference blocks: a factor is a run of its words that also stands earlier (in documents
+of smaller ids, or its own before it), taken as long as it goes on there. Factors of at least ``WINDOW`` words are
+duplicate spans.
+
+Meeting every reference text with every document would be a cross product, so the reference is dealt into blocks by
+content, and a block is met only by what can share a factor with it. Each window of ``WINDOW`` words has an anchor,
+its smallest run of ``GRAM`` words: equal windows have equal anchors wherever they stand. An anchor that stands at one
+place only begins no factor. Of the others, each place brings the words of its windows to its anchor's block. In
+a block the places are parsed in the order of documents: the parse looks up the window at its head in the
+block's index of windows; a hit gives the source, and the factor goes on word by word as long as the source does. A greedy
+factor ends somewhere, and a window across its border may stand earlier in another place: the parse goes on at the first
+window that is not inside the factor and looks up each. Windows no factor covers enter the index.
+
+Before that, windows repeated within a batch are factored there, the batch being a block too, so a passage that very many
+documents share sends few places per batch. Anchors that stand at more than ``MOST`` places are dealt out by their
+windows instead, so no block grows with the corpus but by the places of one window, of which the index holds one.
+
+Words are compared by 48 bits of their hash each, windows thus by 960 bits and their anchor's 64.
 
 Defined cases: null texts have no words. Texts under ``WINDOW`` words keep all. A null id comes before
-all others. Rows that repeat an id with the same text are alike: they get the same spans, and neither
-is earlier than the other. Computed columns replace columns of their name.
+all others; ids are integers. Rows that repeat an id with the same text are alike: they get the same spans, and neither
+is earlier than the other; rows of one id with other texts are told apart by 64 bits of a text hash, and by their places
+as one document's are. Computed columns replace columns of their name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.frames import append_columns, bounded_batches, column, key_or_least
+from inkspan.llm.collocations import _among, bit_table
+from inkspan.llm.frames import append_columns, bounded_batches, column, fresh_name, key_or_least, parts, stage, text_tag
 from inkspan.llm.wordhash import BLANKS, char_index, grams, mix, words_of
 
 WINDOW, GRAM = 20, 8
 REACH = WINDOW - GRAM + 1  # runs of GRAM words in a window
-TAG_BITS = 24
-COMMON = 2_000  # an anchor on more than one of so many rows counts as common
-MOST = 10_000  # and one on more rows than this, however many there are in all
-COUNTED = 8  # one row in so many, drawn from all documents whatever their ids, is counted for that
+MOST = 10_000  # an anchor at more places than this is dealt out by its windows
+PART_BYTES = 2 << 20  # of texts worked on at once, but for longer ones
+WORD = 6  # bytes of a word's hash in a block
 
 _U = np.uint64
 
@@ -74,177 +79,221 @@ class Windows:
 
 def _keys(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    return df.select(
-        key_or_least(id_column).alias("doc"), _tag(text_column).alias("tag"), text.alias("text")
-    )
-
+    return df.select(key_or_least(id_column).alias("doc"), text_tag(text_column).alias("tag"), text.alias("text"))
 
-def _tag(text_column: str) -> Column:
-    """Tells rows of one id apart that differ in text."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    return F.shiftrightunsigned(F.xxhash64(text), 64 - TAG_BITS).cast("int")
 
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any column."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for values in columns:
+        out[1:] |= values[1:] != values[:-1]
+    return out
 
-def common_anchors(keyed: DataFrame) -> np.ndarray:
-    """Sorted hashes of the anchors that are on more than one of COMMON rows, or on more than MOST of them.
 
-    They are at most COMMON, or one for MOST rows.
-    """
+def repeated_anchors(keyed: DataFrame) -> DataFrame:
+    """fp (the anchor's hash) and n of the anchors that stand at two places or more. The returned table is staged."""
 
     def run(batches):
-        rng = np.random.default_rng(COUNTED)
-        for batch in batches:
+        for batch in parts(batches, "text", PART_BYTES):
             found = Windows(batch.column("text"))
-            fresh = np.ones(len(found.key), bool)
-            fresh[1:] = (found.anchor[1:] != found.anchor[:-1]) | (found.row[1:] != found.row[:-1])
-            drawn = found.key[fresh]
-            kinds, count = np.unique(drawn[rng.random(len(drawn)) < 1 / COUNTED], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(count)], ["key", "n"])
+            kinds, n = np.unique(found.key[_fresh(found.anchor, found.row)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], ["fp", "n"])
 
-    counted = keyed.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    rows = counted.filter(F.col("n") > min(MOST // COUNTED, max(20, total // COMMON))).select("key").toArrow()
-    return np.sort(rows["key"].to_numpy().view(_U))
+    counted = keyed.mapInArrow(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
+    return stage(counted.filter("n > 1"), "anchors")
 
 
-def index_rows(keyed: DataFrame, common: np.ndarray) -> DataFrame:
-    """One row per anchor and place: key, doc, at (start word and tag), settled and open windows.
+def shared_places(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
+    """doc, tag and places: the anchors of the text that stand elsewhere too, as (at, common).
 
-    ``settled`` are bits of windows known to start earlier, ``rest`` holds the hashes
-    of the windows to look up, ``pending`` their bits; bit ``k`` is the window that starts ``k`` words before the anchor.
+    A bit table of fixed largest size keeps most others from the join that decides.
     """
-    shared = keyed.sparkSession.sparkContext.broadcast(common)  # one hash for MOST rows at most, or COMMON
+    shared = keyed.sparkSession.sparkContext.broadcast(bit_table(repeated))
 
     def run(batches):
-        frequent = shared.value
-        for batch in batches:
+        for batch in parts(batches, "text", PART_BYTES):
             found = Windows(batch.column("text"))
-            if not len(found.key):
-                continue
-            doc = batch.column("doc").to_numpy()[found.row]
-            tag = batch.column("tag").to_numpy()[found.row]
-            order = np.lexsort((found.at, doc, found.hash))
-            hashes, first = found.hash[order], np.ones(len(order), bool)
-            first[1:] = hashes[1:] != hashes[:-1]
-            head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            later = np.empty(len(order), bool)
-            later[order] = (doc[order] != doc[head]) | (found.at[order] != found.at[head])
-            key, offset = found.key, found.anchor - found.at
-            if len(frequent):
-                hot = frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
-                key = np.where(hot, mix(key ^ found.hash), key)
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (found.anchor[1:] != found.anchor[:-1]) | (found.row[1:] != found.row[:-1])
-            begin = np.flatnonzero(fresh)
-            bit = np.left_shift(1, offset)
-            settled = np.add.reduceat(np.where(later, bit, 0), begin)
-            pending = np.add.reduceat(np.where(later, 0, bit), begin)
-            # Nothing to look up: such rows may go anywhere.
-            filed = np.where(pending > 0, key[begin], mix(doc[begin].view(_U) * _U(31) + found.anchor[begin].astype(_U)))
-            # Windows of a row stand in order of start, so offsets fall; hashes are listed that way.
-            whole = found.hash.astype("<u8")[~later]
-            ptr = np.concatenate([[0], np.cumsum(np.add.reduceat((~later).astype(np.int64), begin))]) * 8
-            rest = pa.Array.from_buffers(
-                pa.binary(), len(begin), [None, pa.py_buffer(ptr.astype(np.int32)), pa.py_buffer(whole.tobytes())]
-            )
-            at = found.anchor[begin] << TAG_BITS | tag[begin]
+            begin = np.flatnonzero(_fresh(found.anchor, found.row))
+            begin = begin[_among(shared.value, found.key[begin])]
+            row = found.row[begin]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(filed.view(np.int64)), pa.array(doc[begin]), pa.array(at),
-                    pa.array(settled.astype(np.int16)), pa.array(pending.astype(np.int16)), rest,
+                    pa.array(found.key[begin].view(np.int64)), pa.array(batch.column("doc").to_numpy()[row]),
+                    pa.array(batch.column("tag").to_numpy()[row]), pa.array(found.anchor[begin].astype(np.int32)),
                 ],
-                ["key", "doc", "at", "settled", "pending", "rest"],
-            )
+                ["fp", "doc", "tag", "at"],
+            )
+
+    places = keyed.select("doc", "tag", "text").mapInArrow(run, "fp long, doc long, tag long, at int")
+    told = places.join(repeated, "fp").select("doc", "tag", F.struct("at", (F.col("n") > MOST).alias("common")).alias("p"))
+    return told.groupBy("doc", "tag").agg(F.collect_set("p").alias("places"))  # numbers of one text
 
-    return keyed.mapInArrow(run, "key long, doc long, at long, settled short, pending short, rest binary")
 
+PLACE = "key long, doc long, tag long, at int, words binary, length int, source long, source_at int"
 
-def _look_up(batches):
-    """Windows that also start earlier. Rows come sorted by key, document and place.
 
-    What is kept from one batch to the next are the distinct windows of the last anchor.
+def block_rows(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """What goes to the blocks: key, doc, tag, at and words (hashes) of a place; and the factors within a batch.
+
+    A factor comes without words, with length, source (document) and source_at.
     """
-    last, known = None, {}
+
+    def run(batches):
+        for batch in parts(batches, "text", PART_BYTES):
+            found, listed = Windows(batch.column("text")), batch.column("places")
+            of = np.repeat(np.arange(len(batch)), listed.value_lengths().to_numpy())
+            at, common = (listed.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("at", "common"))
+            # Windows of the listed anchors: both sides are numbered by row and word.
+            span = int(max(found.anchor.max(initial=0), at.max(initial=0))) + 1
+            order = np.argsort(of * span + at)
+            asked, hot = (of * span + at)[order], common[order]
+            own = found.row * span + found.anchor
+            where = np.minimum(np.searchsorted(asked, own), max(len(asked) - 1, 0))
+            used = np.flatnonzero(asked[where] == own) if len(asked) else np.zeros(0, np.int64)
+            yield from _rows(batch, found, used, hot[where[used]] if len(asked) else np.zeros(0, bool))
+
+    joined = keyed.join(places, ["doc", "tag"]).select("doc", "tag", "text", "places")
+    return joined.mapInArrow(run, PLACE)
+
+
+def _rows(batch: pa.RecordBatch, found: Windows, used: np.ndarray, hot: np.ndarray):
+    """Rows for the windows ``used`` (in order): factors within the batch, and words of the places left."""
+    row, at, anchor, whole = found.row[used], found.at[used], found.anchor[used], found.hash[used]
+    doc, tag = batch.column("doc").to_numpy()[row], batch.column("tag").to_numpy()[row]
+    # The place before in the order of documents with the same window, if there is one.
+    order = np.lexsort((at, doc, whole))
+    kinds, steps = _fresh(whole[order]), _fresh(whole[order], doc[order], at[order])
+    head = np.flatnonzero(steps)[np.cumsum(steps) - 1]
+    before = np.where(kinds[head], -1, head - 1) if len(order) else head
+    source = np.full(len(used), -1)
+    source[order] = np.where(before >= 0, order[before], -1)
+    later = np.flatnonzero(source >= 0)
+    from_doc, from_at = doc[source[later]], at[source[later]]
+    runs = _fresh(row[later], at[later] - np.arange(len(later)), from_doc, from_at - at[later])
+    begin = np.flatnonzero(runs)
+    size = np.diff(np.append(begin, len(later))) + WINDOW - 1
+    yield _place_batch(
+        mix(doc[later[begin]].view(_U) * _U(31) + at[later[begin]].astype(_U)), doc[later[begin]], tag[later[begin]],
+        at[later[begin]], None, size, from_doc[begin], from_at[begin],
+    )
+    # The rest goes to the block of its anchor, or of the window where the anchor is common. A place takes all windows
+    # between its first and last one left: they have the same anchor.
+    rest = np.flatnonzero(source < 0)
+    key = np.where(hot[rest], mix(found.key[used][rest] ^ whole[rest]), found.key[used][rest])
+    begin = np.flatnonzero(_fresh(row[rest], anchor[rest], key))
+    last = np.append(begin[1:], len(rest)) - 1
+    first_word = found.words.row_ptr[row[rest[begin]]] + at[rest[begin]] if len(rest) else begin
+    words = at[rest[last]] - at[rest[begin]] + WINDOW if len(rest) else begin
+    ptr = np.concatenate([[0], np.cumsum(words)])
+    source_words = np.repeat(first_word - ptr[:-1], words) + np.arange(ptr[-1])
+    data = found.words.hash[source_words].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD].tobytes()
+    packed = pa.Array.from_buffers(
+        pa.binary(), len(begin), [None, pa.py_buffer((ptr * WORD).astype(np.int32)), pa.py_buffer(data)]
+    )
+    pick = rest[begin]
+    yield _place_batch(key[begin], doc[pick], tag[pick], at[pick], packed, None, None, None)
+
+
+def _place_batch(key, doc, tag, at, words, length, source, source_at) -> pa.RecordBatch:
+    def whole(values, kind):
+        return pa.nulls(len(doc), kind) if values is None else values if isinstance(values, pa.Array) else pa.array(values.astype(kind.to_pandas_dtype()), kind)
+
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(key.view(np.int64)), pa.array(doc), pa.array(tag), whole(at, pa.int32()), whole(words, pa.binary()),
+            whole(length, pa.int32()), whole(source, pa.int64()), whole(source_at, pa.int32()),
+        ],
+        ["key", "doc", "tag", "at", "words", "length", "source", "source_at"],
+    )
+
+
+class Index:
+    """The windows of one block and where each stands first."""
+
+    def __init__(self) -> None:
+        self.windows: dict[bytes, tuple[int, int, bytes, int]] = {}
+
+    def parse(self, doc: int, at: int, words: bytes) -> list[tuple[int, int, int, int]]:
+        """Factors (place, length, source, place there) of a run of words that begins at word ``at`` of ``doc``.
+
+        Runs have to come in the order of (doc, at).
+        """
+        out, k, last = [], 0, len(words) - WINDOW * WORD
+        while k <= last:
+            head = words[k : k + WINDOW * WORD]
+            source = self.windows.get(head)
+            place = at + k // WORD
+            if source is None:
+                self.windows[head] = (doc, place, words, k)
+            elif source[:2] != (doc, place):
+                stop, there = k + WINDOW * WORD, source[3] + WINDOW * WORD
+                while stop < len(words) and words[stop : stop + WORD] == source[2][there : there + WORD]:
+                    stop, there = stop + WORD, there + WORD
+                out.append((place, (stop - k) // WORD, source[0], source[1]))
+                k = stop - WINDOW * WORD  # the next window is the first over the factor's end
+            k += WORD
+        return out
+
+
+def _factor(batches):
+    """Factors of the places of each block. Rows come sorted by key, document and place."""
+    last, index = None, Index()
     for batch in batches:
-        key = batch.column("key").to_numpy()
-        doc, at = batch.column("doc").to_numpy(), batch.column("at").to_numpy()
-        bits = batch.column("settled").to_numpy().astype(np.int64)
-        pending = batch.column("pending").to_numpy().astype(np.int64)
-        data, offsets = _values(batch.column("rest"))
-        counts = np.diff(offsets) // 8
-        row = np.repeat(np.arange(len(key)), counts)
-        # Bits of a row from the highest on, in the order of its hashes.
-        table = (pending[:, None] >> np.arange(REACH - 1, -1, -1)) & 1
-        offset = REACH - 1 - np.nonzero(table)[1]
-        # The place of the anchor follows from the window, so windows of an anchor are told apart by their hash alone.
-        window = np.frombuffer(data, "<u8").astype(_U)
-        owner = key.view(_U)[row]
-        place = at[row] >> TAG_BITS
-        order = np.lexsort((place, doc[row], window, owner))
-        ordered, first = window[order], np.ones(len(order), bool)
-        first[1:] = (ordered[1:] != ordered[:-1]) | (owner[order][1:] != owner[order][:-1])
-        head = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
-        later = np.empty(len(order), bool)
-        later[order] = (doc[row][order] != doc[row][head]) | (place[order] != place[head])
-        if len(key) and last == key[0] and known:
-            for k in np.flatnonzero(key[row] == last):
-                before = known.get(int(window[k]))
-                later[k] |= before is not None and before != (doc[row[k]], place[k])
-        if len(key):
-            tail = key[-1]
-            if tail != last:
-                last, known = tail, {}
-            for k in np.flatnonzero(first):
-                w = head[k]
-                if key[row[w]] == tail:
-                    known.setdefault(int(window[w]), (doc[row[w]], place[w]))
-        np.add.at(bits, row[later], np.left_shift(1, offset[later]))
-        hit = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[hit]), pa.array(at[hit]), pa.array(bits[hit].astype(np.int16))], ["doc", "at", "bits"]
-        )
-
-
-def _values(binary: pa.Array) -> tuple[bytes, np.ndarray]:
-    _, ptr, data = binary.buffers()
-    offsets = np.frombuffer(ptr, np.int32)[binary.offset : binary.offset + len(binary) + 1].astype(np.int64)
-    return (data.to_pybytes() if data is not None else b"")[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc, tag and found: packed (anchor word, bits of windows before it) of all windows that start earlier too."""
+        done = batch.filter(pc.is_null(batch.column("words")))
+        yield done.select(["doc", "tag", "at", "length", "source", "source_at"])
+        rows, asked = [], batch.filter(pc.is_valid(batch.column("words")))
+        columns = [asked.column(c).to_pylist() for c in ("key", "doc", "tag", "at", "words")]
+        for key, doc, tag, at, words in zip(*columns, strict=True):
+            if key != last:
+                last, index = key, Index()
+            rows += [(doc, tag, *f) for f in index.parse(doc, at, words)]
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        names = ["doc", "tag", "at", "length", "source", "source_at"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+FACTOR = "doc long, tag long, at int, length int, source long, source_at int"
+
+
+def factors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The factors of all documents: doc, tag (of the text), at and length in words, source (document) and source_at.
+
+    Factors found in several blocks overlap; together they cover every window that also starts earlier.
+    """
+    bounded_batches(docs.sparkSession)
     keyed = _keys(docs, id_column, text_column)
-    rows = index_rows(keyed, common_anchors(keyed))
-    dealt = rows.repartition("key").sortWithinPartitions("key", "doc", "at")
-    hits = dealt.mapInArrow(_look_up, "doc long, at long, bits short")
-    tag = F.col("at").bitwiseAND((1 << TAG_BITS) - 1).cast("int")
-    entry = F.shiftleft(F.shiftright("at", TAG_BITS), 16) + F.col("bits").cast("long")
-    return hits.groupBy("doc", tag.alias("tag")).agg(F.collect_list(entry).alias("found"))
+    places = shared_places(keyed, repeated_anchors(keyed))
+    dealt = block_rows(keyed, places).repartition("key").sortWithinPartitions("key", "doc", "at")
+    return dealt.mapInArrow(_factor, FACTOR)
+
+
+def joined_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc, tag and found: packed (at << 32 | length) of its factors, without repeats."""
+    packed = F.shiftleft(F.col("at").cast("long"), 32) + F.col("length")
+    return factors(docs, id_column, text_column).groupBy("doc", "tag").agg(F.collect_set(packed).alias("found"))
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed, kept_text (kept words joined by a space) and removed (spans in code points)."""
     bounded_batches(docs.sparkSession)
-    found = repeated_windows(docs, id_column, text_column).select(
-        F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("found").alias("_found")
-    )
-    keyed = docs.withColumns({"_doc": key_or_least(id_column), "_tag": _tag(text_column)})
-    joined = keyed.join(found, ["_doc", "_tag"], "left").select(*docs.columns, "_found")
+    doc, tag, entry = (fresh_name(docs, n) for n in ("_doc", "_tag", "_found"))
+    found = joined_spans(docs, id_column, text_column).toDF(doc, tag, entry)
+    keyed = docs.withColumns({doc: key_or_least(id_column), tag: text_tag(text_column)})
+    joined = keyed.join(found, [doc, tag], "left").select(*docs.columns, entry)
 
     def make():
         def compute(batch):
             words = words_of(column(batch, text_column), BLANKS, lower=False)
             total = len(words.start)
             change = np.zeros(total + 1, np.int64)
-            entries = column(batch, "_found")
+            entries = column(batch, entry)
             ptr = np.concatenate([[0], np.cumsum([len(e) if e.is_valid else 0 for e in entries])]).astype(np.int64)
             packed = entries.flatten().to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(batch)), np.diff(ptr))
-            for k in range(REACH):
-                has = (packed >> k) & 1 == 1
-                begin = (packed[has] >> 16) - k + words.row_ptr[row[has]]
-                np.add.at(change, begin, 1)
-                np.add.at(change, begin + WINDOW, -1)
+            begin = (packed >> 32) + words.row_ptr[np.repeat(np.arange(len(batch)), np.diff(ptr))]
+            np.add.at(change, begin, 1)
+            np.add.at(change, begin + (packed & 0xFFFFFFFF), -1)
             covered = np.cumsum(change[:-1]) > 0
             texts, spans, removed = [], [], []
             chars = None
@@ -282,4 +331,4 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         return compute
 
     ddl = "n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>"
-    return append_columns(joined, make, ddl).drop("_found")
+    return append_columns(joined, make, ddl).drop(entry)

@@ -163,14 +163,43 @@ def test_repeats_by_brute_force(spark, make, monkeypatch, arrow_bytes):
 def test_repeats_of_common_anchors_are_the_same(spark, make, monkeypatch):
     passage = " ".join(f"p{k}" for k in range(25))
     docs = [(k, f"a{k} b{k % 7} {passage} c{k % 3} " + " ".join(f"x{k}y{j}" for j in range(20))) for k in range(400)]
-    monkeypatch.setattr(repeats, "COUNTED", 1)
-    monkeypatch.setattr(repeats, "COMMON", 10)
+    monkeypatch.setattr(repeats, "MOST", 10)
     frame = make(docs, "doc_id long, text string").repartition(9)
-    assert len(repeats.common_anchors(repeats._keys(frame, "doc_id", "text"))) > 0
+    assert repeats.repeated_anchors(repeats._keys(frame, "doc_id", "text")).filter("n > 10").count() > 0
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in repeats.remove_repeats(frame).collect()}
     assert got == plain_repeats(docs)
 
 
+def test_factors_are_copies_that_stand_earlier(make):
+    rng = random.Random(5)
+    noun = [f"n{k}" for k in range(300)]
+    base = [rng.choices(noun, k=80) for _ in range(6)]
+    docs = []
+    for k in range(60):
+        own = rng.choices(noun, k=rng.randint(0, 30))
+        for _ in range(rng.randint(1, 3)):
+            piece, at = rng.choice(base), rng.randint(0, 50)
+            own += piece[at : at + rng.randint(15, 60)]  # meets others over its borders
+        docs.append((k, " ".join(own)))
+    listed = {i: t.split() for i, t in docs}
+    covered = {i: set() for i in listed}
+    for r in repeats.factors(make(docs, "doc_id long, text string").repartition(7)).collect():
+        assert r.length >= 20 and (r.source, r.source_at) < (r.doc, r.at)
+        assert listed[r.doc][r.at : r.at + r.length] == listed[r.source][r.source_at : r.source_at + r.length]
+        covered[r.doc] |= set(range(r.at, r.at + r.length))
+    assert {i: len(c) for i, c in covered.items()} == {i: n for i, (_, n, _) in plain_repeats(docs).items()}
+
+
+def test_parse_is_greedy_and_minds_borders():
+    pack = lambda words: b"".join(w.to_bytes(repeats.WORD, "little") for w in words)
+    index, a = repeats.Index(), list(range(40))
+    b = [*range(20, 40), *range(100, 112)]
+    assert index.parse(1, 0, pack(a)) == [] and index.parse(2, 5, pack(b)) == [(5, 20, 1, 20)]
+    # The first factor ends at word 40; the window over its border stands in document 2.
+    assert index.parse(3, 0, pack([*range(5, 40), *range(100, 108)])) == [(0, 35, 1, 5), (16, 27, 2, 6)]
+    assert index.parse(3, 0, pack([*range(5, 40), *range(100, 108)])) == [(0, 35, 1, 5), (16, 27, 2, 6)]
+
+
 def test_repeats_defined_cases(odd, empty, make):
     rows = repeats.remove_repeats(odd, "id", "body").collect()
     assert len(rows) == 9 and len(rows[0]) == len(ODD.split(",")) + 4
