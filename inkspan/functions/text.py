@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,66 @@ def token_table(
     ).select(*keys, "token", (F.col("token_base") + F.col("_at")).alias("pos"))
 
 
+def _last(words: Column, count: int) -> Column:
+    return F.slice(words, F.greatest(F.size(words) - count, F.lit(0)) + 1, F.lit(count))
+
+
+def word_runs(
+    df: DataFrame,
+    keys: list[str],
+    carry: int,
+    text: str = "text",
+    words: Callable[[Column, Column], Column] = lambda piece, before: word_list(piece),
+    size: int = PIECE_CHARS,
+    counted: bool = False,
+) -> DataFrame:
+    """One row per piece: keys, words, lead and is_last. No array holds the words of a long text.
+
+    ``words`` makes the words of a piece, from the piece and the number of words before it (0 unless ``counted``). The first
+    ``lead`` of the words, ``carry`` at most, are the last ones of the pieces before.
+    """
+    none, nothing = F.array().cast("array<int>"), F.array().cast("array<string>")
+    cut = df.select(*keys, pieces_of(F.col(text), size).alias("_pieces"))
+    many = F.size("_pieces") > 1
+    sizes = F.when(many & F.lit(counted), F.transform("_pieces", lambda p: F.regexp_count(p, F.lit(WORD)))).otherwise(none)
+    based = cut.select(*keys, "_pieces", sums_before(sizes).alias("_bases"))
+
+    def base(i: Column) -> Column:
+        return F.coalesce(F.get("_bases", i), F.lit(0))
+
+    tails = F.when(many, F.transform("_pieces", lambda p, i: _last(words(p, base(i)), carry)))
+    ended = based.select(*keys, "_pieces", "_bases", F.coalesce(tails, F.array(nothing)).alias("_tails"))
+    placed = ended.select(
+        *keys, "_pieces", "_bases",
+        F.flatten("_tails").alias("_ends"), sums_before(F.transform("_tails", lambda t: F.size(t))).alias("_before"),
+    )
+    parts = F.transform(
+        "_pieces",
+        lambda p, i: F.struct(
+            p.alias("_piece"),
+            base(i).alias("_base"),
+            F.slice(
+                "_ends", F.greatest(F.get("_before", i) - carry, F.lit(0)) + 1, F.least(F.get("_before", i), F.lit(carry))
+            ).alias("_lead"),
+            (i == F.size("_pieces") - 1).alias("is_last"),
+        ),
+    )
+    return placed.select(*keys, F.inline(parts)).select(
+        *keys,
+        F.concat("_lead", words(F.col("_piece"), F.col("_base"))).alias("words"),
+        F.size("_lead").alias("lead"),
+        "is_last",
+    )
+
+
+def grams_of(words: Column, size: int, lead: Column) -> Column:
+    """Runs of ``size`` words joined by blanks, but for those within the first ``lead`` words."""
+    first = F.greatest(lead - (size - 2), F.lit(1))
+    last = F.size(words) - (size - 1)
+    runs = F.transform(F.sequence(first, last), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
+    return F.when(last >= first, runs).otherwise(F.array().cast("array<string>"))
+
+
 def token_bag(
     df: DataFrame, keys: list[str], text: str = "text", size: int = PIECE_CHARS
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.ml.feature import StopWordsRemover, Word2Vec
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import pieces_of, word_list
+from inkspan.functions.text import grams_of, word_list, word_runs
 from inkspan.sources.staging import stage
 
 # Names of the stop word lists that come with Spark.
@@ -52,16 +52,10 @@ def without_stop_words(words: Column, lang: Column, lists: Mapping[str, Sequence
     return words if out is None else out.otherwise(words)
 
 
-def ngrams(words: Column, low: int, high: int) -> Column:
-    """All word n-grams for n in [low, high], joined by spaces."""
-    def of(n: int) -> Column:
-        if n == 1:
-            return words
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-        return F.coalesce(grams, F.array().cast("array<string>"))
-
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+def ngrams(words: Column, low: int, high: int, lead: Column | None = None) -> Column:
+    """All word n-grams for n in [low, high], joined by spaces; none of the first ``lead`` words alone."""
+    lead = F.lit(0) if lead is None else lead
+    return F.concat(*[grams_of(words, n, lead) for n in range(low, high + 1)])
 
 
 def term_counts(
@@ -72,24 +66,22 @@ def term_counts(
     stop_words: Mapping[str, Sequence[str]] | None = None,
     min_chars: int = 2,
 ) -> DataFrame:
-    """(doc_id, term, tf). Stop words go before n-grams are formed.
+    """(doc_id, term, tf). Stop words and short words go before n-grams are formed.
 
-    Single words are counted piece by piece, so long documents never become one array; the count
-    combines inside the map task, because all words of a document start there.
+    Words are read piece by piece, and a piece is given the last words before it, so long documents never become
+    one array; the count combines inside the map task, because all words of a document start there.
     """
     lang = F.col("lang") if "lang" in docs.columns else F.lit("")
-    single = ngram_range == (1, 1) and not cut
-    source = (
-        docs.select("doc_id", lang.alias("lang"), F.explode(pieces_of(F.col(text))).alias("_text"))
-        if single
-        else docs.select("doc_id", lang.alias("lang"), F.col(text).alias("_text"))
-    )
-    listed = source.select("doc_id", "lang", cut_words(word_list(F.col("_text")), cut).alias("_words"))
-    long_enough = F.filter("_words", lambda w: F.length(w) >= min_chars)
-    kept = listed.select(
-        "doc_id", without_stop_words(long_enough, F.col("lang"), stop_words or {}).alias("_words")
-    )
-    terms = kept.select("doc_id", F.explode(ngrams(F.col("_words"), *ngram_range)).alias("term"))
+    source = docs.select("doc_id", lang.alias("lang"), F.col(text).alias("_text"))
+
+    def kept(piece: Column, before: Column) -> Column:
+        words = word_list(piece)
+        if cut:
+            words = F.slice(words, F.lit(1), F.greatest(F.lit(cut) - before, F.lit(0)))
+        return without_stop_words(F.filter(words, lambda w: F.length(w) >= min_chars), F.col("lang"), stop_words or {})
+
+    runs = word_runs(source, ["doc_id", "lang"], ngram_range[1] - 1, "_text", kept, counted=bool(cut))
+    terms = runs.select("doc_id", F.explode(ngrams(F.col("words"), *ngram_range, F.col("lead"))).alias("term"))
     return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
