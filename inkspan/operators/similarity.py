@@ -1,133 +1,151 @@
-"""Similar documents (our definition).
+"""Similar documents (our definition): a complete set-similarity join over word shingles.
 
-Documents meet in groups of equal MinHash bands. Every member is compared with the group's first
-document only, with exact Jaccard similarity of word shingles, so a group of any size costs one
-row per member and no pair list. Exact copies are reduced to one document before anything else.
+Two texts are similar when the Jaccard similarity of their sets of shingles (runs of three words) reaches the threshold;
+documents are of one class when a chain of similar texts joins them. Exact copies are reduced to one text first.
+
+The join is a prefix filter. Shingles are put in order of rarity over the whole corpus. Two sets of the wanted
+similarity share one of the rarest ``n - ceil(t * n) + 1`` shingles of each, so only these are indexed; a shingle of one text
+only is counted but joins nothing. Pairs meet by a shingle and by the size of their sets (sizes differ by a factor of
+``1 / t`` at most), and a pair that shares a shingle at places that leave too little to have in common is not looked at.
+
+Not all pairs of an indexed shingle are made: its texts are compared with the smallest of them first. Shingles whose texts
+are in one class by then are settled; in the others, texts of different classes are compared. So a family of very many
+near copies costs one comparison for each of them and shingle, while no pair between classes is left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import word_list
+from inkspan.functions.text import grams_of, word_runs
+from inkspan.operators.components import classes
+from inkspan.sources.staging import stage
 
 SHINGLE_WORDS = 3
-BANDS, ROWS = 8, 2
-# A prime above 2^31 and odd multipliers below it.
-PRIME = 2147483659
+THRESHOLD = 0.5
 
 
-def multipliers(count: int) -> list[tuple[int, int]]:
-    """(a, b) of each hash a*x+b mod PRIME, from a fixed linear rule."""
-    out, x = [], 12345
-    for _ in range(count):
-        x = (x * 1103515245 + 12345) % 2147483648
-        a = x | 1
-        x = (x * 1103515245 + 12345) % 2147483648
-        out.append((a, x))
-    return out
+def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep_id) for all documents, and the representatives with their texts.
+
+    Copies are found by hash; the smallest id stands for all of them. The aggregate combines on
+    the map side and carries no texts.
+    """
+    keyed = docs.select("doc_id", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("_key"))
+    first = keyed.groupBy("_key").agg(F.min("doc_id").alias("rep_id"))
+    members = keyed.join(first, "_key").select("doc_id", "rep_id")
+    texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(
+        first.select(F.col("rep_id").alias("doc_id")), "doc_id", "left_semi"
+    )
+    return members, texts
 
 
-def shingles(tokens: Column, words: int = SHINGLE_WORDS) -> Column:
-    """Distinct word shingles of a token column; fewer words than that are one shingle.
+def shingle_rows(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, shingle) without repeats, shingles as 64-bit hashes. A text with fewer words is one shingle.
 
-    ``tokens`` must be a computed column, not an expression: the lambda reads it per shingle.
+    Texts are read piece by piece, so no array holds a long text.
     """
-    starts = F.when(F.size(tokens) >= words, F.sequence(F.lit(1), F.size(tokens) - (words - 1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(words)), " "))
-    return F.array_distinct(F.coalesce(grams, F.array(F.array_join(tokens, " "))))
+    runs = word_runs(texts, ["doc_id"], words)
+    # The last piece of so short a text has all its words.
+    short = F.col("is_last") & (F.size("words") < words)
+    grams = F.when(short, F.array(F.array_join("words", " "))).otherwise(grams_of(F.col("words"), words, F.col("lead")))
+    return runs.select("doc_id", F.explode(grams).alias("_gram")).select(
+        "doc_id", F.xxhash64("_gram").alias("shingle")
+    ).distinct()
 
 
-def _with_words(texts: DataFrame) -> DataFrame:
-    return texts.select("doc_id", word_list(F.col("text")).alias("_words"))
+def least_overlap(n: Column, m: Column, threshold: float) -> Column:
+    """How many shingles sets of these sizes have to share."""
+    return F.ceil(F.round(threshold / (1 + threshold) * (n + m), 9))
 
 
-def shingle_number(shingle: Column) -> Column:
-    """31 bits of the shingle's MD5."""
-    return F.conv(F.substring(F.md5(shingle.cast("binary")), 1, 8), 16, 10).cast("bigint") % 2147483648
+def prefix_index(sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(shared, index) of the sets, both staged.
 
+    shared: doc_id, n (size of the set), shingle, for shingles of several texts. index: doc_id, n, shingle and place (1-based,
+    in order of rarity) of the shingles in the prefix.
+    """
+    seen = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    sizes = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    several = stage(sets.join(seen.filter("df > 1"), "shingle").join(sizes, "doc_id"), "shared-shingles")
+    by_doc = Window.partitionBy("doc_id")  # a set is that of one text
+    alone = F.col("n") - F.count(F.lit(1)).over(by_doc)
+    place = alone + F.row_number().over(by_doc.orderBy("df", "shingle"))
+    length = F.col("n") - F.ceil(F.round(threshold * F.col("n"), 9)) + 1
+    index = several.withColumn("place", place).filter(F.col("place") <= length)
+    return several.drop("df"), stage(index.select("doc_id", "n", "shingle", "place"), "prefix-index")
 
-def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep_id) for all documents, and the representatives with their texts.
 
-    Copies are found by hash; the smallest id stands for all of them. The aggregate combines on
-    the map side and carries no texts.
+def _may_reach(threshold: float) -> Column:
+    """Whether two index rows (n, place and m, other_place) of one shingle leave enough to have in common.
+
+    True for the rarest shingle a similar pair shares, which is in both prefixes.
     """
-    keyed = docs.select("doc_id", F.sha2(F.col(text).cast("binary"), 256).alias("_key"))
-    first = keyed.groupBy("_key").agg(F.min("doc_id").alias("rep_id"))
-    members = keyed.join(first, "_key").select("doc_id", "rep_id")
-    texts = docs.select("doc_id", F.col(text).alias("text")).join(
-        first.select(F.col("rep_id").alias("doc_id")), "doc_id", "left_semi"
+    n, m = F.col("n"), F.col("m")
+    rest = F.least(n - F.col("place"), m - F.col("other_place")) + 1
+    return (F.least(n, m) >= F.round(threshold * F.greatest(n, m), 9)) & (rest >= least_overlap(n, m, threshold))
+
+
+def _verified(pairs: DataFrame, shared: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs (a, b) that reach the threshold, counted over their shared shingles."""
+    left = shared.select(F.col("doc_id").alias("a"), "n", "shingle")
+    right = shared.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), "shingle")
+    both = pairs.join(left, "a").join(right, ["b", "shingle"]).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("both"))
+    return both.select("a", "b", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("jaccard")).filter(
+        F.col("jaccard") >= threshold
     )
-    return members, texts
 
 
-def min_hash_bands(texts: DataFrame) -> DataFrame:
-    """(doc_id, band, band_key). The minima combine on the map side: one row per document leaves."""
-    hashes = multipliers(BANDS * ROWS)
-    # the expression stands inside explode: exploding a computed column would make Spark test the
-    # column's size in a pushed-down filter and compute it again there
-    numbers = _with_words(texts).select("doc_id", F.explode(shingles(F.col("_words"))).alias("_s")).select(
-        "doc_id", shingle_number(F.col("_s")).alias("x")
+def similar_links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, jaccard), a > b: verified links between different texts that join all texts of each class. Staged."""
+    shared, index = prefix_index(stage(shingle_rows(texts), "shingles"), threshold)
+    heads = index.groupBy("shingle").agg(F.min(F.struct("doc_id", "n", "place")).alias("h"))
+    first = (
+        index.join(heads, "shingle")
+        .select(F.col("doc_id").alias("a"), "n", "place", F.col("h.doc_id").alias("b"), F.col("h.n").alias("m"), F.col("h.place").alias("other_place"))
+        .filter(F.col("a") != F.col("b"))
+        .filter(_may_reach(threshold))
+        .select("a", "b")
+        .distinct()
     )
-    minima = numbers.groupBy("doc_id").agg(
-        *[F.min((F.col("x") * a + b) % PRIME).alias(f"h{i}") for i, (a, b) in enumerate(hashes)]
+    found = stage(_verified(first, shared, threshold), "similar")
+    named = classes(found).withColumnRenamed("node", "doc_id")
+    placed = index.join(named, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
+    # Shingles whose texts are of one class have nothing left to tell.
+    open_ = placed.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
+    rows = stage(placed.join(open_.select("shingle"), "shingle", "left_semi"), "open-shingles")
+    # Sizes a factor of 1 / t apart at most are in the same or the next step of that factor.
+    step = F.floor(F.round(F.log("n") / F.log(F.lit(1 / threshold)), 9)) if threshold < 1 else F.col("n")
+    left = rows.withColumn("step", step).select(F.col("doc_id").alias("x"), "n", "place", "class", "shingle", "step")
+    right = rows.withColumn("step", F.explode(F.array(step - 1, step, step + 1))).select(
+        F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("class").alias("other"), "shingle", "step"
     )
-    bands = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("band"),
-                F.concat_ws("-", *[F.col(f"h{n * ROWS + r}") for r in range(ROWS)]).alias("band_key"),
-            )
-            for n in range(BANDS)
-        ]
+    crossed = (
+        left.join(right, ["shingle", "step"])
+        .filter(F.col("class") < F.col("other"))
+        .filter(_may_reach(threshold))
+        .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+        .distinct()
     )
-    return minima.select("doc_id", F.inline(bands))
+    return stage(found.union(_verified(crossed, shared, threshold)), "similar")
 
 
-def similar_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(doc_id, similar_id, jaccard, is_copy, is_similar).
+def similar_documents(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, rep_id, is_copy, class_id): one row per document.
 
-    Each document points to the first document of each of its groups. Nothing is dropped: links
-    below the threshold stay, marked ``is_similar = false``. Copies point to their representative.
+    ``rep_id`` is the first document with the same text, ``class_id`` the first one that similar texts lead to, any number
+    of steps away. A document without a similar one is its own class. A null text is an empty one.
     """
     members, texts = distinct_texts(docs, text)
-    bands = min_hash_bands(texts)
-    heads = bands.groupBy("band", "band_key").agg(F.min("doc_id").alias("head_id"))
-    links = (
-        bands.join(heads, ["band", "band_key"])
-        .filter(F.col("doc_id") != F.col("head_id"))
-        .select("doc_id", "head_id")
-        .distinct()
-    )
-    wanted = links.select("doc_id").unionByName(links.select(F.col("head_id").alias("doc_id"))).distinct()
-    linked = texts.join(wanted, "doc_id", "left_semi")
-    sets = _with_words(linked).select(
-        "doc_id", F.transform(shingles(F.col("_words")), lambda s: F.xxhash64(s)).alias("set")
-    )
-    compared = links.join(sets, "doc_id").join(
-        sets.select(F.col("doc_id").alias("head_id"), F.col("set").alias("head_set")), "head_id"
+    named = classes(similar_links(texts, threshold)).select(F.col("node").alias("rep_id"), "class")
+    return members.join(named, "rep_id", "left").select(
+        "doc_id", "rep_id", (F.col("doc_id") != F.col("rep_id")).alias("is_copy"), F.coalesce("class", "rep_id").alias("class_id")
     )
-    both = F.size(F.array_intersect("set", "head_set"))
-    jaccard = both / (F.size("set") + F.size("head_set") - both)
-    near = compared.select(
-        "doc_id",
-        F.col("head_id").alias("similar_id"),
-        jaccard.alias("jaccard"),
-        F.lit(False).alias("is_copy"),
-    )
-    copies = members.filter("doc_id <> rep_id").select(
-        "doc_id", F.col("rep_id").alias("similar_id"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("is_copy")
-    )
-    return near.unionByName(copies).withColumn("is_similar", F.col("jaccard") >= threshold)
 
 
-def similar_sets(links: DataFrame) -> DataFrame:
-    """(doc_id, n_similar, best_id): how many similar documents, and the closest one."""
-    both = links.filter("is_similar").select("doc_id", "similar_id", "jaccard")
-    turned = both.select(F.col("similar_id").alias("doc_id"), F.col("doc_id").alias("similar_id"), "jaccard")
-    return both.unionByName(turned).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_similar"),
-        F.min(F.struct((-F.col("jaccard")).alias("_j"), F.col("similar_id").alias("id")))["id"].alias("best_id"),
-    )
+def similar_sets(similar: DataFrame) -> DataFrame:
+    """(class_id, n_docs, n_texts) of the classes with several documents."""
+    return similar.groupBy("class_id").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count_if(~F.col("is_copy")).alias("n_texts")
+    ).filter("n_docs > 1")

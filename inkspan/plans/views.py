@@ -146,15 +146,14 @@ def extension_spec(spark, folder):
 
 
 def similar_documents(spark, folder):
+    """Class of similar documents of each document, over all texts."""
     c = Corpus(spark, folder)
-    out = similarity.similar_documents(c.raw("documents").select("doc_id", "text"))
-    return out.withColumn("jaccard", F.round("jaccard", 6))
+    return similarity.similar_documents(c.raw("documents").select("doc_id", "text"))
 
 
 def similar_sets(spark, folder):
     c = Corpus(spark, folder)
-    found = similarity.similar_documents(c.raw("documents").select("doc_id", "text"))
-    return similarity.similar_sets(found.withColumn("jaccard", F.round("jaccard", 6)))
+    return similarity.similar_sets(similarity.similar_documents(c.raw("documents").select("doc_id", "text")))
 
 
 def document_stats(spark, folder):
@@ -255,13 +254,6 @@ QUERIES = {
 
 _CODES = ", ".join(f"('{e}', '{g}')" for g, exts in EXTENSION_GROUPS.items() for e in exts)
 _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
-_HASHES = similarity.multipliers(similarity.BANDS * similarity.ROWS)
-_MINIMA = ", ".join(f"min((x * {a} + {b}) % {similarity.PRIME}) AS h{i}" for i, (a, b) in enumerate(_HASHES))
-_BAND_ROWS = ", ".join(
-    f"({n}, " + " || '-' || ".join(f"h{n * similarity.ROWS + r}" for r in range(similarity.ROWS)) + ")"
-    for n in range(similarity.BANDS)
-)
-
 
 def _index_sql(links_cte: str, groups_cte: str, order: str) -> str:
     return f"""
@@ -313,22 +305,18 @@ VIEW_CTES = {
         SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS s
         FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i
               FROM (SELECT min(doc_id) AS doc_id, {_WORDS.format('text')} AS w FROM documents GROUP BY text))"""),
-    "bands": (["shingle_rows"], f"""
-        SELECT doc_id, band, key FROM (SELECT doc_id, unnest([{_BAND_ROWS.replace('(', "{'band': ").replace(', h', ", 'key': h").replace(')', '}')}], recursive := true)
-        FROM (SELECT doc_id, {_MINIMA} FROM (
-          SELECT doc_id, ('0x' || substr(md5(s), 1, 8))::BIGINT % 2147483648 AS x FROM shingle_rows) GROUP BY doc_id))"""),
-    "links": (["bands"], """
-        SELECT DISTINCT doc_id, head FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY band, key) AS head FROM bands)
-        WHERE doc_id <> head"""),
-    "similar_rows": (["links"], """
-        SELECT doc_id, head AS similar_id, round(n / (a + b - n), 6) AS jaccard, false AS is_copy FROM (
-          SELECT l.doc_id, l.head, count(y.s) AS n, any_value(ca.c) AS a, any_value(cb.c) AS b
-          FROM links l JOIN shingle_rows x ON x.doc_id = l.doc_id
-          LEFT JOIN shingle_rows y ON y.doc_id = l.head AND y.s = x.s
-          JOIN (SELECT doc_id, count(*) AS c FROM shingle_rows GROUP BY doc_id) ca ON ca.doc_id = l.doc_id
-          JOIN (SELECT doc_id, count(*) AS c FROM shingle_rows GROUP BY doc_id) cb ON cb.doc_id = l.head GROUP BY ALL)
-        UNION ALL SELECT doc_id, first, 1.0::DOUBLE, true FROM (
-          SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first"""),
+    "similar_pairs": (["shingle_rows"], """
+        SELECT x.doc_id AS a, y.doc_id AS b FROM shingle_rows x JOIN shingle_rows y ON x.s = y.s AND x.doc_id <> y.doc_id
+        JOIN (SELECT doc_id, count(*) AS c FROM shingle_rows GROUP BY doc_id) nx ON nx.doc_id = x.doc_id
+        JOIN (SELECT doc_id, count(*) AS c FROM shingle_rows GROUP BY doc_id) ny ON ny.doc_id = y.doc_id
+        GROUP BY x.doc_id, y.doc_id, nx.c, ny.c HAVING 2 * count(*) >= nx.c + ny.c - count(*)"""),
+    "similar_reach": (["similar_pairs"], """
+        SELECT doc_id AS node, doc_id AS other FROM documents
+        UNION SELECT r.node, p.b FROM similar_reach r JOIN similar_pairs p ON p.a = r.other"""),
+    "similar_rows": (["similar_reach"], """
+        SELECT doc_id, rep_id, doc_id <> rep_id AS is_copy, class_id
+        FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS rep_id FROM documents)
+        JOIN (SELECT node, min(other) AS class_id FROM similar_reach GROUP BY node) ON node = rep_id"""),
 }
 
 ORACLE = {
@@ -358,11 +346,10 @@ ORACLE = {
     "extension_spec": with_ctes(["fx_documents"], f"""
         SELECT coalesce(g, 'none') AS extension_group, count(*) AS n_docs
         FROM fx_documents LEFT JOIN (VALUES {_CODES}) AS t(e, g) ON e = ext GROUP BY ALL"""),
-    "similar_documents": with_ctes(["similar_rows"], "SELECT *, jaccard >= 0.5 AS is_similar FROM similar_rows", VIEW_CTES),
+    "similar_documents": with_ctes(["similar_rows"], "SELECT * FROM similar_rows", VIEW_CTES),
     "similar_sets": with_ctes(["similar_rows"], """
-        SELECT doc_id, count(*) AS n_similar, arg_min(o, (-jaccard, o)) AS best_id FROM (
-          SELECT doc_id, similar_id AS o, jaccard FROM similar_rows WHERE jaccard >= 0.5
-          UNION ALL SELECT similar_id, doc_id, jaccard FROM similar_rows WHERE jaccard >= 0.5) GROUP BY doc_id""", VIEW_CTES),
+        SELECT class_id, count(*) AS n_docs, count(*) FILTER (NOT is_copy) AS n_texts FROM similar_rows
+        GROUP BY class_id HAVING count(*) > 1""", VIEW_CTES),
     "document_stats": with_ctes(["fx_documents", "fx_classifications"], """
         , d AS (SELECT f.*, category_id AS category FROM fx_documents f JOIN fx_classifications USING (doc_id) WHERE depth = 1)
         SELECT 'all' AS dimension, '' AS value, count(*) AS n_docs, sum(size)::BIGINT AS bytes FROM d

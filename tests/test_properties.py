@@ -95,9 +95,10 @@ def test_slop_is_monotone(spark):
 
 def test_a_group_of_copies_costs_one_link_per_copy(spark):
     rows = [(i, "one two three four five six") for i in range(400)] + [(1000, "one two three four five seven")]
-    out = similarity.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sum(r.is_copy for r in out) == 399
-    assert len(out) <= 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = similarity.similar_documents(docs).collect()
+    assert sum(r.is_copy for r in out) == 399 and len(out) == 401 and {r.class_id for r in out} == {0}
+    assert similarity.similar_links(similarity.distinct_texts(docs)[1]).count() == 1
 
 
 def _plan(df):
