@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the tokenizers library.
 
-The vocabulary comes from a file of ranks. A text is split by the public pattern; each match is merged
-on its own, so equal matches have equal ids and are merged once while a worker remembers them.
+The vocabulary comes from a file of ranks. A text is split by the public pattern (see ``splitter``); each match is
+merged on its own, so equal matches have equal ids and are merged once while a worker remembers them.
 Ids are kept packed as little-endian unsigned 32-bit integers.
 
 Byte-level BPE works on a printable stand-in character for each byte. A token may end inside a
@@ -16,29 +16,22 @@ An id outside the vocabulary fails the task. Computed columns replace columns of
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
-import os
-import struct
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from inkspan.llm.frames import append_columns, column, pack
+from inkspan.llm.frames import append_columns, column, pack, parts
+from inkspan.llm.splitter import encoder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
-# Matches remembered by a worker; beyond that the memory starts anew, which changes no result.
-REMEMBERED = 400_000
-# A longer text is handled in parts of about so many characters.
-PART = 1 << 16
-# Between a letter and a space before a letter the pattern always splits.
-SAFE_CUT = regex.compile(r"(?<=\p{L})(?= \p{L})")
+PART_BYTES = 1 << 20  # of texts encoded at once, but for longer ones
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,6 +46,12 @@ def stand_ins() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def printable(ranks: dict[bytes, int]) -> dict[str, int]:
+    """The ranks by the stand-ins of each token's bytes."""
+    char = stand_ins()
+    return {"".join(char[b] for b in token): rank for token, rank in ranks.items()}
+
+
 def _last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     """The two parts whose merge makes ``token``: merge by rank until two are left."""
     parts = [token[i : i + 1] for i in range(len(token))]
@@ -65,14 +64,13 @@ def _last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
 
 def model_json(ranks: dict[bytes, int]) -> str:
     """The ranks as a tokenizer of the tokenizers library (without its own splitting)."""
-    char = stand_ins()
-    name = {token: "".join(char[b] for b in token) for token in ranks}
+    vocab = printable(ranks)
+    name = dict(zip(ranks, vocab, strict=True))
     merges = [
         [name[part] for part in _last_merge(token, ranks)]
         for token in sorted(ranks, key=ranks.__getitem__)
         if len(token) > 1
     ]
-    vocab = {name[token]: rank for token, rank in ranks.items()}
     level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
     return json.dumps(
         {
@@ -84,76 +82,28 @@ def model_json(ranks: dict[bytes, int]) -> str:
     )
 
 
-class _Merger(dict):
-    """Packed ids by match of the pattern."""
-
-    def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def learn(self, matches: set[str]) -> None:
-        """Merge those not yet known."""
-        fresh = [m for m in matches if m not in self]
-        if len(self) + len(fresh) > REMEMBERED:
-            self.clear()
-            fresh = list(matches)
-        for match, encoding in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            ids = encoding.ids
-            self[match] = struct.pack(f"<{len(ids)}I", *ids)
-
+@cache
+def vocabulary(path: str) -> str:
+    return model_json(read_ranks(path))
 
-_mergers: dict[bytes, _Merger] = {}
 
-
-def _merger(vocabulary: str) -> _Merger:
-    """One tokenizer and memory per worker process and vocabulary; what is remembered serves later tasks."""
-    from tokenizers import Tokenizer
-
-    key = hashlib.sha256(vocabulary.encode()).digest()
-    if key not in _mergers:
-        _mergers[key] = _Merger(Tokenizer.from_str(vocabulary))
-    return _mergers[key]
-
-
-def parts_of(text: str, size: int = PART) -> list[str]:
-    """The text in parts that the pattern would split at anyway; a text without such places is one part."""
-    if len(text) <= size:
-        return [text]
-    out, at = [], 0
-    while len(text) - at > size:
-        cut = SAFE_CUT.search(text, at + size)
-        if cut is None:
-            break
-        out.append(text[at : cut.start()])
-        at = cut.start()
-    return [*out, text[at:]]
-
-
-def encode(docs: DataFrame, text_column: str = "text", path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+def encode(docs: DataFrame, text_column: str = "text", path: str = RANKS) -> DataFrame:
     """``docs`` with n_tokens and ids (packed)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model_json(read_ranks(path)))  # the vocabulary's size
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # the vocabulary's size
 
     def make():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-        merger, split = _merger(shared.value), regex.compile(pattern)
-
-        def packed(texts: list[str]) -> list[bytes]:
-            matches = [split.findall(t) for t in texts]
-            merger.learn(set().union(*matches))
-            return [b"".join(map(merger.__getitem__, m)) for m in matches]
+        tokens = encoder(shared.value)
 
         def compute(batch):
-            ids, small = [], []
-            for text in column(batch, text_column).to_pylist():
-                text = text or ""
-                if len(text) <= PART:
-                    small.append(text)
-                    continue
-                ids += packed(small)
-                small = []
-                ids.append(b"".join(packed([part])[0] for part in parts_of(text)))
-            ids += packed(small)
-            return [pa.array([len(x) // 4 for x in ids], pa.int64()), pack(ids)]
+            sizes, ids = [], []
+            for part in parts([batch], text_column, PART_BYTES):
+                found, size = tokens.encode([t or "" for t in column(part, text_column).to_pylist()])
+                sizes.append(size)
+                ids.append(found.astype("<u4").tobytes())
+            size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+            at = np.concatenate([[0], 4 * np.cumsum(size)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(b"".join(ids))])
+            return [pa.array(size, pa.int64()), packed]
 
         return compute
 
@@ -182,18 +132,18 @@ def _ids(packed: bytes | None) -> np.ndarray:
     return np.frombuffer(packed or b"", "<u4")
 
 
-def _table(tokenizer) -> _Bytes:
+def _table(path: str) -> _Bytes:
     """The byte table, reversed: each token's characters back to the bytes they stand for."""
     back = {char: byte for byte, char in enumerate(stand_ins())}
-    return _Bytes({bytes(map(back.__getitem__, token)): k for token, k in tokenizer.get_vocab().items()})
+    return _Bytes({bytes(map(back.__getitem__, token)): k for token, k in printable(read_ranks(path)).items()})
 
 
 def decode(docs: DataFrame, ids_column: str = "ids", path: str = RANKS) -> DataFrame:
     """``docs`` with decoded (bytes) and decoded_text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model_json(read_ranks(path)))
+    shared = docs.sparkSession.sparkContext.broadcast(_table(path))  # the vocabulary's size
 
     def make():
-        table = _table(_merger(shared.value).tokenizer)
+        table = shared.value
 
         def compute(batch):
             found = [table.join(_ids(x)) for x in column(batch, ids_column).to_pylist()]
@@ -206,10 +156,10 @@ def decode(docs: DataFrame, ids_column: str = "ids", path: str = RANKS) -> DataF
 
 def offsets(docs: DataFrame, ids_column: str = "ids", path: str = RANKS) -> DataFrame:
     """``docs`` with starts and ends: the code points each token touches, in the decoded text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model_json(read_ranks(path)))
+    shared = docs.sparkSession.sparkContext.broadcast(_table(path))  # the vocabulary's size
 
     def make():
-        table = _table(_merger(shared.value).tokenizer)
+        table = shared.value
 
         def compute(batch):
             starts, ends = [], []

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.frames import LEAST, bounded_batches, key_or_least, stage
+from inkspan.llm.frames import LEAST, bounded_batches, key_or_least, parts, stage
 from inkspan.llm.splitter import encoder
 from inkspan.llm.warc import _open
 from inkspan.sources.staging import new_path
@@ -46,6 +46,7 @@ END_ID = 2
 
 BLOCK = 1024
 FILE_IDS = 1 << 24
+PART_BYTES = 1 << 20  # of texts encoded at once, but for longer ones
 WINDOW_BLOCKS = 64  # blocks unpacked at once when reading
 MAGIC = b"IDS8B\0\0\1"
 
@@ -271,7 +272,7 @@ def write(
             rows.append((part, count, name_of, sum(map(len, writer.keys)), writer.ids, stream.tell()))
             stream.close()
 
-        for batch in batches:
+        for batch in parts(batches, "body", PART_BYTES):
             ids, sizes = tokens.encode(batch.column("body").to_pylist(), end_id)
             keys, stops, first = batch.column("key").to_numpy(), np.cumsum(sizes), 0
             while first < len(keys):

@@ -30,11 +30,11 @@ _BASE = 0x9E3779B97F4A7C15
 def classes() -> np.ndarray:
     """Class of each code point."""
     out = np.zeros(0x110000, np.int8)
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    text, place = "".join(map(chr, points)), np.array(points)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, text):
-            out[place[m.start() : m.end()]] = kind
+    for low in range(0, len(out), 1 << 12):  # a few at a time; surrogates are in no text
+        text = "".join("\0" if 0xD800 <= k < 0xE000 else chr(k) for k in range(low, low + (1 << 12)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
+            for m in regex.finditer(pattern, text):
+                out[low + m.start() : low + m.end()] = kind
     return out
 
 
@@ -140,8 +140,8 @@ class Encoder:
         stops = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(sizes)) + 1
         return ids, np.diff(stops, prepend=0)
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, each with ``end_id`` at its end, and how many each has."""
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with ``end_id`` at its end if there is one, and how many each has."""
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         row_ptr = np.cumsum([0, *map(len, texts)])
@@ -171,6 +171,8 @@ class Encoder:
         upto = np.concatenate([[0], np.cumsum(size)])
         sizes = upto[ends[1:]] - upto[ends[:-1]]
         source = np.repeat(self.place[match] - upto[:-1], size) + np.arange(upto[-1])
+        if end_id is None:
+            return self.pool[source], sizes
         out = np.full(upto[-1] + len(texts), end_id, np.uint32)
         last = np.cumsum(sizes + 1) - 1
         body = np.ones(len(out), bool)

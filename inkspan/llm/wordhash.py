@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes worked on at once: about 50 times as much memory is used meanwhile.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True

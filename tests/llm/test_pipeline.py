@@ -50,7 +50,7 @@ def steps(spark, corpus):
 
 def test_all_operators_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in entry.queries() if name.startswith("op"))
-    assert numbers == list(range(1, 11)) and entry.queries()["pipeline"] is corpus_pipeline.run
+    assert numbers == list(range(1, 14)) and entry.queries()["pipeline"] is corpus_pipeline.run
 
 
 def test_columns(steps):

@@ -305,15 +305,6 @@ def test_bpe_round_trip_of_odd_texts(spark, make, reference, odd_texts):
         assert (not r.ends) or r.ends[-1] == len(text)
 
 
-def test_bpe_parts_end_where_the_pattern_splits():
-    text = "Words of some length, né 12 " * 40
-    cut = bpe.parts_of(text, 50)
-    assert len(cut) > 5 and "".join(cut) == text
-    import regex
-
-    assert [m for p in cut for m in regex.findall(bpe.PATTERN, p)] == regex.findall(bpe.PATTERN, text)
-
-
 def test_bpe_split_characters(spark, make):
     docs = make([(1, "😀"), (2, None)], "doc_id long, text string")
     whole = {r.doc_id: r for r in bpe.encode(docs).collect()}
