@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.frames import bounded_batches, id_filter, key_or_least, stage
+from inkspan.llm.frames import bounded_batches, id_filter, key_or_least, parts, stage
 from inkspan.llm.wordhash import mix, text_bytes
 
 LONGEST, LEAST_COUNT, COVERED = 3, 10, 50
 TOP = 2_000
 CHUNK = 1 << 18  # bytes hashed at once
+PART_BYTES = 2_500_000  # of texts worked on at once, but for longer ones
 TABLE_BITS = 26  # of the largest bit table: 8 MB
 SALTS = 16  # parts of a language ranked apart before all are
 UNKNOWN = "und"
@@ -81,10 +82,10 @@ class Words:
         self.row_ptr = np.searchsorted(self.start, self.offsets)
         self.row = np.repeat(np.arange(len(rows)), np.diff(self.row_ptr))
         self.hash, self.check = (mix(self._hash(k)) for k in range(2))
-        cuts = np.cumsum(SEPARATOR[data], dtype=np.int64)[self.start] if len(self.start) else self.start
+        cuts = np.cumsum(SEPARATOR[data], dtype=np.int32)[self.start] if len(self.start) else self.start
         fresh = np.ones(len(self.start), bool)
         fresh[1:] = (cuts[1:] != cuts[:-1]) | (self.row[1:] != self.row[:-1])
-        self.piece = np.cumsum(fresh)
+        self.piece = np.cumsum(fresh, dtype=np.int32)
 
     def _hash(self, k: int) -> np.ndarray:
         """Polynomial of each word's bytes, from prefix sums over a chunk; a word across chunks is put together."""
@@ -105,8 +106,11 @@ class Words:
             out[a:b] += part
         return out
 
-    def phrase(self, at: int, size: int) -> bytes:
-        return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[at : at + size], self.end[at : at + size], strict=True))
+    def phrases(self, at: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """Words from the places ``at``, joined by spaces."""
+        whole = self.data.tobytes()
+        stop = self.end[at + size - 1].tolist()
+        return [b" ".join(whole[a:b].split()) for a, b in zip(self.start[at].tolist(), stop, strict=True)]
 
 
 class Grams:
@@ -191,7 +195,7 @@ def counted(docs: DataFrame, size: int, below: bytes | None, bits: int = 64) ->
     shared = docs.sparkSession.sparkContext.broadcast(below)  # at most 2**TABLE_BITS bits
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "text", PART_BYTES):
             grams = Grams(batch.column("text"), batch.column("lang"), bits)
             doc, words = batch.column("doc").to_numpy(), grams.words
             at = grams.places(size)
@@ -247,25 +251,29 @@ def phrases_at(docs: DataFrame, found: DataFrame, bits: int = 64) -> DataFrame:
     )  # at most as many in a row as the document has phrases
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "text", PART_BYTES):
             grams = Grams(batch.column("text"), batch.column("lang"), bits)
-            words, langs, rows = grams.words, batch.column("lang").to_pylist(), []
-            for k, wanted in enumerate(batch.column("wanted").to_pylist()):
-                low, high = words.row_ptr[k], words.row_ptr[k + 1]
-                for one in wanted:
-                    at, size = low + max(0, one["at"]), one["size"]
-                    if at + size > high:
-                        continue  # a row that repeats the id with another text
-                    if one["at"] < 0:
-                        fits = int((mix(grams.lang[k : k + 1]) >> grams.shift).view(np.int64)[0]) == one["fp"]
-                        rows += [(langs[k], one["fp"], 0, b"", one["f"])] if fits else []
-                    elif int(grams.of(np.array([at]), size)[0].view(np.int64)[0]) == one["fp"]:
-                        rows.append((langs[k], one["fp"], size, words.phrase(at, size), one["f"]))
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(5)]
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+            ptr, wanted = grams.words.row_ptr, batch.column("wanted")
+            row = np.repeat(np.arange(len(batch)), wanted.value_lengths().to_numpy())
+            fp, f, at, size = (wanted.flatten().field(c).to_numpy() for c in ("fp", "f", "at", "size"))
+            # A row that repeats the id with another text may be shorter, or have other words there.
+            start, size = ptr[row] + np.maximum(at, 0), np.where(at < 0, 0, size)
+            fits = start + size <= ptr[row + 1]
+            for k in np.unique(size[fits]):
+                mine = np.flatnonzero(fits & (size == k))
+                got = grams.of(start[mine], int(k))[0] if k else mix(grams.lang[row[mine]]) >> grams.shift
+                fits[mine] = got.view(np.int64) == fp[mine]
+            hit = np.flatnonzero(fits)
+            full = hit[size[hit] > 0]
+            phrases = np.full(len(fp), b"", object)
+            phrases[full] = grams.words.phrases(start[full], size[full])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "fp", "size", "phrase", "f"]
-            )
+                [
+                    batch.column("lang").take(pa.array(row[hit])), pa.array(fp[hit]), pa.array(size[hit].astype(np.int32)),
+                    pa.array(phrases[hit].tolist(), pa.binary()), pa.array(f[hit]),
+                ],
+                ["lang", "fp", "size", "phrase", "f"],
+            )
 
     joined = docs.filter(id_filter(pointers, "doc")(F.col("doc"))).join(pointers, "doc")
     read = joined.select("lang", "text", "wanted").mapInArrow(run, "lang string, fp long, size int, phrase binary, f long")
@@ -281,15 +289,16 @@ def recounted(docs: DataFrame, mixed: DataFrame, sizes: list[int], least: int, b
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "text", PART_BYTES):
             grams = Grams(batch.column("text"), batch.column("lang"), bits)
             words, langs, seen = grams.words, batch.column("lang").to_pylist(), {}
             for size, table in shared.value.items():
                 at = grams.places(size)
                 fp = grams.of(at, size)[0]
                 hit = _among(table, fp)
-                for place, value, row in zip(at[hit], fp[hit].view(np.int64).tolist(), words.row[at[hit]], strict=True):
-                    key = (langs[row], size, value, words.phrase(place, size))
+                found = words.phrases(at[hit], np.full(len(at[hit]), size))
+                for phrase, value, row in zip(found, fp[hit].view(np.int64).tolist(), words.row[at[hit]], strict=True):
+                    key = (langs[row], size, value, phrase)
                     seen[key] = seen.get(key, 0) + 1
             if 1 in shared.value:
                 salts = (mix(grams.lang) >> grams.shift).view(np.int64).tolist()
