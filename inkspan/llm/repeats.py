@@ -82,6 +82,12 @@ def _keys(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return df.select(key_or_least(id_column).alias("doc"), text_tag(text_column).alias("tag"), text.alias("text"))
 
 
+def _with_keys(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with the keys of ``_keys`` beside their columns, and the names of these."""
+    doc, tag = fresh_name(docs, "_doc"), fresh_name(docs, "_tag")
+    return docs.withColumns({doc: key_or_least(id_column), tag: text_tag(text_column)}), doc, tag
+
+
 def _fresh(*columns: np.ndarray) -> np.ndarray:
     """Where a row differs from the one before in any column."""
     out = np.ones(len(columns[0]), bool)
@@ -133,14 +139,18 @@ def shared_places(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
 PLACE = "key long, doc long, tag long, at int, words binary, length int, source long, source_at int"
 
 
-def block_rows(keyed: DataFrame, places: DataFrame) -> DataFrame:
+def block_rows(keyed: DataFrame, places: DataFrame, doc: str, tag: str, text: str) -> DataFrame:
     """What goes to the blocks: key, doc, tag, at and words (hashes) of a place; and the factors within a batch.
 
-    A factor comes without words, with length, source (document) and source_at.
+    A factor comes without words, with length, source (document) and source_at. ``keyed`` is shuffled here with all its
+    columns, so that Spark can use the same shuffle again where the spans meet the documents.
     """
+    listing = fresh_name(keyed, "_places")
 
     def run(batches):
-        for batch in parts(batches, "text", PART_BYTES):
+        for whole in parts(batches, text, PART_BYTES):
+            columns = [column(whole, c) for c in (doc, tag, text, listing)]
+            batch = pa.RecordBatch.from_arrays(columns, ["doc", "tag", "text", "places"])
             found, listed = Windows(batch.column("text")), batch.column("places")
             of = np.repeat(np.arange(len(batch)), listed.value_lengths().to_numpy())
             at, common = (listed.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("at", "common"))
@@ -153,8 +163,7 @@ def block_rows(keyed: DataFrame, places: DataFrame) -> DataFrame:
             used = np.flatnonzero(asked[where] == own) if len(asked) else np.zeros(0, np.int64)
             yield from _rows(batch, found, used, hot[where[used]] if len(asked) else np.zeros(0, bool))
 
-    joined = keyed.join(places, ["doc", "tag"]).select("doc", "tag", "text", "places")
-    return joined.mapInArrow(run, PLACE)
+    return keyed.join(places.toDF(doc, tag, listing), [doc, tag]).mapInArrow(run, PLACE)
 
 
 def _rows(batch: pa.RecordBatch, found: Windows, used: np.ndarray, hot: np.ndarray):
@@ -265,7 +274,9 @@ def factors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     bounded_batches(docs.sparkSession)
     keyed = _keys(docs, id_column, text_column)
     places = shared_places(keyed, repeated_anchors(keyed))
-    dealt = block_rows(keyed, places).repartition("key").sortWithinPartitions("key", "doc", "at")
+    own, doc, tag = _with_keys(docs, id_column, text_column)
+    rows = block_rows(own, places, doc, tag, text_column)
+    dealt = rows.repartition("key").sortWithinPartitions("key", "doc", "at")
     return dealt.mapInArrow(_factor, FACTOR)
 
 
@@ -278,9 +289,9 @@ def joined_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed, kept_text (kept words joined by a space) and removed (spans in code points)."""
     bounded_batches(docs.sparkSession)
-    doc, tag, entry = (fresh_name(docs, n) for n in ("_doc", "_tag", "_found"))
+    keyed, doc, tag = _with_keys(docs, id_column, text_column)
+    entry = fresh_name(docs, "_found")
     found = joined_spans(docs, id_column, text_column).toDF(doc, tag, entry)
-    keyed = docs.withColumns({doc: key_or_least(id_column), tag: text_tag(text_column)})
     joined = keyed.join(found, [doc, tag], "left").select(*docs.columns, entry)
 
     def make():
