@@ -128,6 +128,54 @@ def hierarchical_classify(docs: DataFrame, models: DataFrame, max_depth: int) ->
     return state.select("doc_id", F.inline(F.slice("path", 1, max_depth)))
 
 
+SALTS = 16  # parts of the documents of one model that are scored apart
+
+
+def descend(docs: DataFrame, features: DataFrame, weights: DataFrame, max_depth: int) -> DataFrame:
+    """Classify over long sparse features, from the root down while a model exists for the predicted category.
+
+    ``docs`` has (doc_id, lang), ``features`` (doc_id, feature, value), ``weights`` (language, category_id or null for a
+    root, classifier_id, label, feature, weight), the intercept among the features. Emits (doc_id, level, label, classifier_id,
+    confidence). Each level is one aggregate by document and class. Documents of one model meet its weights in
+    ``SALTS`` parts, as all documents of a language share its root model. The descent ends at ``max_depth`` or
+    when a category would repeat.
+    """
+    known = with_intercept(features, docs)
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    keyed = weights.select(
+        F.col("language").alias("lang"), F.coalesce("category_id", F.lit("")).alias("category"),
+        "classifier_id", "label", "feature", "weight",
+    )
+    models = keyed.select("lang", "category", "classifier_id").distinct()
+    classes = keyed.select("lang", "category", "label").distinct()
+    spread = keyed.drop("classifier_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    state = docs.select("doc_id", "lang", F.lit("").alias("category"), F.array().cast("array<string>").alias("seen"))
+    out = None
+    for level in range(max_depth):
+        alive = stage(state.join(models, ["lang", "category"]), "descent")
+        if alive.isEmpty():
+            break
+        asked = known.join(alive.select("doc_id", "lang", "category"), "doc_id").withColumn("salt", salt)
+        found = asked.join(spread, ["lang", "category", "feature", "salt"]).groupBy("doc_id", "label").agg(
+            F.sum(F.col("value") * F.col("weight")).alias("score")
+        )
+        # A class none of a document's features has a weight for scores 0.
+        every = alive.select("doc_id", "lang", "category").join(classes, ["lang", "category"]).select("doc_id", "label")
+        scores = every.join(found, ["doc_id", "label"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
+        winners = predict_proba(scores).join(alive, "doc_id").filter(~F.array_contains("seen", F.col("label")))
+        step = stage(
+            winners.select(
+                "doc_id", "lang", F.lit(level).alias("level"), "label", "classifier_id",
+                confidence(F.col("label"), F.col("probabilities")).alias("confidence"), F.array_append("seen", F.col("label")).alias("seen"),
+            ),
+            "descent",
+        )
+        rows = step.select("doc_id", "level", "label", "classifier_id", "confidence")
+        out = rows if out is None else out.unionByName(rows)
+        state = step.select("doc_id", "lang", F.col("label").alias("category"), "seen")
+    return out if out is not None else docs.select("doc_id", F.lit(0).alias("level"), F.lit("").alias("label"), F.lit("").alias("classifier_id"), F.lit(0.0).alias("confidence")).filter("false")
+
+
 def classification_rows(predictions: DataFrame, stamp: Column) -> DataFrame:
     """Stored form of predictions; the time is passed in so that a rerun gives the same rows."""
     return predictions.select(
@@ -152,6 +200,22 @@ def route_for_classification(docs: DataFrame) -> DataFrame:
     )
 
 
+def routed_classes(routed: DataFrame, stored: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(doc_id, route, depth, category_id, confidence): classes by the route of a document.
+
+    Documents validated by a human keep their stored validated rows, documents to classify get the predicted ones; missing
+    and empty ones have a single row without a class.
+    """
+    columns = ["doc_id", "depth", "category_id", "confidence"]
+    kept = stored.filter("validated").select(*columns, F.lit("stored").alias("route"))
+    fresh = predicted.select(
+        "doc_id", F.col("level").alias("depth"), F.col("label").alias("category_id"), "confidence", F.lit("classify").alias("route")
+    )
+    return routed.select("doc_id", "route").join(kept.unionByName(fresh), ["doc_id", "route"], "left").select(
+        "doc_id", "route", "depth", "category_id", "confidence"
+    )
+
+
 def label_results(docs: DataFrame, classifications: DataFrame, categories: DataFrame) -> DataFrame:
     """Per document: md5 and its classes (name, confidence, classifier), in tree order."""
     named = classifications.join(categories.select("category_id", "name"), "category_id")

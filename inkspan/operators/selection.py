@@ -1,22 +1,16 @@
-"""Model selection: samples, folds, scores, and the fitted models themselves."""
+"""Model selection: samples, folds, scores and searches over grids of named models."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, StringIndexer, VectorSlicer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions.ranking import id_bucket, tile, with_position
-from inkspan.functions.text import word_list
+from inkspan.operators import linear
 from inkspan.operators.features import chi2_scores, select_k_best
 from inkspan.sources.staging import stage
 
@@ -35,9 +29,6 @@ MODELS = {
     "dimred_nonlinear": {"kernel": "rbf", "C": C_VALUES, "gamma": GAMMA_VALUES, "k": [10, 20, 100, 500]},
 }
 
-# One model is fitted per label; more labels than this are a mistake in the input.
-MAX_LABELS = 1000
-
 
 def drop_rare_labels(labelled: DataFrame, minimum: int) -> DataFrame:
     """Keep labels with at least ``minimum`` rows. Counting combines map-side; no window per label."""
@@ -96,181 +87,67 @@ def micro_f1(predictions: DataFrame) -> DataFrame:
     return sums.withColumn("micro_f1", score)
 
 
-def hashed_vectors(docs: DataFrame, text: str = "text", size: int = 1 << 12) -> DataFrame:
-    """Sparse tf-idf vectors for model fitting: all columns plus ``features``."""
-    words = docs.withColumn("_words", word_list(F.col(text)))
-    counted = HashingTF(numFeatures=size, inputCol="_words", outputCol="_tf").transform(words)
-    return IDF(inputCol="_tf", outputCol="features").fit(counted).transform(counted).drop("_words", "_tf")
-
-
-def l1_regularisation(c: float, rows: int) -> float:
-    """Spark's per-row penalty for the usual C."""
-    return 1.0 / (c * rows)
-
-
-def logistic_regression(c: float, rows: int, iterations: int = 50) -> LogisticRegression:
-    """L1 logistic regression."""
-    return LogisticRegression(
-        elasticNetParam=1.0, regParam=l1_regularisation(c, rows), maxIter=iterations, labelCol="label_no"
-    )
-
-
-def linear_svc(c: float, rows: int, iterations: int = 30) -> LinearSVC:
-    return LinearSVC(regParam=l1_regularisation(c, rows), maxIter=iterations, labelCol="label_no")
-
-
-def fit_classifier(train: DataFrame, estimator, label: str = "label") -> Pipeline:
-    """Fit a model on ``features`` and the label column."""
-    index = StringIndexer(inputCol=label, outputCol="label_no", stringOrderType="alphabetAsc")
-    return Pipeline(stages=[index, estimator]).fit(train)
-
-
-def predictions_of(model, docs: DataFrame, id_: str = "doc_id") -> DataFrame:
-    """(doc_id, label, probabilities) of a fitted probabilistic classifier."""
-    index, fitted = model.stages[0], model.stages[1]
-    names = F.array(*[F.lit(x) for x in index.labels])
-    scored = fitted.transform(docs)
-    return scored.select(
-        id_,
-        F.element_at(names, F.col("prediction").cast("int") + 1).alias("label"),
-        F.map_from_arrays(names, vector_to_array("probability")).alias("probabilities"),
-    )
-
-
-class CalibratedLinearSVC:
-    """One linear SVC per class with a sigmoid fitted on the margins of held-out folds.
-
-    The label is the class with the largest margin; the probabilities come from the sigmoids, so
-    the label need not be the most probable class.
-    """
-
-    def __init__(self, c: float = 1.0, folds: int = 3, iterations: int = 15):
-        self.c, self.folds, self.iterations = c, folds, iterations
-
-    def fit(self, train: DataFrame, label: str = "label") -> "CalibratedLinearSVC":
-        """``train`` has features, a label column and ``fold``. The number of labels is small."""
-        rows = train.count()
-        found = train.select(label).distinct().orderBy(label).limit(MAX_LABELS + 1).collect()
-        if len(found) > MAX_LABELS:
-            raise ValueError(f"more than {MAX_LABELS} labels")
-        self.labels = [r[0] for r in found]
-        self.models, self.sigmoids = [], []
-        for name in self.labels:
-            one = train.withColumn("label_no", (F.col(label) == name).cast("double"))
-            svc = linear_svc(self.c, rows, self.iterations)
-            held_out = None
-            for fold in range(1, self.folds + 1):
-                part = svc.fit(one.filter(F.col("fold") != fold)).transform(one.filter(F.col("fold") == fold))
-                part = part.select("label_no", _margin().alias("margin"))
-                held_out = part if held_out is None else held_out.unionByName(part)
-            calibrate = held_out.select("label_no", array_to_vector(F.array("margin")).alias("features"))
-            sigmoid = LogisticRegression(maxIter=20, labelCol="label_no").fit(calibrate)
-            self.models.append(svc.fit(one))
-            self.sigmoids.append((float(sigmoid.coefficients[0]), float(sigmoid.intercept)))
-        return self
-
-    def transform(self, docs: DataFrame, id_: str = "doc_id") -> DataFrame:
-        out = docs
-        for i, model in enumerate(self.models):
-            out = model.transform(out).withColumn(f"_m{i}", _margin()).drop("rawPrediction", "prediction")
-        margins = [F.col(f"_m{i}") for i in range(len(self.labels))]
-        raw = [1 / (1 + F.exp(-(a * m + b))) for m, (a, b) in zip(margins, self.sigmoids)]
-        total = sum(raw, F.lit(0.0))
-        names = F.array(*[F.lit(x) for x in self.labels])
-        best = F.array_position(F.array(*margins), F.greatest(*margins)) if len(margins) > 1 else F.lit(1)
-        return out.select(
-            id_,
-            F.element_at(names, best.cast("int")).alias("label"),
-            F.map_from_arrays(names, F.array(*[p / total for p in raw])).alias("probabilities"),
-        )
-
-
-def _margin() -> Column:
-    return F.element_at(vector_to_array("rawPrediction"), 2)
-
-
-def grid_search(
-    train: DataFrame, estimator, grid: dict[str, Sequence[float]], fold_col: str = "fold", parallelism: int = 4
-):
-    """Fit all grid points on given folds and keep the most accurate.
-
-    Micro F1 of single-label rows is accuracy; the evaluator's own ``f1`` is a weighted F1.
-    """
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), list(values))
-    folds = train.agg(F.max(fold_col)).first()[0]
-    # Spark numbers folds from 0
-    numbered = train.withColumn("_fold", (F.col(fold_col) - 1).cast("int"))
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=builder.build(),
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label_no"),
-        numFolds=folds,
-        foldCol="_fold",
-        parallelism=parallelism,
-    )
-    return search.fit(numbered)
-
-
-def best_vector_features(train: DataFrame, k: int, label: str = "label_no") -> list[int]:
-    """Indexes of the k vector features with the highest chi-square; at most k rows reach the driver."""
-    values = train.select(
-        "doc_id", F.posexplode(vector_to_array("features")).alias("feature", "value")
-    ).filter("value <> 0")
-    scores = chi2_scores(values, train.select("doc_id", F.col(label).alias("label")))
-    return sorted(r.feature for r in select_k_best(scores, k).select("feature").collect())
-
-
 def search_model(
-    train: DataFrame, name: str, grid: dict | None = None, iterations: int = 20, outputs: int = 128
+    docs: DataFrame, features: DataFrame, name: str, grid: dict | None = None, folds: int = DEFAULT_FOLDS,
+    iterations: int = 30, outputs: int = 128,
 ) -> list[dict]:
-    """Cross-validated accuracy of every grid point of a named model, best first.
+    """Cross-validated accuracy of every grid point of a named model, best first; of equal ones the first in the grid.
 
-    ``train`` has doc_id, label_no, fold and a features vector. Feature selection and kernel
-    features are made once per k and gamma; C is searched on each.
+    ``docs`` has doc_id, label (any number of labels) and fold (1-based), ``features`` long features of them. All penalties
+    and folds of a choice of features are fitted together.
     """
     if name not in MODELS:
         raise KeyError(f"unknown model: {name}")
     spec = {**MODELS[name], **(grid or {})}
-    rows = train.count()
+    loss = linear.LOGISTIC if spec["kernel"] == "logistic" else linear.HINGE
     points = []
     for k in spec.get("k", [None]):
-        kept = train
+        kept = features
         if k is not None:
-            chosen = best_vector_features(train, k)
-            sliced = VectorSlicer(inputCol="features", outputCol="_kept", indices=chosen).transform(train)
-            kept = sliced.drop("features").withColumnRenamed("_kept", "features")
+            chosen = select_k_best(chi2_scores(features, docs.select("doc_id", "label")), k)
+            kept = stage(features.join(chosen.select("feature"), "feature", "left_semi"), "chosen-features")
+        packed, names, scales, labels = linear.prepare(docs, kept)
         for gamma in spec.get("gamma", [None]):
-            data = kept
+            data, known, sizes = packed, names, scales
             if gamma is not None:
-                inputs = len(chosen) if k is not None else len(kept.select("features").first()[0])
-                project = random_fourier_features(gamma, inputs, outputs)
-                data = kept.withColumn("features", array_to_vector(project(vector_to_array("features"))))
-            data = stage(data.select("doc_id", "label_no", "fold", "features"), "grid")
-            make = logistic_regression if spec["kernel"] == "logistic" else linear_svc
-            values = [l1_regularisation(c, rows) for c in spec["C"]]
-            found = grid_search(data, make(1.0, rows, iterations), {"regParam": values})
+                data = fourier_features(packed, gamma, len(names), outputs)
+                known, sizes = [f"rbf{j}" for j in range(outputs)], np.ones(outputs)
+            models = linear.fit_models(data, known, sizes, labels, loss, spec["C"], folds, iterations)
             points += [
-                {"C": c, "k": k, "gamma": gamma, "accuracy": float(a)} for c, a in zip(spec["C"], found.avgMetrics)
+                {"C": c, "k": k, "gamma": gamma, "accuracy": accuracy} for c, accuracy in linear.accuracies(data, models)
             ]
     return sorted(points, key=lambda p: -p["accuracy"])
 
 
-def random_fourier_features(gamma: float, inputs: int, outputs: int, seed: int = 7):
-    """Pandas UDF for features whose dot products approximate the RBF kernel exp(-gamma |x - y|^2).
+def pack_vectors(docs: DataFrame, vectors: Column) -> DataFrame:
+    """doc_id, label_no and fold of ``docs`` with a dense vector as packed features."""
+    at = F.when(F.size(vectors) > 0, F.sequence(F.lit(0), F.size(vectors) - 1)).otherwise(F.array().cast("array<int>"))
+    return docs.select("doc_id", "label_no", "fold", at.alias("at"), vectors.cast("array<double>").alias("values"))
 
-    Random Fourier features (Rahimi and Recht, 2007); the draw is fixed by the seed.
-    """
-    rng = np.random.default_rng(seed)
-    weights = rng.normal(0.0, np.sqrt(2 * gamma), (inputs, outputs))
-    shift = rng.uniform(0, 2 * np.pi, outputs)
 
-    @F.pandas_udf("array<double>")
-    def project(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        x = np.stack(vectors.to_numpy()).astype(float)
-        return pd.Series(list(np.sqrt(2.0 / outputs) * np.cos(x @ weights + shift)))
+def fourier_features(packed: DataFrame, gamma: float, inputs: int, outputs: int, seed: int = 7) -> DataFrame:
+    """``packed`` with features whose dot products approximate the RBF kernel exp(-gamma |x - y|^2). Staged.
 
-    return project
+    Random Fourier features (Rahimi and Recht, 2007); the draw is fixed by the seed.
+    """
+    def run(batches):
+        rng = np.random.default_rng(seed)
+        weights = rng.normal(0.0, np.sqrt(2 * gamma), (inputs, outputs))
+        shift = rng.uniform(0, 2 * np.pi, outputs)
+        for batch in batches:
+            at, values = batch.column("at"), batch.column("values")
+            counts = at.value_lengths().to_numpy(zero_copy_only=False)
+            image = np.tile(shift, (len(batch), 1))
+            row = np.repeat(np.arange(len(batch)), counts)
+            np.add.at(image, row, values.flatten().to_numpy()[:, None] * weights[at.flatten().to_numpy()])
+            made = np.sqrt(2.0 / outputs) * np.cos(image)
+            ptr = pa.array(np.arange(0, made.size + 1, outputs, dtype=np.int32))
+            numbers = pa.ListArray.from_arrays(ptr, pa.array(np.tile(np.arange(outputs, dtype=np.int32), len(batch))))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "label_no", "fold")), numbers, pa.ListArray.from_arrays(ptr, pa.array(made.ravel()))],
+                ["doc_id", "label_no", "fold", "at", "values"],
+            )
+
+    kind = packed.schema["doc_id"].dataType.simpleString()
+    rows = packed.select("doc_id", "label_no", "fold", "at", "values")
+    return stage(rows.mapInArrow(run, f"doc_id {kind}, label_no int, fold int, at array<int>, values array<double>"), "fourier")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+import numpy as np
 from pyspark.sql import functions as F
 
 from inkspan.operators import classify as op
+from inkspan.operators import linear
 from inkspan.operators import selection as sel
 from inkspan.operators.features import extension_code, term_counts
 from inkspan.operators.language import detect_language
+from inkspan.plans.features import all_features
 from inkspan.plans.fixtures import Corpus, with_ctes
 from inkspan.sources.staging import stage
 
@@ -133,7 +135,8 @@ def validated_short_circuit(spark, folder):
     routed = op.route_for_classification(
         joined.withColumn("is_validated", F.coalesce("is_validated", F.lit(False)))
     )
-    return routed.select("doc_id", "route")
+    out = op.routed_classes(routed, c.classifications(), predictions(c))
+    return out.select("doc_id", "route", "depth", "category_id", F.round("confidence", 6).alias("confidence"))
 
 
 def default_language(spark, folder):
@@ -187,50 +190,89 @@ def micro_f1(spark, folder):
     return sel.micro_f1(scored).withColumn("micro_f1", F.round("micro_f1", 6))
 
 
-def _training(c, folds=3):
-    docs = sel.stratified_folds(c.labelled().select("doc_id", "lang", "text", F.col("lang").alias("label")), folds)
-    return stage(sel.hashed_vectors(docs), "training")
+def _with_folds(docs, folds):
+    """Documents with a label and a fold, and those without a label."""
+    marked = sel.stratified_folds(docs.filter("label IS NOT NULL").select("doc_id", "label"), folds)
+    return stage(docs.select("doc_id").join(marked, "doc_id", "left"), "folds")
+
+
+def _quality(c):
+    labels = c.raw("labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    return c.raw("documents").select("doc_id").join(labels, "doc_id", "left")
+
+
+def _confidences(models, margins):
+    out = linear.predictions(margins, models)
+    return out.select("doc_id", "label", F.round(op.confidence(F.col("label"), F.col("probabilities")), 6).alias("confidence"))
 
 
 def fit_classifier(spark, folder):
-    """Quality of labelled documents, learned from four folds and predicted for all."""
+    """Quality of all documents over all features: labelled ones by the model of the other folds, the rest by that of all."""
     c = Corpus(spark, folder)
-    docs = c.labelled().withColumn("label", F.split_part("label", F.lit("/"), F.lit(2)))
-    data = stage(sel.hashed_vectors(docs.select("doc_id", "text", "label")), "training")
-    model = sel.fit_classifier(data, sel.logistic_regression(1.0, data.count(), 20))
-    out = sel.predictions_of(model, data)
-    return out.select("doc_id", "label", F.round(op.confidence(F.col("label"), F.col("probabilities")), 6).alias("confidence"))
+    docs = _with_folds(_quality(c), 4)
+    return _confidences(*linear.train(docs, stage(all_features(c), "features"), linear.LOGISTIC, 10.0, 4, 25))
 
 
 def linear_models(spark, folder):
+    """Language of all documents, learned from the labelled ones: support vector models of all labels, calibrated."""
     c = Corpus(spark, folder)
-    data = _training(c)
-    out = sel.CalibratedLinearSVC(1.0, 3, 10).fit(data).transform(data)
-    return out.select("doc_id", "label", F.round(op.confidence(F.col("label"), F.col("probabilities")), 6).alias("confidence"))
+    labels = c.raw("labels").select("doc_id", F.lit(True).alias("known"))
+    docs = c.raw("documents").select("doc_id", "lang").join(labels, "doc_id", "left")
+    docs = _with_folds(docs.select("doc_id", F.when(F.col("known"), F.col("lang")).alias("label")), 3)
+    return _confidences(*linear.train(docs, stage(all_features(c), "features"), linear.HINGE, 1.0, 3, 20))
 
 
 def grid_search(spark, folder):
-    """Accuracy per grid point of the linear model, over given folds."""
+    """Accuracy per grid point of a linear model of all languages, over given folds."""
     c = Corpus(spark, folder)
-    data = _training(c).withColumn("label_no", (F.col("lang") == "en").cast("double"))
-    points = sel.search_model(data, "linear_svc", iterations=10)
+    docs = sel.stratified_folds(c.labelled().select("doc_id", F.col("lang").alias("label")), 3)
+    features = stage(all_features(c), "features")
+    points = sel.search_model(stage(docs, "folds"), features, "linear_svc", folds=3, iterations=15)
     rows = [(float(p["C"]), p["accuracy"], p["accuracy"] == points[0]["accuracy"]) for p in points]
     return spark.createDataFrame(rows, "c double, accuracy double, is_best boolean")
 
 
 def rbf_features(spark, folder):
-    """Labels of embeddings with a kernel approximation and an L1 logistic regression."""
+    """Labels of embeddings with a kernel approximation and an L1 logistic regression, each by a model without its fold."""
     c = Corpus(spark, folder)
-    project = sel.random_fourier_features(gamma=0.1, inputs=64, outputs=128)
-    data = c.raw("embeddings").select(
-        F.col("vec_id").alias("doc_id"),
-        F.col("label").cast("string").alias("label"),
-        array_to_vector(project("embedding")).alias("features"),
-    )
-    data = stage(data, "fourier")
-    model = sel.fit_classifier(data, sel.logistic_regression(10.0, data.count(), 20))
-    out = sel.predictions_of(model, data)
-    return out.select("doc_id", "label", F.round(op.confidence(F.col("label"), F.col("probabilities")), 6).alias("confidence"))
+    rows = c.raw("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("label"), "embedding")
+    folds = sel.stratified_folds(rows.select("doc_id", "label"), 3)
+    labels = [r[0] for r in rows.select("label").distinct().orderBy("label").collect()]
+    numbers = spark.createDataFrame([(x, k) for k, x in enumerate(labels)], "label string, label_no int")
+    docs = folds.join(numbers, "label").join(rows.select("doc_id", "embedding"), "doc_id")
+    size = rows.agg(F.max(F.size("embedding"))).first()[0]
+    data = sel.fourier_features(sel.pack_vectors(docs, F.col("embedding")), 0.1, size, 128)
+    models = linear.fit_models(data, [f"rbf{j}" for j in range(128)], np.ones(128), labels, linear.LOGISTIC, [10.0], 3, 30)
+    margins = linear.held_out_margins(data, models, 10.0)
+    models.sigmoids = linear.fit_sigmoids(margins, len(labels))
+    return _confidences(models, margins)
+
+
+def classify_documents(spark, folder):
+    """Documents from text to stored classes: features, trained models of a tree (language, then quality), descent, rows.
+
+    Languages are learned at the root, the quality of a language's documents below it.
+    """
+    c = Corpus(spark, folder)
+    features = stage(all_features(c), "features")
+    known = stage(c.labelled().select("doc_id", "lang", "label"), "labelled")
+    tasks = [(None, known.select("doc_id", F.col("lang").alias("label")))]
+    tasks += [(x, known.filter(F.col("lang") == x).select("doc_id", "label")) for x in LANGS]  # one model per inner node
+    weights = []
+    for category, rows in tasks:
+        packed, names, scales, labels = linear.prepare(rows.withColumn("fold", F.lit(1)), features)
+        if len(labels) < 2:
+            continue
+        models = linear.fit_models(packed, names, scales, labels, linear.LOGISTIC, [10.0], 0, 25)
+        weights += [
+            ("", category, f"{category or 'root'}:v1", label, feature or op.INTERCEPT, w)
+            for label, feature, w in models.weight_rows(10.0)
+        ]
+    schema = "language string, category_id string, classifier_id string, label string, feature string, weight double"
+    table = stage(spark.createDataFrame(weights, schema), "weights")
+    docs = c.raw("documents").select("doc_id", F.lit("").alias("lang"))
+    rows = op.classification_rows(op.descend(docs, features, table, max_depth=3), F.to_timestamp(F.lit(STAMP)))
+    return rows.withColumn("confidence", F.round("confidence", 6))
 
 
 def _registry(c):
@@ -264,6 +306,7 @@ def update_classification(spark, folder):
 
 QUERIES = {
     "fit_classifier": fit_classifier,
+    "classify_documents": classify_documents,
     "predict_proba": predict_proba,
     "confidence": confidence,
     "hierarchical_classify": hierarchical_classify,
@@ -346,11 +389,14 @@ ORACLE = {
     "classification_rows": with_ctes(["predicted"], f"""
         SELECT doc_id, label AS category_id, level AS depth, classifier_id, confidence, false AS validated,
                '{STAMP}' AS ts FROM predicted""", CLASS_CTES),
-    "validated_short_circuit": with_ctes(["fx_user_documents"], """
+    "validated_short_circuit": with_ctes(["fx_user_documents", "fx_classifications", "predicted"], """
+        SELECT doc_id, route, depth, category_id, round(confidence, 6) AS confidence FROM (
         SELECT doc_id, CASE WHEN doc_id < 0 THEN 'missing' WHEN doc_id % 17 = 0 THEN 'empty'
                WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'stored' ELSE 'classify' END AS route
         FROM (SELECT DISTINCT CASE WHEN user_doc_id % 50 = 1 THEN -doc_id - 1 ELSE doc_id END AS doc_id
-              FROM fx_user_documents)"""),
+              FROM fx_user_documents)) LEFT JOIN (
+          SELECT doc_id, 'stored' AS route, depth, category_id, confidence FROM fx_classifications WHERE validated
+          UNION ALL SELECT doc_id, 'classify', level, label, confidence FROM predicted) USING (doc_id, route)""", CLASS_CTES),
     "default_language": """
         SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'da' ELSE lang END AS language FROM documents""",
     "label_result": with_ctes(["fx_classifications", "fx_categories"], """

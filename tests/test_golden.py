@@ -5,7 +5,6 @@ import io
 import zipfile
 
 import pytest
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -248,22 +247,6 @@ def test_conform_nested_contract(spark):
     assert [(r.a, r.b, r.errors) for r in out] == [(1, "d", []), (None, "x", ["missing:a"]), (None, None, ["malformed"])]
 
 
-@pytest.mark.parametrize("name", ["logistic_regression_simple", "dimred_nonlinear"])
-def test_named_models(spark, name):
-    rows = [(i, float(i % 2), i // 2 % 2 + 1, [float(i % 2), float(i % 3), 1.0]) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, label_no double, fold int, v array<double>")
-    train = df.withColumn("features", array_to_vector("v"))
-    assert selection.best_vector_features(train, 1) == [0]
-    grid = {"C": [10.0], **({"k": [2], "gamma": [0.1]} if name.startswith("dimred") else {})}
-    points = selection.search_model(train, name, grid, iterations=10, outputs=16)
-    assert len(points) == 1 and points[0]["accuracy"] > 0.9
-
-
-def test_unknown_model(spark):
-    with pytest.raises(KeyError):
-        selection.search_model(None, "other")
-
-
 def test_dictionary_finds_terms_behind_thousands_of_short_words(spark):
     docs = spark.createDataFrame([(1, "a " * 2_040 + "Deep Hit, and more")], "doc_id long, text string")
     terms = spark.createDataFrame([("deep hit", "X")], "term string, label string")
