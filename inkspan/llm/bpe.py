@@ -31,7 +31,7 @@ from inkspan.llm.splitter import encoder
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
-PART_BYTES = 1 << 20  # of texts encoded at once, but for longer ones
+PART_BYTES = 1 << 19  # of texts encoded at once, but for longer ones
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -87,29 +87,6 @@ def vocabulary(path: str) -> str:
     return model_json(read_ranks(path))
 
 
-def encode(docs: DataFrame, text_column: str = "text", path: str = RANKS) -> DataFrame:
-    """``docs`` with n_tokens and ids (packed)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # the vocabulary's size
-
-    def make():
-        tokens = encoder(shared.value)
-
-        def compute(batch):
-            sizes, ids = [], []
-            for part in parts([batch], text_column, PART_BYTES):
-                found, size = tokens.encode([t or "" for t in column(part, text_column).to_pylist()])
-                sizes.append(size)
-                ids.append(found.astype("<u4").tobytes())
-            size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            at = np.concatenate([[0], 4 * np.cumsum(size)]).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(b"".join(ids))])
-            return [pa.array(size, pa.int64()), packed]
-
-        return compute
-
-    return append_columns(docs, make, "n_tokens long, ids binary")
-
-
 class _Bytes:
     """Bytes of each id, to join by index arithmetic."""
 
@@ -138,6 +115,57 @@ def _table(path: str) -> _Bytes:
     return _Bytes({bytes(map(back.__getitem__, token)): k for token, k in printable(read_ranks(path)).items()})
 
 
+def _encoded(tokens, batch: pa.RecordBatch, text_column: str) -> tuple[np.ndarray, bytes]:
+    """How many ids each row has, and all ids packed."""
+    sizes, ids = [np.zeros(0, np.int64)], []
+    for part in parts([batch], text_column, PART_BYTES):
+        found, size = tokens.encode([t or "" for t in column(part, text_column).to_pylist()])
+        sizes.append(size)
+        ids.append(found.astype("<u4").tobytes())
+    return np.concatenate(sizes), b"".join(ids)
+
+
+def _binary(ends: np.ndarray, data: bytes) -> pa.Array:
+    """A binary column from its rows one after the other; ``ends`` begins with 0."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def encode(docs: DataFrame, text_column: str = "text", path: str = RANKS) -> DataFrame:
+    """``docs`` with n_tokens and ids (packed)."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # the vocabulary's size
+
+    def make():
+        tokens = encoder(shared.value)
+
+        def compute(batch):
+            sizes, ids = _encoded(tokens, batch, text_column)
+            return [pa.array(sizes, pa.int64()), _binary(4 * np.concatenate([[0], np.cumsum(sizes)]), ids)]
+
+        return compute
+
+    return append_columns(docs, make, "n_tokens long, ids binary")
+
+
+def round_trip(docs: DataFrame, text_column: str = "text", path: str = RANKS) -> DataFrame:
+    """``docs`` with n_tokens, ids (packed) and decoded (the bytes these ids decode to), in one pass of one worker a task."""
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((vocabulary(path), _table(path)))  # the vocabulary's size
+
+    def make():
+        text, table = shared.value
+        tokens = encoder(text)
+
+        def compute(batch):
+            sizes, ids = _encoded(tokens, batch, text_column)
+            ends = 4 * np.concatenate([[0], np.cumsum(sizes)])
+            decoded = [table.join(_ids(ids[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            return [pa.array(sizes, pa.int64()), _binary(ends, ids), pack(decoded)]
+
+        return compute
+
+    return append_columns(docs, make, "n_tokens long, ids binary, decoded binary")
+
+
 def decode(docs: DataFrame, ids_column: str = "ids", path: str = RANKS) -> DataFrame:
     """``docs`` with decoded (bytes) and decoded_text."""
     shared = docs.sparkSession.sparkContext.broadcast(_table(path))  # the vocabulary's size

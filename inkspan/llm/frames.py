@@ -21,7 +21,7 @@ __all__ = ["ARROW_BYTES", "append_columns", "bounded_batches", "fresh_name", "id
 
 # Bytes of one Arrow batch handed to Python. Bounds a task's Python memory whatever a text's length:
 # a batch ends with the row that crosses it.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 2 << 20
 
 LEAST = -(1 << 63)
 ROOT = str(Path(__file__).resolve().parents[2])

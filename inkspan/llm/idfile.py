@@ -46,7 +46,7 @@ END_ID = 2
 
 BLOCK = 1024
 FILE_IDS = 1 << 24
-PART_BYTES = 1 << 20  # of texts encoded at once, but for longer ones
+PART_BYTES = 1 << 19  # of texts encoded at once, but for longer ones
 WINDOW_BLOCKS = 64  # blocks unpacked at once when reading
 MAGIC = b"IDS8B\0\0\1"
 

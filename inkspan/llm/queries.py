@@ -43,8 +43,7 @@ QUERIES["op1_toxicity"] = op1_toxicity
 
 def op9_bpe(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    back = bpe.decode(bpe.encode(docs).drop("text"))
-    return back.select(
+    return bpe.round_trip(docs).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
