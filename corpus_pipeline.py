@@ -53,8 +53,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its ids and hashes of the ids and of the bytes they decode to."""
-    whole = bpe.decode(bpe.encode(docs.select("doc_id", "text")).drop("text"))
-    return whole.select(
+    return bpe.round_trip(docs.select("doc_id", "text")).select(
         "doc_id",
         "n_tokens",
         "ids",
