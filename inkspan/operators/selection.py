@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.functions.ranking import id_bucket, tile, with_position
+from inkspan.functions.ranking import tile, with_position
 from inkspan.operators import linear
 from inkspan.operators.features import chi2_scores, select_k_best
 from inkspan.sources.staging import stage
@@ -40,16 +40,13 @@ def stratified_sample(labelled: DataFrame, share: float, seed: str = "") -> Data
     """Exactly round(share * n) rows of every label, chosen by a hash of the id."""
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
     hashed = labelled.withColumn("_key", key)
-    # the first four hex digits cut any label into 65536 even buckets
-    ranked = with_position(
-        hashed, ["label"], F.substring("_key", 1, 4), [F.col("_key"), F.col("doc_id")], "_place"
-    )
+    ranked = with_position(hashed, ["label"], [F.col("_key"), F.col("doc_id")], "_place")
     return ranked.filter(F.col("_place") <= F.round(F.col("_place_of") * share)).select(*labelled.columns)
 
 
 def stratified_folds(labelled: DataFrame, folds: int = DEFAULT_FOLDS) -> DataFrame:
     """Add ``fold`` (1-based): each label's rows in id order, cut into even consecutive folds."""
-    ranked = with_position(labelled, ["label"], id_bucket("doc_id"), [F.col("doc_id")], "_place")
+    ranked = with_position(labelled, ["label"], [F.col("doc_id")], "_place")
     return ranked.withColumn("fold", tile(F.col("_place"), F.col("_place_of"), folds).cast("int")).select(
         *labelled.columns, "fold"
     )

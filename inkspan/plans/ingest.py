@@ -9,8 +9,9 @@ from inkspan.functions.html import DROPPED, html_text, html_title
 from inkspan.operators import ingest as op
 from inkspan.operators.language import PROFILES, detect_language
 from inkspan.plans.fixtures import Corpus, with_ctes
+from inkspan.sources.fetch import fetch
 from inkspan.sources.files import scan_files as list_files
-from inkspan.sources.results import read_results, replace_results as replace
+from inkspan.sources.snapshots import SnapshotTable
 from inkspan.sources.staging import new_path
 
 ALLOWED = ["docx", "pptx", "xlsx", "html"]
@@ -179,20 +180,32 @@ def replace_results(spark, folder):
     """Store results of all companies, then recompute companies 1 and 2; 2 has no hits any more."""
     c = Corpus(spark, folder)
     docs = c.documents().select("company_id", "doc_id", "name")
-    path = new_path(spark, "results")
-    replace(docs, docs, path)
-    second = docs.filter("company_id = 1 AND doc_id % 2 = 0")
-    companies = docs.select("company_id").filter("company_id IN (1, 2)")
-    replace(second, companies, path)
-    return read_results(spark, path, docs.schema)
+    store = SnapshotTable(spark, new_path(spark, "results"), docs.schema, "company_id")
+    store.replace(docs, [r[0] for r in docs.select("company_id").distinct().collect()])
+    store.replace(docs.filter("company_id = 1 AND doc_id % 2 = 0"), [1, 2])
+    return store.read()
 
 
 def delete_documents(spark, folder):
+    """Delete one user's documents from the store: rows deleted and left, from the versions before and after."""
     c = Corpus(spark, folder)
     docs = c.documents().select("company_id", "doc_id")
+    store = SnapshotTable(spark, new_path(spark, "store"), docs.schema, "company_id")
+    before = store.replace(docs, [r[0] for r in docs.select("company_id").distinct().collect()])
     doomed = c.user_documents().filter("user_id = 3").join(docs, "doc_id").select("company_id", "doc_id")
-    _, count = op.delete_documents(docs, doomed)
-    return count
+    after = store.delete(doomed, ["doc_id"])
+    was = store.read(before).groupBy("company_id").agg(F.count(F.lit(1)).alias("was"))
+    left = store.read(after).groupBy("company_id").agg(F.count(F.lit(1)).alias("remaining"))
+    both = was.join(left, "company_id", "left").withColumn("remaining", F.coalesce("remaining", F.lit(0)))
+    return both.select("company_id", (F.col("was") - F.col("remaining")).alias("deleted"), "remaining")
+
+
+def fetch_new_files(spark, folder):
+    """Files of the folder that are not linked yet, opened: those whose path has an even hash are linked."""
+    listing = list_files(spark, folder, "*.parquet").withColumns({"data_location_id": F.lit(1), "uuid": op.join_identifier(F.col("iuuid"))})
+    linked = listing.filter(F.crc32(F.col("name").cast("binary")) % 2 == 0).select("data_location_id", "uuid")
+    found = fetch(op.new_files(listing, linked).select("path", "name", "size_bytes"))
+    return found.select("name", "size_bytes", (F.length("content") == F.col("size_bytes")).alias("is_whole"), F.md5("content").alias("md5"))
 
 
 def normalize_extension(spark, folder):
@@ -224,6 +237,7 @@ QUERIES = {
     "document_record": document_record,
     "replace_results": replace_results,
     "delete_documents": delete_documents,
+    "fetch_new_files": fetch_new_files,
     "normalize_extension": normalize_extension,
 }
 

@@ -79,7 +79,7 @@ def coalesce_recompute(spark, folder):
     return op.latest_requests(daily, ["company_id", "day"])
 
 
-def stream_new_files(spark, folder):
+def _intake(spark, folder):
     """Documents as a file stream: admitted, de-duplicated, stored."""
     c = Corpus(spark, folder)
     raw = jobs.file_stream(c.spark, folder, "documents.parquet", c.raw("documents").schema)
@@ -96,7 +96,21 @@ def stream_new_files(spark, folder):
     jobs.intake_stream(
         files, path, new_path(spark, "intake-state"), LANGUAGES, MINIMUM, available_now=True
     ).awaitTermination()
-    return spark.read.parquet(path).select("doc_id", "company_id", "name", "lang")
+    return jobs.intake_tables(spark, path, files.schema)
+
+
+def stream_new_files(spark, folder):
+    return _intake(spark, folder)["documents"].select("doc_id", "company_id", "name", "lang")
+
+
+def stream_links(spark, folder):
+    """Every admitted arrival with the document it belongs to."""
+    return _intake(spark, folder)["links"]
+
+
+def stream_rejects(spark, folder):
+    """Arrivals that were not admitted, with the reason."""
+    return _intake(spark, folder)["rejects"]
 
 
 def status_events(spark, folder):
@@ -123,6 +137,8 @@ QUERIES = {
     "all_done": all_done,
     "coalesce_recompute": coalesce_recompute,
     "stream_new_files": stream_new_files,
+    "stream_links": stream_links,
+    "stream_rejects": stream_rejects,
     "status_events": status_events,
     "notifications": notifications,
 }
@@ -161,6 +177,15 @@ ORACLE = {
                  row_number() OVER (PARTITION BY n_chars % 3, md5(text) ORDER BY doc_id) AS rn
           FROM documents WHERE lang IN ('en', 'de', 'fr') AND 1.0::DOUBLE - (doc_id % 10) / 20.0::DOUBLE >= 0.7 AND text <> '')
         WHERE rn = 1""",
+    "stream_links": """
+        SELECT doc_id, company_id, canonical_doc_id, doc_id = canonical_doc_id AS is_new FROM (
+          SELECT doc_id, n_chars % 3 AS company_id, min(doc_id) OVER (PARTITION BY n_chars % 3, md5(text)) AS canonical_doc_id
+          FROM documents WHERE lang IN ('en', 'de', 'fr') AND 1.0::DOUBLE - (doc_id % 10) / 20.0::DOUBLE >= 0.7 AND text <> '')""",
+    "stream_rejects": """
+        SELECT doc_id, n_chars % 3 AS company_id, CASE WHEN lang IS NULL OR lang NOT IN ('en', 'de', 'fr') THEN 'language'
+               WHEN 1.0::DOUBLE - (doc_id % 10) / 20.0::DOUBLE < 0.7 THEN 'probability' ELSE 'empty' END AS reason
+        FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'de', 'fr') OR 1.0::DOUBLE - (doc_id % 10) / 20.0::DOUBLE < 0.7
+          OR coalesce(text, '') = ''""",
     "status_events": with_ctes(["states"], """
         SELECT scan_id, source_type AS name, state AS status, coalesce(expected, -1) AS expected, finished,
                CASE WHEN failed = 0 THEN '' WHEN scan_id % 4 = 0 THEN 'disk full' ELSE 'An error happened' END AS error

@@ -40,16 +40,6 @@ def scan_files(
     )
 
 
-def read_content(spark: SparkSession, folders: str | Sequence[str], wanted: DataFrame) -> DataFrame:
-    """Content of the wanted paths only."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folders if isinstance(folders, str) else list(folders))
-    )
-    return files.join(wanted.select("path"), "path", "left_semi")
-
-
 def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Opener for zip containers: one output row per contained file, yielded file by file."""
     for batch in batches:

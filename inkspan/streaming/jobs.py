@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from inkspan.operators.ingest import admit_documents, dedupe_documents
 from inkspan.operators.progress import finished_files, latest_requests, scan_counts
+from inkspan.sources.staging import stage
 
 BATCH = "batch_no"
 
@@ -47,6 +48,11 @@ def latest_counts(spark: SparkSession, path: str) -> DataFrame:
     return scan_counts(files).select("scan_id", "finished", "ok", "failed")
 
 
+IDENTITY = ["company_id", "md5", "name"]
+IDENTITY_TYPES = "company_id bigint, md5 string, name string, doc_id bigint, bucket int"
+BUCKETS = 256
+
+
 def intake_stream(
     files: DataFrame,
     path: str,
@@ -55,29 +61,67 @@ def intake_stream(
     minimum: float,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Admit and de-duplicate arriving documents and append the new ones to the store.
+    """Admit and de-duplicate arriving documents. Writes three tables below ``path``, see :func:`intake_tables`.
 
-    Each batch is compared with everything stored by other batches and overwrites only its own
-    partition, so a replayed batch gives the same table.
+    State is a table of identities alone (company, hash, name and the document's id), cut into ``BUCKETS`` buckets by
+    hash. A batch reads the buckets its own identities fall into, never the stored documents. It overwrites only its own
+    partition of each table and disregards its own identities, so a replayed batch gives the same tables.
     """
+    spark = files.sparkSession
+    kept = files.schema
+    # Empty parts, so that the tables can be read before the first document arrives.
+    _part(spark.createDataFrame([], IDENTITY_TYPES), f"{path}/identities", -1, ["bucket"])
+    empty = {"documents": spark.createDataFrame([], kept), "links": spark.createDataFrame([], LINKS), "rejects": spark.createDataFrame([], REJECTS)}
+    for name, rows in empty.items():
+        _part(rows, f"{path}/{name}", -1)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        admitted = admit_documents(batch, languages, minimum).filter("admission = 'ok'").drop("admission")
-        store = _stored(spark, path, batch.schema).filter(F.col(BATCH) != number)
-        fresh = dedupe_documents(admitted, store).filter("is_new").drop("is_new", "canonical_doc_id")
-        fresh.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+        session = batch.sparkSession
+        judged = stage(admit_documents(batch, languages, minimum), "judged")
+        admitted = judged.filter("admission = 'ok'").drop("admission")
+        own = admitted.groupBy(*IDENTITY).agg(F.min("doc_id").alias("doc_id"))
+        own = stage(own.withColumn("bucket", _bucket()), "identities")
+        touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # BUCKETS at most
+        stored = _identities(session, path).filter(F.col("bucket").isin(touched) & (F.col(BATCH) != number))
+        found = stage(dedupe_documents(own.drop("bucket"), stored.drop("bucket", BATCH)), "found")
+        first = found.select(*IDENTITY, "canonical_doc_id", F.col("is_new").alias("_new"))
+        same = [admitted[c].eqNullSafe(first[c]) for c in IDENTITY]
+        linked = admitted.join(first, same[0] & same[1] & same[2]).select(
+            *[admitted[c] for c in admitted.columns], "canonical_doc_id",
+            (F.col("_new") & (admitted["doc_id"] == F.col("canonical_doc_id"))).alias("is_new"),
+        )
+        _part(linked.filter("is_new").select(*kept.names), f"{path}/documents", number)
+        _part(linked.select("doc_id", "company_id", "canonical_doc_id", "is_new"), f"{path}/links", number)
+        gone = judged.filter("admission <> 'ok'").select("doc_id", "company_id", F.col("admission").alias("reason"))
+        _part(gone, f"{path}/rejects", number)
+        _part(found.filter("is_new").select(*IDENTITY, "doc_id").withColumn("bucket", _bucket()), f"{path}/identities", number, ["bucket"])
 
     return _start(files, write, checkpoint, "append", available_now)
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    file_system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not file_system.exists(hadoop_path):
-        return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(path)
+LINKS = "doc_id bigint, company_id bigint, canonical_doc_id bigint, is_new boolean"
+REJECTS = "doc_id bigint, company_id bigint, reason string"
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*IDENTITY), F.lit(BUCKETS)).cast("int")
+
+
+def _part(rows: DataFrame, folder: str, number: int, by: Sequence[str] = ()) -> None:
+    """Overwrite one batch's part of a table."""
+    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{BATCH}={number}")
+
+
+def _identities(spark: SparkSession, path: str) -> DataFrame:
+    types = f"{IDENTITY_TYPES}, {BATCH} bigint"
+    return spark.read.schema(types).option("basePath", f"{path}/identities").parquet(f"{path}/identities")
+
+
+def intake_tables(spark: SparkSession, path: str, schema: T.StructType) -> dict[str, DataFrame]:
+    """documents (the new ones), links (doc_id, company_id, canonical_doc_id, is_new of every admitted arrival) and rejects
+    (doc_id, company_id, reason) over all batches."""
+    types = {"documents": schema, "links": LINKS, "rejects": REJECTS}
+    return {name: spark.read.schema(kind).parquet(f"{path}/{name}").drop(BATCH) for name, kind in types.items()}
 
 
 def recompute_stream(

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkspan.functions.ranking import id_bucket, with_position
+from inkspan.functions.ranking import with_position
 from inkspan.operators import classify, entities, names, selection, similarity
 from inkspan.plans import registry
 from inkspan.plans.fixtures import Corpus
@@ -40,7 +40,7 @@ def test_folds_are_even_and_complete(spark, labels, folds):
 @given(ids=st.sets(st.integers(-50, 5000), min_size=1, max_size=50))
 def test_positions_equal_row_numbers(spark, ids):
     df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    got = with_position(df, [], id_bucket("doc_id", 64), [F.col("doc_id")]).orderBy("doc_id").collect()
+    got = with_position(df, [], [F.col("doc_id")]).orderBy("doc_id").collect()
     assert [(r.doc_id, r.position) for r in got] == [(x, n) for n, x in enumerate(sorted(ids), 1)]
 
 
