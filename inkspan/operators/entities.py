@@ -77,16 +77,32 @@ def drop_long_spans(spans: DataFrame, limit: int = MAX_ENTITY_CHARS) -> DataFram
     return spans.filter(F.col("end") - F.col("start") <= limit)
 
 
-def dictionary_mentions(docs: DataFrame, dictionary: DataFrame, text: str = "text") -> DataFrame:
-    """Tag dictionary terms: doc_id, entity, validated, start, end, occurrence.
+def _inside_pieces(found: DataFrame, pieces: DataFrame) -> DataFrame:
+    """doc_id, label, start, end, occurrence of occurrences within one piece.
 
-    ``dictionary`` has (term, label). Words and texts meet on lower-cased tokens; offsets are
-    worked out only for occurrences, in the piece that holds their first or last word.
+    A piece gets the numbers of its first and last words as one array, and gives offsets and texts at once.
     """
-    terms = phrase_terms(dictionary.distinct(), "term", ["term", "label"])
-    positions = vocabulary_positions(docs, terms.select("token"), ["doc_id"], [text])
-    found = stage(phrase_occurrences(positions, terms, ["term", "label"], []), "occurrences")
-    hit_docs = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", text)
+    wanted = F.struct("label", F.col("first_spot.at").alias("first"), F.col("last_spot.at").alias("last"))
+    asked = found.groupBy("doc_id", F.col("first_spot.piece_no").alias("piece_no")).agg(F.collect_list(wanted).alias("_asked"))
+    read = pieces.join(asked, ["doc_id", "piece_no"]).select(
+        "doc_id", "char_base", "piece", "_asked", match_spans(F.col("piece"), WORD).alias("_words")
+    )
+    begin = lambda a: F.get("_words", a["first"])["start"]
+    stop = lambda a: F.get("_words", a["last"])["end"]
+    rows = F.transform(
+        "_asked",
+        lambda a: F.struct(
+            a["label"].alias("label"),
+            (F.col("char_base") + begin(a)).alias("start"),
+            (F.col("char_base") + stop(a)).alias("end"),
+            F.substring("piece", begin(a) + 1, stop(a) - begin(a)).alias("occurrence"),
+        ),
+    )
+    return drop_long_spans(read.select("doc_id", F.inline(rows)))
+
+
+def _over_pieces(found: DataFrame, pieces: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The same for the few occurrences that begin in one piece and end in another."""
     ends = F.array(
         F.struct(F.lit("start").alias("edge"), F.col("first_spot").alias("spot")),
         F.struct(F.lit("end").alias("edge"), F.col("last_spot").alias("spot")),
@@ -94,20 +110,33 @@ def dictionary_mentions(docs: DataFrame, dictionary: DataFrame, text: str = "tex
     edges = found.select("doc_id", "label", "first_pos", "n", F.inline(ends)).select(
         "doc_id", "label", "first_pos", "n", "edge", "spot.*"
     )
-    pieces = text_pieces(hit_docs, ["doc_id"], text).join(
-        edges.select("doc_id", "piece_no").distinct(), ["doc_id", "piece_no"], "left_semi"
-    )
-    # Words of a piece are placed once, whatever the number of occurrences in it.
-    words = pieces.select("doc_id", "piece_no", "char_base", match_spans(F.col("piece"), WORD).alias("words"))
+    wanted = pieces.join(edges.select("doc_id", "piece_no").distinct(), ["doc_id", "piece_no"], "left_semi")
+    words = wanted.select("doc_id", "piece_no", "char_base", match_spans(F.col("piece"), WORD).alias("words"))
     word = F.get("words", F.col("at"))
     offset = F.col("char_base") + F.when(F.col("edge") == "start", word["start"]).otherwise(word["end"])
-    placed = edges.join(words, ["doc_id", "piece_no"]).withColumn("offset", offset)
-    spans = placed.groupBy("doc_id", "label", "first_pos", "n").agg(
+    spans = edges.join(words, ["doc_id", "piece_no"]).withColumn("offset", offset).groupBy("doc_id", "label", "first_pos", "n").agg(
         F.min(F.when(F.col("edge") == "start", F.col("offset"))).alias("start"),
         F.min(F.when(F.col("edge") == "end", F.col("offset"))).alias("end"),
     )
     cut = F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start"))
-    whole = drop_long_spans(spans).join(hit_docs, "doc_id").withColumn("occurrence", cut)
+    return drop_long_spans(spans).join(docs, "doc_id").select("doc_id", "label", "start", "end", cut.alias("occurrence"))
+
+
+def dictionary_mentions(docs: DataFrame, dictionary: DataFrame, text: str = "text") -> DataFrame:
+    """Tag dictionary terms: doc_id, entity, validated, start, end, occurrence.
+
+    ``dictionary`` has (term, label). Words and texts meet on lower-cased tokens; offsets are
+    worked out only for occurrences, in the piece that holds their first or last word.
+    """
+    terms = phrase_terms(dictionary.distinct(), "term", ["term", "label"])
+    positions = vocabulary_positions(docs, terms.select("token"), ["doc_id"], [text])
+    found = stage(phrase_occurrences(positions, terms, ["term", "label"], []), "occurrences")
+    hit_docs = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", text)
+    pieces = text_pieces(hit_docs, ["doc_id"], text)
+    together = F.col("first_spot.piece_no") == F.col("last_spot.piece_no")
+    whole = _inside_pieces(found.filter(together), pieces).unionByName(
+        _over_pieces(found.filter(~together), pieces, hit_docs, text)
+    )
     return mention_rows(whole, ["doc_id"], F.col("label"))
 
 

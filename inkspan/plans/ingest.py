@@ -13,6 +13,7 @@ from inkspan.sources.fetch import fetch
 from inkspan.sources.files import scan_files as list_files
 from inkspan.sources.snapshots import SnapshotTable
 from inkspan.sources.staging import new_path
+from inkspan.sources.strategies import load
 
 ALLOWED = ["docx", "pptx", "xlsx", "html"]
 MAX_MB = 10.0
@@ -200,6 +201,12 @@ def delete_documents(spark, folder):
     return both.select("company_id", (F.col("was") - F.col("remaining")).alias("deleted"), "remaining")
 
 
+def strategy_files(spark, folder):
+    """The folder's files by the named strategy, each part listed by a task of its own."""
+    Corpus(spark, folder)
+    return load(spark, "folder_files", folder, content=False).select("name", "ext", "size_bytes")
+
+
 def fetch_new_files(spark, folder):
     """Files of the folder that are not linked yet, opened: those whose path has an even hash are linked."""
     listing = list_files(spark, folder, "*.parquet").withColumns({"data_location_id": F.lit(1), "uuid": op.join_identifier(F.col("iuuid"))})
@@ -238,6 +245,7 @@ QUERIES = {
     "replace_results": replace_results,
     "delete_documents": delete_documents,
     "fetch_new_files": fetch_new_files,
+    "strategy_files": strategy_files,
     "normalize_extension": normalize_extension,
 }
 
