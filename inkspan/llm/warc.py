@@ -7,7 +7,7 @@ the table of captures, so a lost executor leaves at most a file that nobody read
 
 The index lists captures by reversed-host key (``org,example,www)/path``). Lines are range-partitioned
 and sorted, packed into compressed blocks of ``LINES`` lines, and a sparse directory keeps the first
-key of each block. A lookup finds blocks by binary search in the directory, lines by binary search in
+key of each block. A lookup finds a key's range of the directory by binary search, its blocks there, lines by binary search in
 the block, and reads only the records' ranges.
 
 Defined cases: a null payload is an empty one; payloads under ``LEAST_BYTES`` are never revisits. Of
@@ -36,7 +36,8 @@ LEAST_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
 LINES = 3_000
 PARTS = 4  # a block's keys are looked up in so many parts
-DIRECTORY_ROWS = 1 << 20  # a larger directory is searched by a join
+RANGES = 1 << 12  # of keys, in which a lookup merges keys and directory
+FETCH_BYTES = 32 << 20  # of archives a task of a lookup reads, about
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # for names that are URLs
 RECORD = "capture long, url string, kind string, digest string, payload_bytes long, payload binary, refers_to long"
 DATE = "2024-01-01T00:00:00Z"  # the tables carry no capture time
@@ -206,7 +207,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def build_index(captures: DataFrame, lines: int = LINES) -> tuple[DataFrame, DataFrame]:
-    """The staged index: blocks (block, first_key, last_key, n, data) and directory (block, first_key, last_key).
+    """The staged index: blocks (block, first_key, last_key, n, bytes, data) and directory (block, first_key, last_key).
 
     A block never mixes range partitions, and its lines are sorted by key, capture and offset.
     """
@@ -217,7 +218,7 @@ def build_index(captures: DataFrame, lines: int = LINES) -> tuple[DataFrame, Dat
     def pack(rows: list[dict]) -> tuple:
         text = "\n".join(f"{r['key']} {json.dumps(r)}" for r in rows)
         block = hashlib.sha256(f"{rows[0]['key']} {rows[0]['capture']} {rows[0]['path']} {rows[0]['offset']}".encode()).hexdigest()[:24]
-        return block, rows[0]["key"], rows[-1]["key"], len(rows), zlib.compress(text.encode())
+        return block, rows[0]["key"], rows[-1]["key"], len(rows), sum(r["length"] for r in rows), zlib.compress(text.encode())
 
     def run(batches):
         held: list[dict] = []
@@ -229,53 +230,89 @@ def build_index(captures: DataFrame, lines: int = LINES) -> tuple[DataFrame, Dat
         yield blocks_of([pack(held)] if held else [])
 
     def blocks_of(rows):
-        names = ["block", "first_key", "last_key", "n", "data"]
-        kinds = [pa.string()] * 3 + [pa.int32(), pa.binary()]
+        names = ["block", "first_key", "last_key", "n", "bytes", "data"]
+        kinds = [pa.string()] * 3 + [pa.int32(), pa.int64(), pa.binary()]
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    blocks = stage(ordered.mapInArrow(run, "block string, first_key string, last_key string, n int, data binary"), "blocks")
+    blocks = stage(ordered.mapInArrow(run, "block string, first_key string, last_key string, n int, bytes long, data binary"), "blocks")
     return blocks, stage(blocks.select("block", "first_key", "last_key"), "directory")
 
 
+def reversed_keys(urls: DataFrame, url_column: str) -> DataFrame:
+    """key: the reversed-host key of each url, in Arrow batches."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(reversed_host_key, batch.column(0).to_pylist()), pa.string())], ["key"])
+
+    return urls.select(F.col(url_column).cast("string").alias("url")).mapInArrow(run, "key string")
+
+
+def _blocks_of(keys: DataFrame, directory: DataFrame, borders: list[str]) -> DataFrame:
+    """key and block: the blocks whose range of keys holds a key.
+
+    A block goes to every range it reaches into. In a range rows come sorted by key, a block by its first one, so a pass
+    that keeps the blocks not yet ended meets every key.
+    """
+    shared = keys.sparkSession.sparkContext.broadcast(borders)  # RANGES at most
+
+    def rows(found):
+        columns = list(zip(*found, strict=True)) if found else [[] for _ in range(5)]
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+        names = ["range", "key", "kind", "last_key", "block"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def deal_keys(batches):
+        for batch in batches:
+            yield rows([(bisect.bisect_right(shared.value, k), k, 1, None, None) for k in batch.column("key").to_pylist()])
+
+    def deal_blocks(batches):
+        for batch in batches:
+            listed = [batch.column(c).to_pylist() for c in ("first_key", "last_key", "block")]
+            yield rows([
+                (k, first, 0, last, block)
+                for first, last, block in zip(*listed, strict=True)
+                for k in range(bisect.bisect_right(shared.value, first), bisect.bisect_right(shared.value, last) + 1)
+            ])
+
+    def merge(batches):
+        at, open_ = None, []
+        for batch in batches:
+            pairs = []
+            for range_, key, kind, last, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if range_ != at:
+                    at, open_ = range_, []
+                if kind == 0:
+                    open_.append((last, block))
+                else:
+                    open_ = [b for b in open_ if b[0] >= key]
+                    pairs += [(key, b) for _, b in open_]
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.string()) for c in (0, 1)], ["key", "block"])
+
+    ddl = "range int, key string, kind int, last_key string, block string"
+    dealt = keys.mapInArrow(deal_keys, ddl).union(directory.select("first_key", "last_key", "block").mapInArrow(deal_blocks, ddl))
+    return dealt.repartition("range").sortWithinPartitions("range", "key", "kind").mapInArrow(merge, "key string, block string")
+
+
 def lookup(urls: DataFrame, index: tuple[DataFrame, DataFrame], url_column: str = "url") -> DataFrame:
     """Captures of the given urls, read by range; columns as of ``read``.
 
-    The directory is searched by bisection in every task while it has at most ``DIRECTORY_ROWS`` rows;
-    a larger one is met by a range join.
+    Keys and directory are dealt into ranges of the key, at borders drawn from the directory (``RANGES`` of them at most),
+    and merged in each. Records are fetched in tasks of about ``FETCH_BYTES`` of the archives.
     """
     blocks, directory = index
-    spark: SparkSession = urls.sparkSession
-    key = F.udf(reversed_host_key, "string")
-    keys = urls.select(key(F.col(url_column).cast("string")).alias("key")).distinct()
-    listed = directory.orderBy("first_key", "last_key", "block").limit(DIRECTORY_ROWS + 1).toArrow()
-    if len(listed) <= DIRECTORY_ROWS:
-        shared = spark.sparkContext.broadcast([listed[c].to_pylist() for c in ("first_key", "last_key", "block")])
-
-        def search(batches):
-            firsts, lasts, names = shared.value
-            for batch in batches:
-                pairs = []
-                for key in batch.column("key").to_pylist():
-                    k = bisect.bisect_right(firsts, key) - 1
-                    while k >= 0 and lasts[k] >= key:
-                        pairs.append((key, names[k]))
-                        if firsts[k] < key:
-                            break
-                        k -= 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[c] for p in pairs], pa.string()) for c in (0, 1)], ["key", "block"]
-                )
-
-        wanted = keys.mapInArrow(search, "key string, block string")
-    else:
-        near = (F.col("first_key") <= F.col("key")) & (F.col("key") <= F.col("last_key"))
-        wanted = keys.join(directory, near).select("key", "block")
+    spark: SparkSession = bounded_batches(urls.sparkSession)
+    keys = reversed_keys(urls, url_column).distinct()
+    drawn = directory.select("first_key").distinct().orderBy(F.xxhash64("first_key"), "first_key").limit(RANGES - 1).toArrow()
+    wanted = _blocks_of(keys, directory, sorted(drawn["first_key"].to_pylist()))
     # A block goes to its keys once per part, not once per key.
     asked = wanted.groupBy("block", F.pmod(F.xxhash64("key"), F.lit(PARTS)).alias("part")).agg(
         F.sort_array(F.collect_set("key")).alias("keys")
     )
-    placed = asked.join(blocks.select("block", "data"), "block").select("keys", "data")
+    bytes_ = blocks.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-bytes_ // FETCH_BYTES))
+    placed = asked.join(blocks.select("block", "data"), "block").repartition(int(tasks), "block", "part").select("keys", "data")
 
     def fetch(batches):
         files = _Files()
