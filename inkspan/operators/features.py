@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover, Word2Vec
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,6 +135,32 @@ def custom_features(docs: DataFrame, features: Mapping[str, Column] | None) -> D
     return docs.select("doc_id", F.inline(F.array(*entries)))
 
 
+def vectorized_features(
+    docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterable[Mapping[str, float]]]], text: str = "text"
+) -> DataFrame:
+    """(doc_id, feature, value) of a user's own vectorizer.
+
+    ``make`` is called once per task and gives a function from a list of texts to a mapping of feature to value for each of them;
+    zeros are left out. Texts reach it in Arrow batches; a null text is an empty one.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        vectorize = make()
+        for batch in batches:
+            ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
+            found = list(vectorize([t or "" for t in texts]))
+            if len(found) != len(ids):
+                raise ValueError("the vectorizer has to give one mapping for each text")
+            rows = [(i, str(f), float(v)) for i, own in zip(ids, found, strict=True) for f, v in own.items() if v]
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            kinds = [batch.schema.field("doc_id").type, pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "feature", "value"])
+
+    rows = docs.select("doc_id", F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, feature string, value double")
+
+
 def assemble_features(text: DataFrame, title: DataFrame, custom: DataFrame) -> DataFrame:
     """Stack the three families side by side; prefixes keep their features apart."""
     def prefixed(df: DataFrame, prefix: str, name: str) -> DataFrame:

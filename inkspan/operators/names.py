@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.functions.membership import listed_filter
 from inkspan.functions import names as fn
 from inkspan.functions.text import token_bag, word_list
 from inkspan.operators.phrases import (
@@ -96,7 +97,11 @@ def partial_name_matches(
     """Distinct (person_id, doc_id): any word of the cleaned name occurs in text or title."""
     wanted = stage(partial_terms(people), "partial-terms")
     keys = ["doc_id", "company_id"]
-    words = _words_of(docs, keys) if positions is None else positions.select(*keys, "token").distinct()
+    if positions is None:
+        # Most words are no part of a name and end here, in the stage of the scan, whatever the join is.
+        words = _words_of(docs, keys).filter(listed_filter(wanted, "token")(F.col("token")))
+    else:
+        words = positions.select(*keys, "token").distinct()
     return words.join(wanted, ["company_id", "token"]).select("person_id", "doc_id").distinct()
 
 

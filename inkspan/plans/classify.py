@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkspan.operators import classify as op
 from inkspan.operators import linear
 from inkspan.operators import selection as sel
-from inkspan.operators.features import extension_code, term_counts
+from inkspan.operators.features import extension_code, spark_stop_words, term_counts
 from inkspan.operators.language import detect_language
 from inkspan.plans.features import all_features
 from inkspan.plans.fixtures import Corpus, with_ctes
@@ -254,7 +254,7 @@ def classify_documents(spark, folder):
     Languages are learned at the root, the quality of a language's documents below it.
     """
     c = Corpus(spark, folder)
-    features = stage(all_features(c), "features")
+    features = stage(all_features(c, {x: spark_stop_words(x) for x in LANGS}), "features")
     known = stage(c.labelled().select("doc_id", "lang", "label"), "labelled")
     tasks = [(None, known.select("doc_id", F.col("lang").alias("label")))]
     tasks += [(x, known.filter(F.col("lang") == x).select("doc_id", "label")) for x in LANGS]  # one model per inner node

@@ -85,15 +85,31 @@ def custom_features(spark, folder):
     return op.custom_features(c.documents(), custom_columns()).withColumn("value", F.round("value", 6))
 
 
-def all_features(c):
+def all_features(c, stop_words=PROFILES):
     docs = titled(c)
     return op.assemble_features(
-        op.tfidf(docs.select("doc_id", "lang", "text"), min_df=MIN_DF, stop_words=PROFILES),
+        op.tfidf(docs.select("doc_id", "lang", "text"), min_df=MIN_DF, stop_words=stop_words),
         op.tfidf(docs.select("doc_id", "title"), "title", TITLE_MIN_DF, TITLE_MAX_DF),
         op.custom_features(docs, custom_columns()),
     )
 
 
+def _counting():
+    """A user's vectorizer: letters and digits of a text, and its share of line ends."""
+    def vectorize(texts):
+        for text in texts:
+            digits = sum(text.count(d) for d in "0123456789")
+            yield {"digits": digits, "at_signs": text.count("@"), "line_share": text.count("\n") / max(1, len(text))}
+
+    return vectorize
+
+
+def user_vectorizer(spark, folder):
+    c = Corpus(spark, folder)
+    out = op.vectorized_features(c.raw("documents").select("doc_id", "text"), _counting)
+    return out.withColumn("value", F.round("value", 6))
+
+
 def assemble_features(spark, folder):
     out = all_features(Corpus(spark, folder))
     family = F.split_part("feature", F.lit(":"), F.lit(1))
@@ -139,6 +155,7 @@ QUERIES = {
     "tfidf_title": tfidf_title,
     "extension_feature": extension_feature,
     "custom_features": custom_features,
+    "user_vectorizer": user_vectorizer,
     "assemble_features": assemble_features,
     "fit_transform_split": fit_transform_split,
     "doc_vectors": doc_vectors,
@@ -212,6 +229,12 @@ ORACLE = {
     "tfidf_bigrams": with_ctes(["bi_w"], "SELECT doc_id, term, round(value, 6) AS value FROM bi_w", FEATURE_CTES),
     "tfidf_title": with_ctes(["title_w"], "SELECT doc_id, term, round(value, 6) AS value FROM title_w", FEATURE_CTES),
     "extension_feature": with_ctes(["fx_documents"], f"SELECT doc_id, ({_CODE})::INT AS code FROM fx_documents"),
+    "user_vectorizer": """
+        SELECT doc_id, feature, round(value, 6) AS value FROM (
+          SELECT doc_id, 'digits' AS feature, len(regexp_extract_all(text, '[0-9]'))::DOUBLE AS value FROM documents
+          UNION ALL SELECT doc_id, 'at_signs', len(regexp_extract_all(text, '@'))::DOUBLE FROM documents
+          UNION ALL SELECT doc_id, 'line_share', len(regexp_extract_all(text, '\\n'))::DOUBLE / greatest(1, length(text)) FROM documents)
+        WHERE value <> 0""",
     "custom_features": with_ctes(["custom"], "SELECT doc_id, feature, round(value, 6) AS value FROM custom", FEATURE_CTES),
     "assemble_features": with_ctes(["text_w", "title_w", "custom"], """
         SELECT doc_id, family, count(*) AS n_features, round(sum(value), 4) AS total FROM (

@@ -87,19 +87,28 @@ def included_docs(spark, folder):
     return op.included_docs(search_docs(c).select("doc_id", "company_id"), included)
 
 
+def _positions(docs, people, keywords, exact=False, partial=False):
+    """Tokens that any of the searches needs, from one pass over the texts."""
+    terms = [op.keyword_terms(keywords)]
+    terms += [op.exact_terms(people, MAX_MIDDLE)] if exact else []
+    terms += [op.partial_terms(people)] if partial else []
+    return op.search_positions(docs, terms)
+
+
 def high_risk_exact(spark, folder):
     c = Corpus(spark, folder)
-    docs, people = search_docs(c), c.people()
+    docs, people, keywords = search_docs(c), c.people(), c.keywords()
+    seen = _positions(docs, people, keywords, exact=True)
     return op.high_risk_exact(
-        op.exact_name_matches(docs, people, MAX_MIDDLE), op.keyword_matches(docs, c.keywords()), people
+        op.exact_name_matches(docs, people, MAX_MIDDLE, seen), op.keyword_matches(docs, keywords, seen), people
     )
 
 
 def high_risk_partial(spark, folder):
     c = Corpus(spark, folder)
-    docs, people = search_docs(c), c.people()
-    ranged = op.match_ranges(docs, people)
-    return op.high_risk_partial(ranged, op.keyword_matches(docs, c.keywords()))
+    docs, people, keywords = search_docs(c), c.people(), c.keywords()
+    seen = _positions(docs, people, keywords, partial=True)
+    return op.high_risk_partial(op.match_ranges(docs, people, seen), op.keyword_matches(docs, keywords, seen))
 
 
 def match_range(spark, folder):
@@ -111,10 +120,11 @@ def match_range(spark, folder):
 
 def risk_hits(spark, folder):
     c = Corpus(spark, folder)
-    docs, people = search_docs(c), c.people()
-    keywords = op.keyword_matches(docs, c.keywords())
-    exact = op.low_risk(op.exact_name_matches(docs, people, MAX_MIDDLE), keywords, people)
-    partial = op.low_risk(op.partial_name_matches(docs, people), keywords, people)
+    docs, people, lists = search_docs(c), c.people(), c.keywords()
+    seen = _positions(docs, people, lists, exact=True, partial=True)
+    keywords = op.keyword_matches(docs, lists, seen)
+    exact = op.low_risk(op.exact_name_matches(docs, people, MAX_MIDDLE, seen), keywords, people)
+    partial = op.low_risk(op.partial_name_matches(docs, people, seen), keywords, people)
     return exact.withColumn("kind", F.lit("exact")).unionByName(partial.withColumn("kind", F.lit("partial")))
 
 

@@ -58,3 +58,18 @@ def test_few_of_the_pairs_that_share_a_word_are_scored(spark):
     sharing = terms.join(postings, "token").select("query_id", "doc_id").distinct().count()
     alive, _ = search.candidates(terms, postings, 10)
     assert 400 <= alive.count() < sharing / 4
+
+
+def test_few_words_pass_the_filter_of_a_word_list(spark):
+    """The words that meet the join of partial names, with broadcasts off."""
+    from inkspan.functions.membership import listed_filter
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        listed = spark.range(500).selectExpr("concat('w', id) AS token")
+        words = spark.range(50_000).selectExpr("concat('w', id) AS token")
+        passed = words.filter(listed_filter(listed, "token")(F.col("token")))
+        assert passed.join(listed, "token", "left_semi").count() == 500 and passed.count() < 500 + 50_000 / 8
+        assert words.filter(listed_filter(listed.limit(0), "token")(F.col("token"))).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
