@@ -1,8 +1,8 @@
 """Secrets in texts, also under nested encodings.
 
 A worklist starts with the text. Each layer is scanned by the base rules; every run that looks encoded
-(URL escapes, backslash-u or backslash-x escapes, base64, compressed bytes inside base64) is decoded,
-and what is text in it joins the worklist, whatever bytes stand beside. It ends when no layer yields a new one:
+(URL escapes; backslash, percent-u and HTML character references; hexadecimal bytes; base64; gzip, zlib, raw deflate
+or bzip2 inside these) is decoded, and what is text in it joins the worklist, whatever bytes stand beside. It ends when no layer yields a new one:
 layers already seen are not taken up again, so encodings that decode to each other end too. A hit in a decoded
 layer is mapped back, through the runs it came from, to the outermost run of the original text.
 
@@ -16,6 +16,7 @@ columns replace columns of their name. Spans count code points, end exclusive.
 from __future__ import annotations
 
 import binascii
+import bz2
 import hashlib
 import re
 import zlib
@@ -47,13 +48,19 @@ BREAK = re.compile(rb"\r?\n[\x20\t]*|(?:\\r)?\\n")
 BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:(?:%s)[A-Za-z0-9+/_-]+)*={0,2}" % BREAK.pattern)
 LEAST_RUN = 16
 SEPARATOR = re.compile(rb"[/_+-]+")
-ESCAPE = re.compile(rb"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+# Character references; the last group is decimal.
+ESCAPE = re.compile(
+    rb"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|%u([0-9A-Fa-f]{4})"
+    rb"|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
+)
+HEX_RUN = re.compile(rb"(?:[0-9A-Fa-f]{2}){16,}")
+BZIP = b"BZh"
 NOT_TEXT = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
 # ASCII text, and such text in UTF-16; no secret has fewer than 14 characters. All rules are on ASCII, so any other byte
 # only separates.
 TEXT = re.compile(rb"[\t-\r -~]{14,}")
 WIDE = re.compile(rb"(?:\x00[\t-\r -~]){14,}|(?:[\t-\r -~]\x00){14,}")
-PACKED = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|\x78[\x01\x5e\x9c\xda]")
+PACKED = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY")
 
 PIECE, OVERLAP = 16 << 20, 64 << 10
 CHUNK = 256 << 10  # compressed bytes read at once
@@ -86,13 +93,41 @@ def _readable(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         yield *m.span(), m[0].replace(b"\0", b"")
 
 
-def _inflated(data: bytes, begin: int) -> Iterator[tuple[int, bytes]]:
+class _Bzip:
+    """A bzip2 reader with the ways of a zlib one: what was read but not used yet is handed back with the next call."""
+
+    def __init__(self) -> None:
+        self.reader, self.unconsumed_tail = bz2.BZ2Decompressor(), b""
+
+    eof = property(lambda self: self.reader.eof)
+    unused_data = property(lambda self: self.reader.unused_data)
+
+    def decompress(self, chunk: bytes, room: int) -> bytes:
+        try:
+            part = self.reader.decompress(b"" if chunk == b"more" else bytes(chunk), max(1, room))
+        except (OSError, EOFError) as error:
+            raise zlib.error(str(error)) from error
+        self.unconsumed_tail = b"" if self.reader.eof or self.reader.needs_input else b"more"
+        return part
+
+    def flush(self) -> bytes:
+        return b""
+
+
+def _reader(data: memoryview, begin: int, raw: bool):
+    if raw:
+        return zlib.decompressobj(-15)
+    return _Bzip() if bytes(data[begin : begin + 3]) == BZIP else zlib.decompressobj(47)
+
+
+def _inflated(data: bytes, begin: int, raw: bool = False) -> Iterator[tuple[int, bytes]]:
     """Content in pieces of the compressed data from ``begin`` on, and how far it was read.
 
-    Members that follow at once are read as one content.
+    Members that follow at once are read as one content. ``raw`` data (deflate without a header) count only as a whole, as
+    any bytes may begin like them.
     """
     view, at, rest, kept, fresh = memoryview(data), begin, b"", b"", []
-    reader = zlib.decompressobj(47)
+    reader = _reader(view, begin, raw)
     more, room = True, PIECE
     while more:
         chunk = rest or view[at : at + CHUNK]
@@ -102,13 +137,17 @@ def _inflated(data: bytes, begin: int) -> Iterator[tuple[int, bytes]]:
             part = reader.decompress(chunk, room) if len(chunk) else reader.flush()
         except zlib.error:
             at, part, more = begin + 1, b"", False
+            if raw:
+                return
         else:
             rest, more = reader.unconsumed_tail, bool(len(chunk))
             if reader.eof:
                 at -= len(reader.unused_data)
-                rest, more = b"", PACKED.match(view, at) is not None
+                rest, more = b"", not raw and PACKED.match(view, at) is not None
                 if more:
-                    begin, reader = at, zlib.decompressobj(47)
+                    begin, reader = at, _reader(view, at, raw)
+            elif raw and not more:
+                return
         if part:
             fresh.append(part)
             room -= len(part)
@@ -118,15 +157,23 @@ def _inflated(data: bytes, begin: int) -> Iterator[tuple[int, bytes]]:
             yield at, whole
 
 
-def inflate(data: bytes) -> Iterator[bytes]:
-    """The content of gzip or zlib data in pieces, all members; nothing if it isn't such data."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-        for _, piece in _inflated(data, 0):
-            yield piece
+def _contents(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Place and content, in pieces, of everything compressed in the data."""
+    read, found = 0, False
+    for m in PACKED.finditer(data):
+        if m.start() < read:
+            continue
+        for read, piece in _inflated(data, m.start()):
+            found = True
+            yield m.start(), max(read, m.end()), piece
+    if not found:
+        for read, piece in _inflated(data, 0, raw=True):
+            yield 0, read, piece
 
 
 def _unescape(match: re.Match) -> bytes:
-    return chr(int(match[1] or match[2], 16)).encode("utf-8", "surrogatepass")
+    number = int(match[match.lastindex], 10 if match.lastindex == ESCAPE.groups else 16)
+    return chr(number if 0 < number < 0x110000 else 0xFFFD).encode("utf-8", "surrogatepass")
 
 
 def _from_base64(body: bytes) -> bytes:
@@ -174,14 +221,10 @@ def _base64_layers(start: int, run: bytes) -> Iterator[tuple[int, int, bytes]]:
             yield *spot(*m.span()), m[0]
         for m in WIDE.finditer(plain):
             yield *spot(*m.span()), m[0].replace(b"\0", b"")
-        read = 0
-        for m in PACKED.finditer(plain):
-            if m.start() < read:
-                continue
-            for read, piece in _inflated(plain, m.start()):
-                whole = (start, start + len(run)) if not offset and not m.start() else spot(m.start(), max(read, m.end()))
-                for _, _, text in _readable(piece):
-                    yield *whole, text
+        for low, high, piece in _contents(plain):
+            whole = (start, start + len(run)) if not offset and not low else spot(low, high)
+            for _, _, text in _readable(piece):
+                yield *whole, text
 
 
 def layers(data: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -191,13 +234,20 @@ def layers(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             if URL_CODE.search(m[0]):
                 for _, _, plain in _readable(unquote_to_bytes(m[0])):
                     yield *m.span(), plain
-    if b"\\" in data:
+    if b"\\" in data or b"%u" in data or b"&#" in data:
         for m in ESCAPED_RUN.finditer(data):
             if ESCAPE.search(m[0]):
                 plain = ESCAPE.sub(_unescape, m[0]).decode("utf-8", "surrogatepass")
                 plain = plain.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # joins pairs
                 for _, _, found in _readable(plain.encode()):
                     yield *m.span(), found
+    for m in HEX_RUN.finditer(data):
+        plain = bytes.fromhex(m[0].decode())
+        for _, _, found in _readable(plain):
+            yield *m.span(), found
+        for _, _, piece in _contents(plain):
+            for _, _, found in _readable(piece):
+                yield *m.span(), found
     for m in BASE64.finditer(data):
         if m.end() - m.start() >= LEAST_RUN:
             yield from _base64_layers(m.start(), m[0])
