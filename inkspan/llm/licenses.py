@@ -53,6 +53,8 @@ for _c in np.flatnonzero(NOT_ALNUM):
     _FOLD[_c] = 0x20
 FOLD = bytes(_FOLD)
 
+WINDOW = 8  # longest reaches of a notice that are searched at once
+
 
 def budget(notice: str) -> int:
     return len(notice) // EVERY
@@ -94,21 +96,40 @@ class Notices:
         found = []
         for k, own in windows.items():
             for low, high in own:
-                # The best place of a stretch comes first; what is before and after it is searched as well.
-                open_parts, places = [(low, high)], []
-                while open_parts:
-                    a, b = open_parts.pop()
-                    hit = self.patterns[k].search(text, a, b)
-                    if not hit or hit.end() == hit.start():
-                        continue
-                    open_parts += [(a, hit.start()), (hit.end(), b)]
-                    start = hit.start() + len(hit[0]) - len(hit[0].lstrip(" "))
-                    end = hit.start() + len(hit[0].rstrip(" "))
-                    if start < end:
-                        places.append((start, end, k, sum(hit.fuzzy_counts)))
-                found += sorted(places)
+                found += self._stretch(k, text, low, high)
+        return found
+
+    def _stretch(self, k: int, text: str, low: int, high: int) -> list[tuple[int, int, int, int]]:
+        """Places in a stretch of any length, window by window.
+
+        A place that begins so near a window's end that it may go on behind it is left to the next window.
+        """
+        reach = len(self.notices[k][0]) + 2 * budget(self.notices[k][0]) + 2
+        found, at = [], low
+        while at < high:
+            stop = min(high, at + WINDOW * reach)
+            places = self._window(k, text, at, stop)
+            safe = stop - reach if stop < high else high
+            places = [p for p in places if p[0] < safe]
+            found += places
+            at = max([safe, *(p[1] for p in places)])
         return found
 
+    def _window(self, k: int, text: str, low: int, high: int) -> list[tuple[int, int, int, int]]:
+        """The best place comes first; what is before and after it is searched as well."""
+        open_parts, places = [(low, high)], []
+        while open_parts:
+            a, b = open_parts.pop()
+            hit = self.patterns[k].search(text, a, b)
+            if not hit or hit.end() == hit.start():
+                continue
+            open_parts += [(a, hit.start()), (hit.end(), b)]
+            start = hit.start() + len(hit[0]) - len(hit[0].lstrip(" "))
+            end = hit.start() + len(hit[0].rstrip(" "))
+            if start < end:
+                places.append((start, end, k, sum(hit.fuzzy_counts)))
+        return sorted(places)
+
 
 SPANS = "array<struct<label:string,first_word:long,last_word:long,start:int,end:int,edits:int>>"
 _KIND = pa.struct(

@@ -1,6 +1,7 @@
 """Several notices of one kind side by side."""
 
 import itertools
+import time
 
 import pytest
 
@@ -28,3 +29,22 @@ def test_each_notice_of_a_list_is_found(order, between):
 def test_many_notices_in_one_stretch():
     text = " " + " ".join(WAYS[k * 7 % 3] for k in range(60)) + " "
     assert len(places(text)) == 60
+
+
+def test_notices_across_windows_are_found_once():
+    notice = NOTICES[GPL][0]
+    for gap in range(1, 40):
+        text = " " + " ".join([WAYS[1], "x" * gap] * 40) + " "
+        assert [(b - a, e) for a, b, e in places(text)] == [(len(WAYS[1]), 1)] * 40, gap
+    assert len(WAYS[0]) == len(notice)
+
+
+def test_very_many_notices_take_linear_time():
+    def seconds(n):
+        text = " " + " ".join(WAYS[k % 3] for k in range(n)) + " "
+        begin = time.perf_counter()
+        assert len(places(text)) == n
+        return time.perf_counter() - begin
+
+    seconds(50)
+    assert seconds(1600) < 16 * max(seconds(200), 0.01)
