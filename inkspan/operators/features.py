@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import StopWordsRemover, Word2Vec
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import grams_of, word_list, word_runs
+from inkspan.functions.text import grams_of, pieces_of, word_list, word_runs
 from inkspan.sources.staging import stage
 
 # Names of the stop word lists that come with Spark.
@@ -200,14 +201,62 @@ def select_k_best(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.col("score").desc(), "feature").limit(k)
 
 
-def document_vectors(docs: DataFrame, text: str = "text", size: int = 32, seed: int = 7, iterations: int = 1):
-    """A dense vector per document: the mean of its word vectors.
+WORD_STRETCH = 8_192  # distinct words of a text worked on at once
 
-    A different model from paragraph vectors (there is no vector trained per document).
+
+def _word_matrix(words: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """A fixed random vector of unit length for each word (64-bit hashes): no two runs or machines differ."""
+    at = words[:, None] + np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    at = (at ^ (at >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    at = (at ^ (at >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    drawn = ((at ^ (at >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53) - 0.5
+    return drawn / np.sqrt((drawn**2).sum(axis=1, keepdims=True))
+
+
+def fit_vector(counts: np.ndarray, words: np.ndarray, size: int, seed: int, steps: int, ridge: float = 0.05) -> np.ndarray:
+    """The vector under which a document's words are likely against a fixed word matrix.
+
+    Gradient steps on the mean of ``log sigmoid(d . w)`` over all words less ``ridge / 2 |d|^2``, which stands for words drawn at
+    random; the start is zero, so nothing is left to chance.
     """
-    words = docs.select("doc_id", word_list(F.col(text)).alias("words"))
-    model = Word2Vec(
-        vectorSize=size, minCount=5, seed=seed, maxIter=iterations, inputCol="words", outputCol="vector",
-        numPartitions=max(1, words.sparkSession.sparkContext.defaultParallelism // 4),
-    ).fit(words)
-    return model.transform(words).select("doc_id", "vector")
+    vector, total = np.zeros(size), max(1, counts.sum())
+    for _ in range(steps if len(words) else 0):
+        pull = np.zeros(size)
+        for k in range(0, len(words), WORD_STRETCH):
+            part = _word_matrix(words[k : k + WORD_STRETCH], size, seed)
+            pull += (counts[k : k + WORD_STRETCH] / (1 + np.exp(part @ vector))) @ part
+        vector = vector + 2.0 * (pull / total - ridge * vector)
+    return vector
+
+
+def document_vectors(docs: DataFrame, text: str = "text", size: int = 32, seed: int = 7, iterations: int = 12) -> DataFrame:
+    """(doc_id, vector): a vector fitted for each document against a fixed word matrix, in one pass without a vocabulary.
+
+    The result depends on the text and the seed alone, whatever the cores and partitions. A text without words has the zero
+    vector.
+    """
+    counted = token_counts(docs, text)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, words, counts = batch.column("doc_id"), batch.column("words"), batch.column("counts")
+            out = [
+                fit_vector(c.values.to_numpy().astype(float), w.values.to_numpy().view(np.uint64), size, seed, iterations).tolist()
+                for w, c in zip(words, counts, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.float64()))], ["doc_id", "vector"])
+
+    return counted.mapInArrow(run, f"doc_id {kind}, vector array<double>")
+
+
+def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, words, counts): hashes of a document's distinct words in order, and how often each stands. Read piece by piece."""
+    pieces = docs.select("doc_id", F.explode(pieces_of(F.col(text))).alias("_piece"))
+    words = pieces.select("doc_id", F.explode(word_list(F.col("_piece"))).alias("_word"))
+    each = words.groupBy("doc_id", F.xxhash64("_word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    packed = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("w"))
+    none = F.array().cast("array<bigint>")
+    return docs.select("doc_id").join(packed, "doc_id", "left").select(
+        "doc_id", F.coalesce(F.col("w.word"), none).alias("words"), F.coalesce(F.col("w.n"), none).alias("counts")
+    )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import word_list
@@ -131,9 +130,7 @@ def fit_transform_split(spark, folder):
 def doc_vectors(spark, folder):
     c = Corpus(spark, folder)
     out = op.document_vectors(c.raw("documents"))
-    return out.select("doc_id", vector_to_array("vector").alias("vector")).select(
-        "doc_id", F.size("vector").alias("n"), F.element_at("vector", 1).alias("first")
-    )
+    return out.select("doc_id", F.size("vector").alias("n"), F.round(F.element_at("vector", 1), 6).alias("first"))
 
 
 def chi2_select(spark, folder):
