@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -20,6 +20,7 @@ class Trees:
     slope: float = 1.0
     shift: float = 0.0
     threshold: float = 2.0
+    thresholds: list[float] = field(default_factory=list)  # by kind, where the caller has kinds
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
@@ -101,10 +102,13 @@ def calibrate(model: Trees, x: np.ndarray, y: np.ndarray, precision: float) -> N
         step = np.linalg.solve(h, g)
         a, b = a + np.clip(step[0], -1, 1), b + np.clip(step[1], -1, 1)
     model.slope, model.shift = float(max(a, 1e-3)), float(b)
-    p = model.probability(x)
+    model.threshold = least_threshold(model.probability(x), y, precision, model.threshold)
+
+
+def least_threshold(p: np.ndarray, y: np.ndarray, precision: float, otherwise: float) -> float:
+    """The least score, 0.5 at least, from which on ``precision`` of the rows are right; ``otherwise`` if there is none."""
     order = np.argsort(-p, kind="stable")
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     last = np.append(p[order][1:] < p[order][:-1], True)  # no cut between equal scores
-    good = np.flatnonzero((right >= precision) & last)
-    if len(good):
-        model.threshold = float(max(0.5, p[order][good[-1]]))
+    good = np.flatnonzero((right >= precision) & last[: len(right)])
+    return float(max(0.5, p[order][good[-1]])) if len(good) else otherwise

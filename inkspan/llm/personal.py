@@ -7,7 +7,7 @@ of documents, where candidates that are base spans of their kind are right and c
 every base span of their kind are wrong; what the base rules test outright (a plus sign, a check sum, the
 signs and part sizes of addresses) is kept from the trees, so that they learn how such data look and where they
 stand. An address that is only written in another way (see ``plain``) is neither right nor wrong. Scores are
-calibrated on documents not fitted on, and the threshold is the least one with the wanted precision
+calibrated on documents not fitted on, and the threshold of each kind is the least one with the wanted precision
 there. Candidates that reach it and touch no base span are added; base spans always stay.
 
 Defined cases: null and empty texts have no spans; repeated rows are read one by one. Without a sample
@@ -27,12 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm import boosting
-from inkspan.llm.frames import append_columns, bounded_batches, column
+from inkspan.llm.frames import append_columns, bounded_batches, column, fresh_name
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_FIT_DOCUMENTS = 8_000
 MAX_FIT_CANDIDATES = 50_000
 PRECISION = 0.95
+LEAST_SEEN = 5  # right and wrong candidates a kind needs for a threshold of its own
 BEFORE = 40  # characters of context
 
 # Fixed patterns of the base rules. The part of an address before the @ is looked up backwards, and a
@@ -190,6 +191,14 @@ def learnable(text: str) -> tuple[list[list[float]], list[int]]:
     return rows, labels
 
 
+def _threshold(model: boosting.Trees, x: np.ndarray, y: np.ndarray, kind: int, precision: float) -> float:
+    """That of the kind's own candidates; of all candidates if too few of them were seen right and wrong."""
+    own = x[:, kind] > 0
+    if min(y[own].sum(), (1 - y[own]).sum()) < LEAST_SEEN:
+        return model.threshold
+    return boosting.least_threshold(model.probability(x[own]), y[own], precision, 2.0)
+
+
 def fit(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_documents: int = MAX_FIT_DOCUMENTS,
     max_candidates: int = MAX_FIT_CANDIDATES, precision: float = PRECISION,
@@ -233,6 +242,7 @@ def fit(
             if y[~apart].min(initial=1) != y[~apart].max(initial=0):
                 model = boosting.fit(x[~apart], y[~apart])
                 boosting.calibrate(model, x[apart], y[apart], precision)
+                model.thresholds = [_threshold(model, x[apart], y[apart], k, precision) for k in range(len(KINDS))]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     learned = found.repartition(1).mapInArrow(learn, "model binary").first()
@@ -256,7 +266,7 @@ def detect(docs: DataFrame, model: bytes, text_column: str = "text") -> DataFram
             texts = [t or "" for t in column(batch, text_column).to_pylist()]
             base = [base_spans(t) if WANTED.search(t) else [] for t in texts]
             spans = [[(k, a, b, True, 1.0) for k, a, b in s] for s in base]
-            if trees is not None and trees.threshold <= 1:
+            if trees is not None and min(trees.thresholds, default=2) <= 1:
                 proposed = []
                 for i, t in enumerate(texts):
                     if WANTED.search(t):
@@ -269,7 +279,7 @@ def detect(docs: DataFrame, model: bytes, text_column: str = "text") -> DataFram
                     chosen: dict[int, _Taken] = {}
                     for j in np.argsort(-p, kind="stable"):
                         i, k, a, b = proposed[j]
-                        if p[j] >= trees.threshold and not chosen.setdefault(i, _Taken([])).overlaps(a, b):
+                        if p[j] >= trees.thresholds[k] and not chosen.setdefault(i, _Taken([])).overlaps(a, b):
                             chosen[i].add(a, b)
                             spans[i].append((k, a, b, False, float(p[j])))
             out = [
@@ -286,6 +296,30 @@ def detect(docs: DataFrame, model: bytes, text_column: str = "text") -> DataFram
     return append_columns(docs, make, f"personal {SPANS}")
 
 
+def redact(docs: DataFrame, model: bytes, text_column: str = "text", mask: str = "[{}]") -> DataFrame:
+    """``docs`` with every span replaced by ``mask`` (``{}`` stands for its kind; overlapping spans are one, of the first's kind),
+    and the spans found, which count in the text as it was. Texts without a span, null ones too, stay as they are."""
+    clean = fresh_name(docs, "_clean")
+
+    def make():
+        def compute(batch):
+            out = []
+            for text, spans in zip(column(batch, text_column).to_pylist(), column(batch, "personal").to_pylist(), strict=True):
+                parts, at = [], 0
+                for s in spans or []:
+                    if s["start"] >= at:
+                        parts += [text[at : s["start"]], mask.format(s["kind"])]
+                    at = max(at, s["end"])
+                out.append("".join([*parts, text[at:]]) if parts else None)
+            return [pa.array(out, pa.string())]
+
+        return compute
+
+    found = append_columns(detect(docs, model, text_column), make, f"{clean} string")
+    text = F.coalesce(clean, F.col(text_column)).alias(text_column)
+    return found.select(*[text if c == text_column else c for c in found.columns if c != clean])
+
+
 def span_text(spans: Column) -> Column:
     """kind:start:end, comma-joined, in the order of the spans."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
