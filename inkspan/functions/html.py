@@ -7,8 +7,10 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The public table of named references; a no-break space becomes a space.
-NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+# The public table of named references; a no-break space becomes a space. The usual ones stand first, as a map is
+# looked up from its beginning.
+USUAL = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+NAMED = {**USUAL, **{name: chr(code) for name, code in name2codepoint.items() if name not in USUAL}}
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 DROPPED = [
@@ -41,7 +43,7 @@ def decode_entities(text: Column) -> Column:
     gaps = F.split(text, REFERENCE, -1)
     plain = F.concat(F.transform(found, _character), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(gaps, plain, lambda g, c: F.concat(g, c)), "")
-    return F.when(F.size(found) > 0, joined).otherwise(text)
+    return F.when(F.contains(text, F.lit("&")) & (F.size(found) > 0), joined).otherwise(text)
 
 
 def html_text(html: Column) -> Column:
