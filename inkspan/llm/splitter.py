@@ -20,7 +20,7 @@ from inkspan.llm.wordhash import mix
 OTHER, LETTER, DIGIT, SPACE = range(4)
 SHORT, LONG = "stmd", {"r": "e", "v": "e", "l": "l"}  # fixed: contractions of the pattern
 CHUNK = 1 << 18  # characters hashed at once
-REMEMBERED = 1 << 20  # matches a worker remembers; beyond that it starts anew, which changes no result
+REMEMBERED = 1 << 19  # matches a worker remembers; beyond that it starts anew, which changes no result
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
