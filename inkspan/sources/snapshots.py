@@ -68,7 +68,11 @@ class SnapshotTable:
         return self._publish({**kept, **fresh}, seen)
 
     def _publish(self, parts: dict[str, list[str]], seen: int) -> int:
-        """The manifest appears under its number at once, by a rename; a number is never taken twice."""
+        """The manifest appears under its number at once, by a rename.
+
+        A number that is taken already is a conflict. A rename does not exclude another one of the same moment in every file
+        system, so of writers that race within it one may win unnoticed; those take turns by a lock of their own.
+        """
         folder, number = f"{self.base}/manifests", seen + 1
         self.files.create_dir(folder)
         hidden, target = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/{number:012d}.json"
