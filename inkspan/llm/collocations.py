@@ -218,7 +218,7 @@ def counted(docs: DataFrame, size: int, below: bytes | None, bits: int = 64) ->
                 own = np.diff(words.row_ptr)
                 kinds, first, which = np.unique(grams.lang, return_index=True, return_inverse=True)
                 fp = np.append(fp[head], mix(kinds) >> grams.shift)
-                checked = np.append(checked[head], np.zeros(len(kinds), np.int32))
+                checked = np.append(checked[head], np.full(len(kinds), -1, np.int32))  # that of no other phrase
                 n = np.append(n, np.bincount(which, own, len(kinds)).astype(np.int64))
                 row, place = np.append(row, first), np.append(place, np.full(len(kinds), -1))
             else:
@@ -232,16 +232,12 @@ def counted(docs: DataFrame, size: int, below: bytes | None, bits: int = 64) ->
 
 
 def frequent(rows: DataFrame, least: int) -> DataFrame:
-    """Fingerprints counted ``least`` times: fp, f, doc and at (one occurrence), alike (all check values are one).
-
-    The empty phrases share no group with others unless their fingerprints do; then both count as not alike.
-    """
-    empty = (F.col("at") < 0).cast("int")
+    """Fingerprints counted ``least`` times: fp, f, doc and at (one occurrence), alike (all check values are one)."""
     found = rows.groupBy("fp").agg(
         F.sum("n").alias("f"), F.first("doc").alias("doc"), F.first("at").alias("at"),
-        F.min("checked").alias("low"), F.max("checked").alias("high"), F.min(empty).alias("none"), F.max(empty).alias("some"),
+        F.min("checked").alias("low"), F.max("checked").alias("high"),
     ).filter(F.col("f") >= least)
-    return found.select("fp", "f", "doc", "at", ((F.col("low") == F.col("high")) & (F.col("none") == F.col("some"))).alias("alike"))
+    return found.select("fp", "f", "doc", "at", (F.col("low") == F.col("high")).alias("alike"))
 
 
 def phrases_at(docs: DataFrame, found: DataFrame, bits: int = 64) -> DataFrame:
