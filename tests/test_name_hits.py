@@ -2,7 +2,7 @@
 
 import pytest
 
-from inkspan.operators import names
+from inkspan.operators import names, risk
 from inkspan.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,6 +31,12 @@ def test_pairs_of_person_and_document_are_not_shuffled(spark, key):
     assert "BroadcastHashJoin" in _above_shuffles(registry.QUERIES[key](spark, FOLDER))
 
 
+@pytest.mark.parametrize("key", ["merge_hits", "risk_documents"])
+def test_merged_hits_are_not_shuffled(spark, key):
+    above = _above_shuffles(registry.QUERIES[key](spark, FOLDER))
+    assert "Union" in above and "BroadcastHashJoin" in above
+
+
 def test_near_words_are_paired_in_the_text(spark):
     """No probe for every person and occurrence: the pairs come from a window over the words of a text."""
     assert "Window" in _plan(registry.QUERIES["swapped_name_match"](spark, FOLDER))
@@ -52,3 +58,10 @@ def test_people_in_parts(spark, monkeypatch, at_once):
     assert spans == sorted(want + [(5, 0, 3, 9), (5, 1, 3, 9), (5, 2, 0, 2), (6, 3, 0, 4), (6, 3, 0, 4)])
     keywords = spark.createDataFrame([(0, "risk")], "doc_id long, keyword string")
     assert names.high_risk_partial(ranged, keywords).count() == 6
+
+
+def test_keywords_are_counted_once(spark):
+    rows = [(1, "exact_high", "A", "x"), (1, "partial_high", "A", "x"), (1, "exact_high", "B", "y"), (1, "exact_high", "B", None)]
+    merged = spark.createDataFrame([(*r, "high") for r in rows], "doc_id long, kind string, person_name string, keyword string, risk string")
+    found = risk.risk_documents(merged).first()
+    assert (found.n_hits, found.n_names, found.n_keywords, found.n_exact_high) == (4, 2, 2, 3)
