@@ -1,5 +1,7 @@
 """Hits of people are made where their document is: they grow with people times documents and are never shuffled."""
 
+import re
+
 import pytest
 
 from inkspan.operators import names, risk
@@ -37,6 +39,19 @@ def test_merged_hits_are_not_shuffled(spark, key):
     assert "Union" in above and "BroadcastHashJoin" in above
 
 
+def test_documents_are_dealt_by_pairs_of_person_and_document(spark, monkeypatch):
+    """Ten times the people and documents are a hundred times the hits, so a task has to get fewer documents."""
+    docs, people = _tables(spark)
+    assert names.document_parts(docs, people) == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = sorted(tuple(r) for r in registry.QUERIES["risk_level"](spark, FOLDER).collect())
+    monkeypatch.setattr(names, "PAIRS_AT_ONCE", 12)
+    assert names.document_parts(docs.crossJoin(spark.range(100)), people) == 300
+    merged = registry.QUERIES["merge_hits"](spark, FOLDER)
+    parts = re.findall(r"hashpartitioning\(doc_id#\d+L?, (\d+)\)", _plan(merged))
+    assert parts and {int(n) for n in parts[:1]} != {4 * 8} and "Union" in _above_shuffles(merged)
+    assert sorted(tuple(r) for r in registry.QUERIES["risk_level"](spark, FOLDER).collect()) == few
+
+
 def test_near_words_are_paired_in_the_text(spark):
     """No probe for every person and occurrence: the pairs come from a window over the words of a text."""
     assert "Window" in _plan(registry.QUERIES["swapped_name_match"](spark, FOLDER))
