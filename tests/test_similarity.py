@@ -106,3 +106,14 @@ def test_components(spark):
     got = {r["node"]: r["class"] for r in components.classes(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: top(x) for x in part if x != 7000}
     assert components.classes(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shingles_are_made_distinct_where_their_text_is(spark):
+    """Texts are dealt by document; neither their shingles nor, for the choice of texts, the texts are shuffled once more."""
+    docs = spark.createDataFrame([(k, f"a b c d{k % 5} e f") for k in range(20)], "doc_id long, text string")
+    _, texts = similarity.distinct_texts(docs)
+    plan = similarity.shingle_rows(texts)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and ("doc_id" in x or "shingle" in x)]
+    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
+    got = {(r.doc_id, r.shingle) for r in similarity.shingle_rows(texts).collect()}
+    assert len(got) == 5 * 4 and {d for d, _ in got} == set(range(5))
