@@ -9,7 +9,7 @@ from inkspan.functions.html import DROPPED, html_text, html_title
 from inkspan.operators import ingest as op
 from inkspan.operators.language import PROFILES, detect_language
 from inkspan.plans.fixtures import Corpus, with_ctes
-from inkspan.sources.fetch import fetch
+from inkspan.sources.fetch import PART_BYTES, fetch
 from inkspan.sources.files import scan_files as list_files
 from inkspan.sources.snapshots import SnapshotTable
 from inkspan.sources.staging import new_path
@@ -211,8 +211,9 @@ def fetch_new_files(spark, folder):
     """Files of the folder that are not linked yet, opened: those whose path has an even hash are linked."""
     listing = list_files(spark, folder, "*.parquet").withColumns({"data_location_id": F.lit(1), "uuid": op.join_identifier(F.col("iuuid"))})
     linked = listing.filter(F.crc32(F.col("name").cast("binary")) % 2 == 0).select("data_location_id", "uuid")
-    found = fetch(op.new_files(listing, linked).select("path", "name", "size_bytes"))
-    return found.select("name", "size_bytes", (F.length("content") == F.col("size_bytes")).alias("is_whole"), F.md5("content").alias("md5"))
+    wanted = op.new_files(listing, linked).select("path", "name", "size_bytes")
+    found = fetch(wanted, part_bytes=PART_BYTES).filter("is_last")
+    return found.select("name", "size_bytes", (F.col("end") == F.col("size_bytes")).alias("is_whole"), "md5")
 
 
 def normalize_extension(spark, folder):

@@ -1,6 +1,7 @@
 """Snapshot tables, fetching only what is new, the intake stream over many batches, and ranks of hashed ids."""
 
 import glob
+import hashlib
 import os
 import random
 
@@ -91,6 +92,24 @@ def test_only_new_files_are_opened(spark, tmp_path):
     assert sorted(x for x in opened if x.startswith("f")) == sorted(f"f{k}.txt" for k in range(3, 20, 3))
 
 
+def test_large_files_are_handed_on_in_parts(spark, tmp_path):
+    rng = random.Random(8)
+    files = {f"f{n}": rng.randbytes(n) for n in (0, 1, 29, 30, 31, 60, 100)}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    rows = [(f"file:{tmp_path}/{n}", n, len(c)) for n, c in files.items()] + [(f"{tmp_path}/none", "none", 5), (None, "null", None)]
+    got = fetching.fetch(spark.createDataFrame(rows, "path string, name string, size_bytes long"), part_bytes=30).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.name, r.part)):
+        found.setdefault(r.name, []).append(r)
+    assert {n: b"".join(r.content for r in p) for n, p in found.items() if n in files} == files
+    assert max(len(r.content or b"") for r in got) == 30 and len(found["f60"]) == 2 and len(found["f100"]) == 4
+    last = {n: p[-1] for n, p in found.items()}
+    assert all([r.is_last for r in p] == [False] * (len(p) - 1) + [True] for p in found.values())
+    assert {n: (last[n].md5, last[n].end) for n in files} == {n: (hashlib.md5(c).hexdigest(), len(c)) for n, c in files.items()}
+    assert [(last[n].fetch_error, last[n].md5, last[n].end) for n in ("none", "null")] == [("FileNotFoundError", None, None), ("ValueError", None, None)]
+
+
 ARRIVALS = "doc_id long, company_id long, md5 string, name string, lang string, text string, lang_probability double"
 
 
