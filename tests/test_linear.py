@@ -1,6 +1,9 @@
 """Linear models of all labels against a dense solver, held-out predictions, searches and the descent."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +115,27 @@ def test_descent_over_sparse_features(spark):
     assert [got[2, k][0] for k in range(3)] == ["B", "A", "A1"] and got[3, 0][0] == "B" and {k[0] for k in got} == {1, 2, 3}
     # Without any known feature the classes of a model tie and the first one wins.
     assert got[3, 1][0] == "A" and got[3, 1][2] == 0.5
+
+
+def test_rows_without_a_label_cost_no_step(spark):
+    """The fit does not multiply them: their feature numbers are unknown here, which a product would trip over."""
+    rows = [(k, k % 2, k % 3 + 1, [0, 1], [float(k % 2), 0.5]) for k in range(12)] + [(90, None, None, [7, 9], [1.0, 1.0])]
+    packed = spark.createDataFrame(rows, "doc_id long, label_no int, fold int, at array<int>, values array<double>")
+    models = linear.fit_models(packed, ["x", "y"], np.ones(2), ["a", "b"], linear.LOGISTIC, [1.0, 10.0], 3, 5)
+    assert models.weights.shape == (8, 3, 2) and np.isfinite(models.weights).all() and models.weights[4, 0, 1] > 0
+
+
+def test_images_are_made_in_slices():
+    """A row of weights is taken for each value, but only for a bounded slice of a batch at once."""
+    rows, inputs, outputs = 4000, 64, 128
+    x = np.random.default_rng(5).random((rows, inputs))
+    at = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * inputs + 1, inputs), pa.int32()), pa.array(np.tile(np.arange(inputs), rows), pa.int32()))
+    values = pa.ListArray.from_arrays(at.offsets, pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([at, values], ["at", "values"])
+    weights, shift = np.random.default_rng(6).random((inputs, outputs)), np.arange(float(outputs))
+    tracemalloc.start()
+    image = selection._images(batch, weights, shift)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(image, x @ weights + shift)
+    assert peak < 8 * (4 * linear.VALUES + 2 * image.size) < 8 * rows * inputs * outputs
