@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.text import pieces_of, snippet, word_list
 from inkspan.sources.staging import stage
+from inkspan.sources.tables import dealt
 
 # The usual BM25 constants.
 K1, B = 1.2, 0.75
@@ -37,22 +38,21 @@ def query_words(queries: DataFrame) -> DataFrame:
 def query_postings(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(token, doc_id, block, part) of the query words: what each adds to a document's score. Staged.
 
-    Only query words leave the scan; document lengths are counted in the same pass, without
-    exploding them.
+    Only query words leave the pass over the texts; document lengths are counted in it too, without exploding them. Texts are
+    dealt by document, so that words are counted where they are and a task holds those of a part of the texts.
     """
     length = F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"))
-    measured = docs.select("doc_id", length.alias("n_words"), F.col(text).alias("_text"))
+    measured = dealt(docs.select("doc_id", text), "doc_id").select("doc_id", length.alias("n_words"), F.col(text).alias("_text"))
     words = (
         measured.select("doc_id", "n_words", F.explode(pieces_of(F.col("_text"))).alias("_piece"))
         .select("doc_id", "n_words", F.explode(word_list(F.col("_piece"))).alias("token"))
         .join(terms.select("token"), "token", "left_semi")
     )
-    tf = words.groupBy("doc_id", "n_words", "token").agg(F.count(F.lit(1)).alias("tf"))
+    tf = stage(words.groupBy("doc_id", "n_words", "token").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     corpus = docs.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean")).alias("s")
     ).scalar()
-    # counting tf keeps this input identical to the one scored below, so it is computed once
-    seen = tf.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    seen = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = seen.withColumn("_s", corpus).select(
         "token", F.log(1 + (F.col("_s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
