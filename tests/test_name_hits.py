@@ -80,3 +80,37 @@ def test_keywords_are_counted_once(spark):
     merged = spark.createDataFrame([(*r, "high") for r in rows], "doc_id long, kind string, person_name string, keyword string, risk string")
     found = risk.risk_documents(merged).first()
     assert (found.n_hits, found.n_names, found.n_keywords, found.n_exact_high) == (4, 2, 2, 3)
+
+
+def _shuffled_rows(df):
+    """Rows written by the shuffles of a plan that is run here."""
+    df._jdf.queryExecution().toRdd().count()
+
+    def walk(plan):
+        kind = plan.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStage"):
+            return walk(plan.plan())
+        inner = plan.children()
+        below = sum(walk(inner.apply(i)) for i in range(inner.size()))
+        return below + (plan.metrics().apply("shuffleRecordsWritten").value() if kind == "Exchange" else 0)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_search_shuffles_the_words_it_needs_of_shared_positions(spark):
+    """The positions serve all searches of the merge; a search for a few words does not shuffle those of the others."""
+    docs = spark.range(2000).selectExpr("id AS doc_id", "id % 3 AS company_id", "'en' AS lang", "concat('anna of hansen w', id % 7) AS text", "'risk' AS name")
+    words = spark.createDataFrame([(w,) for w in ["anna", "of", "hansen", "risk"]], "token string")
+    positions = names.search_positions(docs, [words])
+    people = spark.createDataFrame([(1, 0, "Anna Hansen", 1), (2, 0, "Risk", 1), (3, 0, "Hansen of Risk", 1)], "person_id long, company_id long, name string, relation int")
+    keywords = spark.createDataFrame([("en", "hansen"), ("en", "no such word")], "lang string, keyword string")
+    found = names.keyword_matches(docs, keywords, positions)
+    assert sorted(tuple(r) for r in found.collect()) == [(i, "hansen") for i in range(2000)]
+    assert _shuffled_rows(found) < 3 * 2000 + 100  # positions are 8000, and there are three joins and aggregates
+    common = names.common_name_matches(docs, spark.createDataFrame([("Anna",)], "common_name string"), positions)
+    assert common.count() == 2000 and _shuffled_rows(common) <= 2 * 2000
+    assert sorted(tuple(r) for r in names.exact_name_matches(docs, people, 1, positions).collect()) == sorted((p, d) for p in (1, 2) for d in range(0, 2000, 3))
+    pairs = names.exact_name_matches(docs, people.filter("person_id = 1"), 1, positions)
+    assert pairs.count() == 667 and _shuffled_rows(pairs) < 4 * 667 + 100
