@@ -1,8 +1,9 @@
 """Words are counted where their document is, in parts of bounded size."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from inkspan.operators import features
+from inkspan.operators import features, linear
 from inkspan.sources import tables
 
 FILE = "/root/testdata/sf0.001/documents.parquet"
@@ -42,3 +43,27 @@ def test_rare_terms_share_buckets(spark, monkeypatch):
         assert {(r.term, r.df) for r in features.fit_tfidf(counts, docs, 0.5, 0.9).collect()} == {("half0", 20), ("half1", 20)}
         assert features.fit_tfidf(counts, docs, 0.0).count() == 44
 
+
+def test_terms_and_features_of_documents_are_sorted_in_parts_that_follow_the_input(spark, monkeypatch, tmp_path):
+    """With the session's partitions a task's terms would grow with the input."""
+    rows = [(d, f"t{k}", k + 1) for d in range(200) for k in range(5)]
+    spark.createDataFrame(rows, "doc_id long, term string, tf long").repartition(4).write.parquet(f"{tmp_path}/counts")
+    counts = spark.read.parquet(f"{tmp_path}/counts")
+    vocabulary = spark.createDataFrame([(f"t{k}", 1.0) for k in range(5)], "term string, idf double")
+    plain = sorted(tuple(r) for r in features.transform_tfidf(counts, vocabulary).collect())
+    monkeypatch.setattr(tables, "PART_BYTES", 256)
+    parts = tables.text_parts(counts)
+    valued = features.transform_tfidf(counts, vocabulary)
+    assert parts > 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) and valued.rdd.getNumPartitions() == parts
+    assert sorted(tuple(r) for r in valued.collect()) == plain and len(plain) == 1000
+    names = spark.createDataFrame([(f"t{k}", k, 2.0) for k in range(5)], "feature string, no int, scale double")
+    found = counts.select("doc_id", F.col("term").alias("feature"), F.col("tf").cast("double").alias("value"))
+    docs = spark.range(201).select(F.col("id").alias("doc_id"), F.lit(0).alias("label_no"), F.lit(1).alias("fold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for more than some MB
+    try:
+        packed = linear.pack_documents(docs, found, names)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(packed.inputFiles()) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(tuple(r.at), tuple(r["values"])) for r in packed.filter("doc_id < 200").collect()} == {((0, 1, 2, 3, 4), (0.5, 1.0, 1.5, 2.0, 2.5))}
+    assert packed.count() == 201 and packed.filter("size(at) = 0").count() == 1
