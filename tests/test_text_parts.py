@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from inkspan.functions import text
 from inkspan.operators import features, linear
+from inkspan.plans import features as plans
+from inkspan.plans.fixtures import Corpus
 from inkspan.sources import tables
 
 FILE = "/root/testdata/sf0.001/documents.parquet"
@@ -67,3 +70,28 @@ def test_terms_and_features_of_documents_are_sorted_in_parts_that_follow_the_inp
     assert len(packed.inputFiles()) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {(tuple(r.at), tuple(r["values"])) for r in packed.filter("doc_id < 200").collect()} == {((0, 1, 2, 3, 4), (0.5, 1.0, 1.5, 2.0, 2.5))}
     assert packed.count() == 201 and packed.filter("size(at) = 0").count() == 1
+
+
+def test_words_without_a_lead_are_made_once(spark):
+    """Single words need no last words of the piece before, so no piece is split into words a second time."""
+    docs = spark.createDataFrame([(1, "ab cd ef gh ij"), (2, ""), (3, None)], "doc_id long, text string")
+    made = []
+
+    def words(piece, before):
+        made.append(piece)
+        return text.word_list(piece)
+
+    runs = text.word_runs(docs, ["doc_id"], 0, words=words, size=4).collect()
+    assert len(made) == 1
+    assert sorted((r.doc_id, *r.words) for r in runs if r.words) == [(1, "ab", "cd"), (1, "ef", "gh"), (1, "ij")]
+    assert {r.lead for r in runs} == {0}
+
+
+def test_small_families_are_made_before_the_words_of_texts(spark, tmp_path):
+    """One shuffle is left beside the union of the families: that of the words of the texts."""
+    rows = [(d, f"Title{d % 3}. some words\nof text {d}", "en", "web", 30) for d in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.all_features(Corpus(spark, str(tmp_path)))
+    assert _exchanges(found) == 1
+    families = {r[0]: r[1] for r in found.groupBy(F.split_part("feature", F.lit(":"), F.lit(1))).count().collect()}
+    assert families["custom"] == 120 and families["title"] >= 40 and families["text"] >= 40
