@@ -114,3 +114,25 @@ def test_a_search_shuffles_the_words_it_needs_of_shared_positions(spark):
     assert sorted(tuple(r) for r in names.exact_name_matches(docs, people, 1, positions).collect()) == sorted((p, d) for p in (1, 2) for d in range(0, 2000, 3))
     pairs = names.exact_name_matches(docs, people.filter("person_id = 1"), 1, positions)
     assert pairs.count() == 667 and _shuffled_rows(pairs) < 4 * 667 + 100
+
+
+def test_names_and_keywords_are_counted_without_a_set(spark):
+    """A set of keywords makes Spark sort all hits; the counts are those of plain sets, nulls left out."""
+    rows = [
+        (1, "exact_high", "anna", "fire", 1, None, None), (1, "exact_high", "anna", "fire", 2, None, None),
+        (1, "partial_high", "anna", "theft", 1, 0, 4), (1, "partial_high", "bo", "theft", 1, 0, 2),
+        (1, "exact_high", "anna", "fire", 1, None, None), (2, "exact_low", "anna", None, 1, None, None),
+        (2, "partial_low", None, None, 1, None, None), (3, "common_low", "eva", None, None, None, None), (None, "exact_high", "fire", "fire", 1, None, None),
+    ]
+    schema = "doc_id long, kind string, person_name string, keyword string, relation int, start int, end int"
+    merged = risk.merge_hits(spark.createDataFrame(rows, schema), spark.createDataFrame([(2,), (2,), (4,)], "doc_id long"))
+    full = risk.risk_documents(merged)
+    assert "ObjectHashAggregate" not in full._jdf.queryExecution().executedPlan().toString()
+    found = {(r.doc_id, r.risk): (r.n_hits, r.n_names, r.n_keywords, r.n_exact_high, r.n_partial_high, r.n_exact_low, r.n_national_id) for r in full.collect()}
+    assert found == {
+        (1, "high"): (4, 2, 2, 2, 2, 0, 0), (2, "high"): (3, 1, 0, 0, 0, 1, 1), (3, "low"): (1, 1, 0, 0, 0, 0, 0),
+        (4, "high"): (1, 0, 0, 0, 0, 0, 1), (None, "high"): (1, 1, 1, 1, 0, 0, 0),
+    }
+    short = risk.risk_documents(merged, distinct=False)
+    assert set(full.columns) - set(short.columns) == {"n_names", "n_keywords"}
+    assert {tuple(r) for r in short.collect()} == {tuple(r) for r in full.select(*short.columns).collect()}
